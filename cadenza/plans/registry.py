@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from cadenza.plans import baseline  # noqa: F401
+    from cadenza.plans import baseline, timing  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
