@@ -73,13 +73,21 @@ def add_columns(df: DataFrame, added: str, make: Callable[[pa.RecordBatch, list[
     """``df`` with computed columns appended by one Arrow pass; a column of the same name is replaced."""
     fields = StructType.fromDDL(added)
     names = fields.names
-    kept = df.select(*[col(c) for c in df.columns if c not in names])
+    own = [c for c in df.columns if c not in names]
+    # Numbered names on the way through: mapInArrow reads a dot in a name as a field of a struct.
+    numbered = [f"_{i}" for i in range(len(own))]
+    kept = df.select(*[col(c).alias(n) for c, n in zip(own, numbered)])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, names=own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, text):
-            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch, texts)], names=[*batch.schema.names, *names])
+        for batch, texts in text_batches(named(batches), text):
+            out = [*batch.columns, *make(batch, texts)]
+            yield pa.RecordBatch.from_arrays(out, names=[*numbered, *names])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *fields.fields]))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *fields.fields])).toDF(*own, *names)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
