@@ -72,7 +72,7 @@ def clip_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("allocated_words", with_views("""WITH u AS (SELECT video_id, scene_id AS unit, count(*) - scene_id % 2 AS n FROM words GROUP BY video_id, scene_id),
-    r AS (SELECT *, sum(n) OVER v - n AS low, CASE WHEN row_number() OVER v = count(*) OVER (PARTITION BY video_id) THEN 1 << 60 ELSE sum(n) OVER v END AS high FROM u WINDOW v AS (PARTITION BY video_id ORDER BY unit))
+    r AS (SELECT *, sum(n) OVER v - n AS low, CASE WHEN row_number() OVER v = count(*) OVER (PARTITION BY video_id) THEN 1000000000000 ELSE sum(n) OVER v END AS high FROM u WINDOW v AS (PARTITION BY video_id ORDER BY unit))
     SELECT w.video_id, w.idx, max(unit) AS unit FROM words w JOIN r ON r.video_id = w.video_id AND w.idx >= low AND w.idx < high GROUP BY ALL""", "words"))
 def allocated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words dealt to scenes by slightly short word counts."""

@@ -38,9 +38,9 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 def export_rows(df: DataFrame, exported_at: str) -> DataFrame:
     """Rows as JSON lines with the export time and the number of rows in each; the number is one aggregate joined back."""
-    # Every column is named: a JSON reader refuses to count by its corrupt-record column alone.
-    count = df.agg(F.count(F.struct(*df.columns)).alias("count"))
     rows = df.select(F.to_json(F.struct(*df.columns)).alias("entry"), F.lit(1).alias("_k"))
+    # Counting entries, not rows, names every column: a JSON reader refuses to count by its corrupt-record column alone.
+    count = rows.agg(F.count("entry").alias("count"))
     return rows.join(count.withColumn("_k", F.lit(1)), "_k").select(F.lit(exported_at).alias("exportedAt"), "count", "entry")
 
 
