@@ -9,6 +9,7 @@ distributed sum; a document's rate is the fold of those numbers over its own pos
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm import quality, toxicity
-from cadenza.llm.common import add_columns, bounded_sample, col, text_batches, text_of, write_shared
+from cadenza.llm.common import add_columns, bounded_sample, col, crc_mod4, text_batches, text_of, write_shared
+from cadenza.llm.word_hashes import word_hashes
 
 DOMAINS = ("good", "junk", "toxic")
 TARGETS = {"good": 0.97, "junk": 0.02, "toxic": 0.01}
@@ -29,26 +30,61 @@ GROWTH = 1.25
 KEEP_AT = 0.5
 
 
+#: Hashed slots of words and of word beginnings, the bytes of a beginning, and the prior weight of the domain rates.
+SLOTS = 1 << 18
+BEGINNING = 5
+PRIOR = 4.0
+CAUTION = 1.5
+_KINDS = [b"\n", b" ", b"|", b"#%&$*", b"!?", b".,;:", b"0123456789", bytes(range(65, 91)), bytes(range(128, 256))]
+_KIND = np.full(256, len(_KINDS))
+for _i, _bytes in enumerate(_KINDS):
+    _KIND[list(_bytes)] = _i
+
+
 @dataclass(frozen=True)
 class DomainModel:
-    """Softmax weights over the quality features and the toxicity evidence, with the toxicity model it reads."""
+    """Log-odds of every slot for every domain (2 x ``SLOTS`` x 3 floats, 6 MB at any input size) and the softmax over the features."""
 
+    odds: np.ndarray
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
-    toxic: toxicity.ToxicityModel
 
 
-def _toxic_evidence(texts: list[str], scorer: toxicity.TokenScorer) -> list[float]:
-    out = []
-    for text in texts:
-        scores = scorer.scores(toxicity.tokens_of(text))
-        out.append(min(toxicity.evidence([s for _, _, s in toxicity.maximal_segments(scores)], len(scores), scorer.model), 30.0) / 10)
-    return out
+def _slots(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(slots, text numbers) of words and, from ``SLOTS`` on, of their beginnings."""
+    for kind, prefix in enumerate((0, BEGINNING)):
+        for hashes, numbers in word_hashes(texts, prefix=prefix):
+            yield (hashes >> np.uint64(46)).astype(np.int64) + kind * SLOTS, numbers
 
 
-def _design(texts: list[str], scorer: toxicity.TokenScorer) -> np.ndarray:
-    return np.column_stack([np.array([quality.features_of(t) for t in texts]).reshape(len(texts), -1), _toxic_evidence(texts, scorer)])
+def _features(texts: list[str], odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of texts, and their numbers of words (at least one).
+
+    For each domain the mean log-odds of the words and the summed log-odds of those that speak for it (a repeated word
+    once), and the shares of kinds of characters.
+    """
+    n, k = len(texts), odds.shape[1]
+    words = np.zeros(n)
+    mean, strong = np.zeros((n, k)), np.zeros((n, k))
+    for slots, numbers in _slots(texts):
+        if not len(slots):
+            continue
+        found = odds[slots]
+        # Texts come in order, so each one's words are a run.
+        heads = np.flatnonzero(np.diff(numbers, prepend=-1))
+        met, count = numbers[heads], np.diff(heads, append=len(numbers))
+        words[met] = count
+        mean[met] += np.add.reduceat(found, heads, axis=0) / count[:, None]
+        for d in range(k):
+            speaks = np.flatnonzero(found[:, d] > 0)
+            once = np.unique(numbers[speaks].astype(np.int64) * (2 * SLOTS) + slots[speaks])
+            strong[:, d] += np.bincount(once // (2 * SLOTS), odds[once % (2 * SLOTS), d], n)
+    shares = np.zeros((n, len(_KINDS)))
+    for i, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        shares[i] = np.bincount(_KIND[data], minlength=len(_KINDS) + 1)[:-1] / max(len(data), 1)
+    return np.column_stack([mean, np.minimum(strong, 30) / 10, np.minimum(10 * shares, 5), np.log1p(words) / 10]), np.maximum(words, 1)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -70,46 +106,88 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 1.0,
     return w
 
 
+def _labelled(documents: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
+    """``text, y, part`` of a hashed sample of labelled documents; y is the worst label's domain."""
+    known = labels.where(col("doc_id").isNotNull() & (col("quality").isNotNull() | col("toxic").isNotNull()))
+    worst = F.when(F.max(F.coalesce(col("toxic"), F.lit(0))) > 0, 2).when(F.min(F.coalesce(col("quality"), F.lit(1))) < 1, 1).otherwise(0)
+    marks = bounded_sample(known.groupBy(col("doc_id")).agg(worst.alias("y")), "doc_id", max_labels)
+    rows = documents.select(col("doc_id"), col("text")).join(F.broadcast(marks), "doc_id")
+    return rows.select("text", "y", crc_mod4(F.col("doc_id")).cast("int").alias("part"))
+
+
+def _slot_counts(rows: DataFrame) -> DataFrame:
+    """(slot, kind, n): documents of each domain and part that hold a slot, summed in each task before the shuffle."""
+    kinds = 2 * len(DOMAINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2 * SLOTS + 1, kinds), np.int64)
+        for batch, texts in text_batches(batches):
+            kind = np.array(batch.column(1)) + len(DOMAINS) * (np.array(batch.column(2)) == 3)
+            for at in range(0, len(texts), 256):
+                for slots, numbers in _slots(texts[at : at + 256]):
+                    once = np.unique(numbers.astype(np.int64) * (2 * SLOTS) + slots)
+                    np.add.at(counts, (once % (2 * SLOTS), kind[at + once // (2 * SLOTS)]), 1)
+            counts[-1] += np.bincount(kind, minlength=kinds)
+        for k in range(kinds):
+            held = np.flatnonzero(counts[:, k])
+            if len(held):
+                yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(np.full(len(held), k, np.int32)), pa.array(counts[held, k])], names=["slot", "kind", "n"])
+
+    return rows.mapInArrow(run, "slot int, kind int, n bigint").groupBy("slot", "kind").agg(F.sum("n").cast("int").alias("n"))
+
+
+def log_odds(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Shrunk log-odds of each domain in each slot against the domain's share, ``CAUTION`` standard errors nearer zero."""
+    n = counts.sum(axis=1, keepdims=True)
+    base = (totals + 0.5) / (totals.sum() + 0.5 * len(totals))
+    rate = (counts + PRIOR * base) / (n + PRIOR)
+    odds = np.log(rate / (1 - rate)) - np.log(base / (1 - base))
+    error = CAUTION * np.sqrt(1 / ((n + PRIOR) * rate) + 1 / ((n + PRIOR) * (1 - rate)))
+    return (np.sign(odds) * np.maximum(np.abs(odds) - error, 0)).astype(np.float32)
+
+
 def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DomainModel:
     """Domain classifier from the labelled table: toxic, else junk (quality 0), else good.
 
     A doc_id labelled more than once takes its worst label; rows without a label at all are left out. At most about
-    ``max_labels`` ids are used. Without labels every domain is equally likely.
+    ``max_labels`` ids are used; a quarter of them (by crc32 of the id) fits the softmax over log-odds counted on the rest.
+    Without labels every domain is equally likely.
     """
-    toxic = toxicity.fit(documents, labels, None, max_labels)
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(toxic)
-    known = labels.where(col("doc_id").isNotNull() & (col("quality").isNotNull() | col("toxic").isNotNull()))
-    worst = F.when(F.max(F.coalesce(col("toxic"), F.lit(0))) > 0, 2).when(F.min(F.coalesce(col("quality"), F.lit(1))) < 1, 1).otherwise(0)
-    marks = bounded_sample(known.groupBy(col("doc_id")).agg(worst.alias("y")), "doc_id", max_labels)
-    rows = documents.select(col("doc_id"), col("text")).join(F.broadcast(marks), "doc_id").select("text", "y")
-
-    def run(batches):
-        scorer = toxicity.TokenScorer(shared.value)
+    rows = _labelled(documents, labels, max_labels)
+    # Bounded by the slots: at most six numbers for each.
+    got = _slot_counts(rows).toArrow()
+    k = len(DOMAINS)
+    counts = np.zeros((2 * SLOTS + 1, 2 * k))
+    counts[got.column("slot").to_numpy(), got.column("kind").to_numpy()] = got.column("n").to_numpy()
+    part, rest = counts[:, :k], counts[:, k:]
+    shared = documents.sparkSession.sparkContext.broadcast(log_odds(part[:-1], part[-1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(_design(texts, scorer).tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+            for at in range(0, len(texts), 256):
+                x, _ = _features(texts[at : at + 256], shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1).slice(at, 256)], names=["x", "y"])
 
-    got = rows.mapInArrow(run, "x array<double>, y int").toArrow()
-    width = len(quality.FEATURES) + 1
-    x = np.array(got.column("x").combine_chunks().flatten(), float).reshape(-1, width)
+    held = rows.where("part = 3").select("text", "y").mapInArrow(run, "x array<double>, y int").toArrow()
+    width = 2 * k + len(_KINDS) + 1
+    x = np.array(held.column("x").combine_chunks().flatten(), float).reshape(-1, width)
     mean, spread = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(width), np.ones(width))
     design = np.column_stack([np.clip((x - mean) / spread, -8, 8), np.ones(len(x))])
-    return DomainModel(mean, spread, fit_softmax(design, got.column("y").to_numpy(), len(DOMAINS)), toxic)
+    whole = part + rest
+    return DomainModel(log_odds(whole[:-1], whole[-1]), mean, spread, fit_softmax(design, held.column("y").to_numpy(), k))
 
 
 def with_posteriors(documents: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
-    """``documents`` with ``posterior array<double>`` over ``DOMAINS``; null texts count as empty."""
+    """``documents`` with ``tokens double`` (words, at least one) and ``posterior array<double>`` over ``DOMAINS``; null texts count as empty."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    scorers: list[toxicity.TokenScorer] = []
 
     def make(_: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
         m = shared.value
-        if not scorers:
-            scorers.append(toxicity.TokenScorer(m.toxic))
-        x = np.clip((_design(texts, scorers[0]) - m.mean) / m.spread, -8, 8)
-        return [pa.array(softmax(x @ m.weights[:-1] + m.weights[-1]).tolist(), pa.list_(pa.float64()))]
+        x, words = _features(texts, m.odds)
+        x = np.clip((x - m.mean) / m.spread, -8, 8)
+        return [pa.array(words, pa.float64()), pa.array(softmax(x @ m.weights[:-1] + m.weights[-1]).tolist(), pa.list_(pa.float64()))]
 
-    return add_columns(documents, "posterior array<double>", make, text)
+    return add_columns(documents, "tokens double, posterior array<double>", make, text)
 
 
 def rate_of(posterior: Column, history: list[list[float]], start: float = 1.0, pull: float = PULL) -> Column:
@@ -153,11 +231,6 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], growth: float = GROWTH
     return history, dict(zip(DOMAINS, totals.tolist()))
 
 
-def token_count(text: Column) -> Column:
-    """Words of a text, at least one, so that every document weighs something."""
-    return F.greatest(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.lit(1)).cast("double")
-
-
 def _copies(rate: Column, key: Column) -> Column:
     """floor(rate), and one more for the share of keys that the fraction asks for, by a hash of the key.
 
@@ -177,7 +250,7 @@ def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] =
     """
     model = fit(documents, labels, max_labels)
     slim = with_posteriors(documents.select(col("doc_id"), text_of().alias("text")), model)
-    rows = write_shared(slim.select("doc_id", token_count(F.col("text")).alias("tokens"), "posterior"), "posteriors")
+    rows = write_shared(slim.select("doc_id", "tokens", "posterior"), "posteriors")
     history, _ = fit_rates(rows, targets)
     rated = rows.withColumn("rate", rate_of(F.col("posterior"), history))
     shares = [F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
@@ -187,11 +260,12 @@ def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] =
 def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_labels: int = MAX_LABELS) -> DataFrame:
     """``documents`` repeated by their copies (0 drops a row); all columns pass through."""
     model = fit(documents, labels, max_labels)
-    columns = [col(c) for c in documents.columns]
-    marked = with_posteriors(documents.withColumns({"_text": text_of()}), model, "_text")
-    slim = with_posteriors(documents.select(text_of().alias("text")), model)
-    rows = write_shared(slim.select(token_count(F.col("text")).alias("tokens"), "posterior"), "posteriors")
-    history, _ = fit_rates(rows, targets)
-    copies = _copies(rate_of(F.col("posterior"), history), col("doc_id"))
+    own = documents.columns
+    slim = with_posteriors(documents.select(col("text")), model)
+    history, _ = fit_rates(write_shared(slim.select("tokens", "posterior"), "posteriors"), targets)
+    # Numbered names keep the columns apart from those added here.
+    numbered = documents.select(*[col(c).alias(f"_{i}") for i, c in enumerate(own)])
+    marked = with_posteriors(numbered, model, f"_{own.index('text')}")
+    copies = _copies(rate_of(F.col("posterior"), history), F.col(f"_{own.index('doc_id')}"))
     repeated = marked.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(*columns)
+    return repeated.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(own)])
