@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cadenza.llm import minhash, mixing, pseudo_likelihood, quality, sentencepiece_codec, sharding, simhash, tiff, toxicity, url_filter
+from cadenza.llm import minhash, mixing, pseudo_likelihood, quality, sentencepiece_codec, sharding, simhash, sql, tiff, toxicity, url_filter
 
 #: Tokenizer model of op7; a path that Spark or Python can open.
 PIECE_MODEL = corpus_pipeline.PIECE_MODEL
@@ -77,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_filter": sql.OP10_URL_FILTER}
