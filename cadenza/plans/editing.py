@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadenza.functions import text as T
-from cadenza.operators import governance, highlights, joins, reports, sequences
+from cadenza.operators import governance, highlights, joins, reconcile, reports, sequences
 from cadenza.plans import views
 from cadenza.plans.registry import register
 from cadenza.plans.views import with_views
@@ -236,3 +236,15 @@ def best_match_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("w"))
     shared = f.join(F.broadcast(q), "w").groupBy("item_id", "doc_id", "n_chars").agg(F.count("*").alias("shared"))
     return joins.best(shared, ["item_id"], [F.col("shared").desc(), F.col("n_chars").desc(), F.col("doc_id")]).select("item_id", "doc_id", "shared")
+
+
+@register("reconciled_words")
+def reconciled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heard words in the script's spelling; a greedy walk, so tests hold it on hand-made cases."""
+    return reconcile.reconcile(views.words(spark, sf_dir), views.asr_words(spark, sf_dir))
+
+
+@register("forced_timing")
+def forced_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every script word timed between aligned hearings."""
+    return reconcile.force_timing(views.words(spark, sf_dir), views.asr_words(spark, sf_dir))
