@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "pricing_summary"
+FLAGSHIP = "pacing_quality"
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
