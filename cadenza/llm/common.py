@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+PIECE_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -80,7 +83,11 @@ def add_columns(df: DataFrame, added: str, make: Callable[[pa.RecordBatch, list[
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(batch.columns, names=own)
+            whole = pa.RecordBatch.from_arrays(batch.columns, names=own)
+            # Pieces of a few megabytes bound what a worker holds in Python objects; a longer row comes alone.
+            step = max(1, int(batch.num_rows * PIECE_BYTES / max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                yield whole.slice(at, step)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(named(batches), text):

@@ -15,12 +15,12 @@ from pyspark.sql.window import Window
 
 from cadenza.llm.common import add_columns, col, text_of, write_shared
 from cadenza.llm.components import connected_components
+from cadenza.llm.word_hashes import word_hashes
 
 PERMUTATIONS = 128
 SHINGLE = 5
 BANDS = 16
 SIMILARITY = 0.8
-MEMO_WORDS = 400_000
 _BLOCK = 2048
 
 
@@ -32,30 +32,19 @@ def permutations(n: int = PERMUTATIONS, seed: int = 1) -> tuple[np.ndarray, np.n
 
 
 class MinHasher:
-    """Signatures of texts; keeps a bounded memo of word hashes."""
+    """Signatures of texts under one set of permutations."""
 
     def __init__(self, n: int = PERMUTATIONS, size: int = SHINGLE):
         self.a, self.b = (x[:, None] for x in permutations(n))
         self.n, self.size = n, size
-        self.memo: dict[str, int] = {}
-
-    def _word(self, word: str) -> int:
-        made = xxhash.xxh64_intdigest(word.encode())
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        if len(word) <= 100:
-            self.memo[word] = made
-        return made
 
     def shingles(self, text: str) -> np.ndarray:
         """Distinct 64-bit shingle hashes: ``size`` words each, or the whole text when it has fewer."""
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known, make = self.memo.get, self._word
-        hashes = np.fromiter([known(w) or make(w) for w in words], np.uint64, len(words))
-        size = min(self.size, len(words))
-        n = len(words) - size + 1
+        hashes = np.concatenate([h for h, _ in word_hashes([text])])
+        if not len(hashes):
+            return hashes
+        size = min(self.size, len(hashes))
+        n = len(hashes) - size + 1
         mixed = np.zeros(n, np.uint64)
         for k in range(size):
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]

@@ -9,8 +9,6 @@ by a grouped sum. A document's score is the sum of its tokens' conditional log-p
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import add_columns, col, text_batches
+from cadenza.llm.word_hashes import word_hashes
 
 SLOTS = 1 << 20
 OWN = 768
@@ -32,8 +31,6 @@ EDGE = TOKENS
 BATCH = 8192
 RATE = 0.08
 ROUNDS = 2
-MEMO_WORDS = 400_000
-_TOKEN = re.compile(r"\w+|[^\w\s]+")
 F32 = np.float32
 
 
@@ -45,34 +42,19 @@ class Vocabulary:
     share: np.ndarray
 
 
-class SlotReader:
-    """Hashed slots of a text's words, with a bounded memo."""
-
-    def __init__(self):
-        self.memo: dict[str, int] = {}
-
-    def _slot(self, word: str) -> int:
-        slot = zlib.crc32(word.encode()) & (SLOTS - 1)
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        if len(word) <= 100:
-            self.memo[word] = slot
-        return slot
-
-    def slots(self, text: str) -> np.ndarray:
-        known, make = self.memo.get, self._slot
-        words = _TOKEN.findall(text.lower())
-        return np.fromiter([s if (s := known(w)) is not None else make(w) for w in words], np.int64, len(words))
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    """Slot of each word hash."""
+    return (hashes >> np.uint64(44)).astype(np.int64)
 
 
 def corpus_counts(documents: DataFrame) -> np.ndarray:
     """Count of every hashed slot over all documents; each task sums its own part before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts = SlotReader(), np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.int64)
         for _, texts in text_batches(batches):
-            for text in texts:
-                np.add.at(counts, reader.slots(text), 1)
+            for hashes, _ in word_hashes(texts):
+                counts += np.bincount(slots_of(hashes), minlength=SLOTS)
         at = np.flatnonzero(counts)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"])
@@ -111,7 +93,7 @@ def first_weights(seed: int = 7) -> Weights:
 def _context(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Tokens at each side offset; ``EDGE`` beyond a document's ends. ``starts`` gives each token's document number."""
     n = len(tokens)
-    out = np.full((len(SIDES), n), EDGE, np.int32)
+    out = np.full((len(SIDES), n), EDGE, np.int16)
     for k, side in enumerate(SIDES):
         low, high = max(0, -side), min(n, n - side)
         if low < high:
@@ -120,34 +102,47 @@ def _context(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def _hidden(w: Weights, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bag = sum(w["embed"][context[k]] * w["place"][k] for k in range(len(SIDES)))
+    bag = w["embed"][context[0]] * w["place"][0]
+    for k in range(1, len(SIDES)):
+        bag += w["embed"][context[k]] * w["place"][k]
     return bag, np.tanh(bag @ w["inner"] + w["inner_bias"])
 
 
-def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that brings equal classes together, and the class boundaries in it."""
-    group = tokens // PER_CLASS
+def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Order that brings equal classes together, and the class boundaries in it; one byte a class lets numpy use a radix sort."""
+    group = (tokens // PER_CLASS).astype(np.uint8)
     order = np.argsort(group, kind="stable")
-    return order, np.searchsorted(group[order], np.arange(CLASSES + 1))
+    return order, np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+
+
+def _target_log(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row at its target."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), target]
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def _error(x: np.ndarray, target: np.ndarray, scale: float) -> np.ndarray:
+    """(softmax - one-hot target) * scale, in place of ``x``."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x *= scale / x.sum(axis=1, keepdims=True)
+    x[np.arange(len(x)), target] -= scale
+    return x
 
 
 def log_probabilities(w: Weights, tokens: np.ndarray, context: np.ndarray) -> np.ndarray:
     """log P(token | both sides) of each token."""
     _, hidden = _hidden(w, context)
-    out = _log_softmax(hidden @ w["group"].T + w["group_bias"])[np.arange(len(tokens)), tokens // PER_CLASS]
+    out = _target_log(hidden @ w["group"].T + w["group_bias"], tokens // PER_CLASS)
     order, edges = _by_class(tokens)
+    near, place, inner = hidden[order], (tokens % PER_CLASS)[order], np.empty(len(tokens), F32)
     for c in range(CLASSES):
-        at = order[edges[c] : edges[c + 1]]
-        if len(at):
+        if (low := edges[c]) < (high := edges[c + 1]):
             block = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            inner = _log_softmax(hidden[at] @ w["word"][block].T + w["word_bias"][block])
-            out[at] += inner[np.arange(len(at)), tokens[at] % PER_CLASS]
+            inner[low:high] = _target_log(near[low:high] @ w["word"][block].T + w["word_bias"][block], place[low:high])
+    out[order] += inner
     return out
 
 
@@ -155,56 +150,46 @@ def gradient_step(w: Weights, tokens: np.ndarray, context: np.ndarray, state: We
     """One step on a batch: mean gradient scaled by its running squares (Adagrad); changes ``w`` and ``state``."""
     n = len(tokens)
     bag, hidden = _hidden(w, context)
+    scale = F32(1.0 / n)
     grad: Weights = {}
-    error = np.exp(_log_softmax(hidden @ w["group"].T + w["group_bias"]))
-    error[np.arange(n), tokens // PER_CLASS] -= 1
-    error /= n
+    error = _error(hidden @ w["group"].T + w["group_bias"], tokens // PER_CLASS, scale)
     grad["group"], grad["group_bias"] = error.T @ hidden, error.sum(axis=0)
     back = error @ w["group"]
     grad["word"], grad["word_bias"] = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
     order, edges = _by_class(tokens)
+    near, place, inner = hidden[order], (tokens % PER_CLASS)[order], np.empty_like(hidden)
     for c in range(CLASSES):
-        at = order[edges[c] : edges[c + 1]]
-        if len(at):
+        if (low := edges[c]) < (high := edges[c + 1]):
             block = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            near = hidden[at]
-            error = np.exp(_log_softmax(near @ w["word"][block].T + w["word_bias"][block]))
-            error[np.arange(len(at)), tokens[at] % PER_CLASS] -= 1
-            error /= n
-            grad["word"][block], grad["word_bias"][block] = error.T @ near, error.sum(axis=0)
-            back[at] += error @ w["word"][block]
+            error = _error(near[low:high] @ w["word"][block].T + w["word_bias"][block], place[low:high], scale)
+            grad["word"][block], grad["word_bias"][block] = error.T @ near[low:high], error.sum(axis=0)
+            inner[low:high] = error @ w["word"][block]
+    back[order] += inner
     back *= 1 - hidden**2
     grad["inner"], grad["inner_bias"] = bag.T @ back, back.sum(axis=0)
     back = back @ w["inner"].T
     grad["place"] = np.zeros_like(w["place"])
     grad["embed"] = np.zeros_like(w["embed"])
     for k in range(len(SIDES)):
-        grad["place"][k] = (back * w["embed"][context[k]]).sum(axis=0)
-        # Sums of rows by token: sorting first keeps the scatter in order.
+        # Sums of rows by token: sorted by token (two bytes each, a radix sort), runs are summed at once.
         by = np.argsort(context[k], kind="stable")
         ids = context[k][by]
         heads = np.flatnonzero(np.diff(ids, prepend=-1))
-        grad["embed"][ids[heads]] += np.add.reduceat((back * w["place"][k])[by], heads, axis=0)
+        sums = np.add.reduceat(back[by], heads, axis=0)
+        met = ids[heads]
+        grad["place"][k] = (sums * w["embed"][met]).sum(axis=0)
+        grad["embed"][met] += sums * w["place"][k]
     for name, g in grad.items():
         state[name] += g * g
         w[name] -= rate * g / (np.sqrt(state[name]) + 1e-8)
 
 
-def _streams(texts: list[str], reader: SlotReader, words: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tokens, slots, document numbers) of consecutive texts, joined up to about ``BATCH`` tokens; long texts come in one piece."""
-    held, size = [], 0
-    for number, text in enumerate(texts):
-        slots = reader.slots(text)
-        if len(slots):
-            held.append((slots, np.full(len(slots), number)))
-            size += len(slots)
-        if size >= BATCH:
-            slots, starts = (np.concatenate(x) for x in zip(*held))
-            yield words.token[slots].astype(np.int64), slots, starts
-            held, size = [], 0
-    if held:
-        slots, starts = (np.concatenate(x) for x in zip(*held))
-        yield words.token[slots].astype(np.int64), slots, starts
+def _streams(texts: list[str], words: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, slots, text numbers) of blocks of whole texts."""
+    for hashes, numbers in word_hashes(texts):
+        if len(hashes):
+            slots = slots_of(hashes)
+            yield words.token[slots], slots, numbers
 
 
 def train(documents: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Weights:
@@ -222,9 +207,9 @@ def train(documents: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: f
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             w = {k: v.copy() for k, v in shared.value.items()}
             state = {k: np.full_like(v, 1e-6) for k, v in w.items()}
-            reader, seen = SlotReader(), 0
+            seen = 0
             for _, texts in text_batches(batches):
-                for tokens, _, starts in _streams(texts, reader, shared_words.value):
+                for tokens, _, starts in _streams(texts, shared_words.value):
                     context = _context(tokens, starts)
                     for at in range(0, len(tokens), BATCH):
                         gradient_step(w, tokens[at : at + BATCH], context[:, at : at + BATCH], state, rate)
@@ -270,12 +255,10 @@ def with_scores(documents: DataFrame, model: LanguageModel, text: str = "text")
     Null texts count as empty: no tokens and a score of 0. Columns of these names are replaced, others pass through.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    reader = SlotReader()
-
     def make(_: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
         m = shared.value
         n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for tokens, slots, starts in _streams(texts, reader, m.words):
+        for tokens, slots, starts in _streams(texts, m.words):
             context = _context(tokens, starts)
             for at in range(0, len(tokens), BATCH):
                 part = slice(at, at + BATCH)

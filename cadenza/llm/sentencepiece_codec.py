@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterable
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
@@ -26,8 +27,8 @@ from cadenza.llm.common import add_columns, col
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-MEMO_WORDS = 300_000
-MEMO_PAIRS = 600_000
+MEMO_WORDS = 200_000
+MEMO_PAIRS = 400_000
 LONG_WORD = 200
 
 
@@ -277,7 +278,9 @@ def encode_documents(documents: DataFrame, model_path: str, text: str = "text",
             pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows], pa.string()),
         ]
         if with_ids:
-            made.append(pa.array([[int(i) for i in r[1].split(",")] if r[1] else [] for r in rows], pa.list_(pa.int32())))
+            flat = ",".join([r[1] for r in rows if r[1]])
+            values = np.array(flat.split(",") if flat else [], np.int32)
+            made.append(pa.ListArray.from_arrays(np.cumsum([0, *[r[0] for r in rows]], dtype=np.int32), pa.array(values)))
         return made
 
     added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -30,7 +30,7 @@ DRIFT = 0.5
 CAUTION = 1.5
 MAX_LABELS = 200_000
 TOP = 8
-MEMO_TOKENS = 500_000
+MEMO_TOKENS = 250_000
 _TOKEN = re.compile(r"\w+")
 
 
