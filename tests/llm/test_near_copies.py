@@ -65,6 +65,25 @@ def test_vantage_rounds_and_chunks_lose_no_component(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, true.values()))
 
 
+def test_vantage_rounds_keep_the_bridge_between_two_balls(spark):
+    """Chains of six codes 40 bits apart, one a shard: x and y of v1-x-y-v2 lie in different balls and only x-y joins them."""
+    rng = np.random.default_rng(6)
+    chains = []
+    for _ in range(40):
+        bits = rng.integers(0, 2, near_copies.BITS, np.uint8)
+        flips = rng.permutation(near_copies.BITS)
+        chain = [bits]
+        for k in range(5):
+            bits = bits.copy()
+            bits[flips[40 * k : 40 * k + 40]] ^= 1
+            chain.append(bits)
+        chains.append([tuple(c) for c in np.packbits(np.array(chain), axis=1).view(np.int64).tolist()])
+    rows = spark.createDataFrame([(i, c, True) for i, chain in enumerate(chains) for c in chain], f"shard bigint, code {near_copies.CODE}, home boolean")
+    left, links = near_copies.vantage_rounds(rows, shard_rows=1, rounds=6)
+    roots = {tuple(r["node"]): tuple(r["root"]) for r in connected_components(near_copies.shard_links(near_copies.chunked(left, 16)).union(links)).collect()}
+    assert [len({roots.get(c, c) for c in chain}) for chain in chains] == [1] * 40
+
+
 def test_edited_copies_go_and_others_stay(spark):
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(60)]
