@@ -48,6 +48,25 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(col(name), F.lit(""))
 
 
+def row_mark() -> Column:
+    """MD5 of a row's text; with the doc_id it names the row."""
+    return F.md5(text_of().cast("binary"))
+
+
+def row_rank(mark: Column) -> Column:
+    """Rank of a row in its group: null ids last, then by id and mark."""
+    return F.struct(col("doc_id").isNull().alias("no_id"), col("doc_id").alias("id"), mark.alias("mark"))
+
+
+def keep_ranked(documents: DataFrame, first: DataFrame) -> DataFrame:
+    """``documents`` that the ranks in ``first`` (one for each group) name, each row once; of repeated ids one row, of null ids all."""
+    repeated = F.when(F.col("first")["no_id"], F.col("first")["mark"])
+    chosen = first.groupBy(F.col("first")["id"].alias("_first"), repeated.alias("_repeated")).agg(F.min(F.col("first")["mark"]).alias("_chosen"))
+    marked = documents.withColumn("_mark", row_mark())
+    kept = marked.join(chosen, col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_mark") == F.col("_chosen")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+
+
 def crc_mod4(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4 (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import add_columns, col, write_shared
+from cadenza.llm.common import add_columns, col, keep_ranked, row_mark, row_rank, write_shared
 from cadenza.llm.components import connected_components
 
 BITS = 64
@@ -246,11 +246,11 @@ def components(documents: DataFrame, radius: int = RADIUS, size: int = 4) -> Dat
 
 
 def keep_first(documents: DataFrame, radius: int = RADIUS, size: int = 4) -> DataFrame:
-    """``documents`` with one row of each component: that of the smallest doc_id (of repeated ids one row).
+    """``documents`` with one row of each component: that of the smallest doc_id and then text hash (of repeated ids one row).
 
-    All columns pass through. A component whose ids are all null keeps one row.
+    All columns pass through. Each component whose ids are all null keeps one row.
     """
-    slim = components(documents, radius, size)
-    keep = slim.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fingerprint").alias("_mark"))
-    first = documents.join(keep, col("doc_id").eqNullSafe(F.col("component_id")), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    slim = with_fingerprints(documents.select(col("doc_id"), col("text"), row_mark().alias("mark")), size)
+    codes = write_shared(slim.groupBy(F.col("fingerprint").alias("code")).agg(F.min(row_rank(F.col("mark"))).alias("first")), "codes")
+    roots = codes.join(code_components(codes.select("code"), radius), "code")
+    return keep_ranked(documents, write_shared(roots.groupBy("root").agg(F.min("first").alias("first")), "kept"))

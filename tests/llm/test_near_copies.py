@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import near_copies
+from cadenza.llm import near_copies, simhash
 from cadenza.llm.components import connected_components
 from cadenza.llm.minhash import hasher
 
@@ -108,6 +109,17 @@ def test_odd_rows(odd, empty, clashing):
     assert near_copies.keep_first(empty).count() == 0
 
 
+@pytest.mark.parametrize("keep_first", [near_copies.keep_first, simhash.keep_first])
+def test_every_group_keeps_a_row_of_its_own(spark, keep_first):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(6)]
+    # Four groups without ids, one with a repeated row; id 5 stands for a text that group 4 need not keep and for all of group 5.
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0]), (3, texts[4]), (5, texts[4]), (5, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [(r["doc_id"], r["text"]) for r in keep_first(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, t) for t in texts[:4]] + [(3, texts[4]), (5, texts[5])], key=str)
+
+
 def test_distance(spark):
     a, b = spark.range(1).select(F.struct(*[F.lit(k).cast("long").alias(f"w{k}") for k in range(4)]).alias("a")).first()["a"], [0, 0, 0, -1]
     row = spark.createDataFrame([(tuple(a), tuple(b))], f"a {near_copies.CODE}, b {near_copies.CODE}")
