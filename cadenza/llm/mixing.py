@@ -9,6 +9,7 @@ distributed sum; a document's rate is the fold of those numbers over its own pos
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ PULL = 1e-3
 #: Tokens asked for, as a multiple of those that meet the target of the domain with the most to give.
 GROWTH = 1.25
 KEEP_AT = 0.5
+#: Share of its target by which a domain may miss it without a warning.
+MISS = 0.05
 
 
 #: Hashed slots of words and of word beginnings, the bytes of a beginning, and the prior weight of the domain rates.
@@ -241,6 +244,19 @@ def _copies(rate: Column, key: Column) -> Column:
     return F.when(rate >= KEEP_AT, F.greatest(drawn, F.lit(1))).otherwise(drawn).cast("int")
 
 
+def reached(rows: DataFrame, history: list[list[float]], totals: dict[str, float]) -> dict[str, tuple[float, float, float]]:
+    """Target, expected and realised tokens of each domain for rows with ``doc_id``; a warning names those that miss their target."""
+    rate = rate_of(F.col("posterior"), history)
+    rated = rows.select("posterior", "tokens", rate.alias("rate"), _copies(rate, F.col("doc_id")).alias("copies"))
+    of = lambda n: [F.coalesce(F.sum(F.col("tokens") * F.col("posterior")[k] * F.col(n)), F.lit(0.0)).alias(f"{n}{k}") for k in range(len(DOMAINS))]
+    got = list(rated.agg(*of("rate"), *of("copies")).first())
+    out = {d: (totals[d], got[k], got[k + len(DOMAINS)]) for k, d in enumerate(DOMAINS)}
+    missed = [f"{d}: target {t:.0f}, expected {e:.0f}, realised {r:.0f}" for d, (t, e, r) in out.items() if max(abs(e - t), abs(r - t)) > MISS * t]
+    if missed:
+        warnings.warn("targets of the mixture not met, in tokens: " + "; ".join(missed), stacklevel=3)
+    return out
+
+
 def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_labels: int = MAX_LABELS) -> DataFrame:
     """doc_id, tokens, p_good, p_junk, p_toxic, rate, copies of every document.
 
@@ -251,7 +267,8 @@ def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] =
     model = fit(documents, labels, max_labels)
     slim = with_posteriors(documents.select(col("doc_id"), text_of().alias("text")), model)
     rows = write_shared(slim.select("doc_id", "tokens", "posterior"), "posteriors")
-    history, _ = fit_rates(rows, targets)
+    history, totals = fit_rates(rows, targets)
+    reached(rows, history, totals)
     rated = rows.withColumn("rate", rate_of(F.col("posterior"), history))
     shares = [F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
     return rated.select("doc_id", F.col("tokens").cast("long").alias("tokens"), *shares, "rate", _copies(F.col("rate"), F.col("doc_id")).alias("copies"))
@@ -261,8 +278,10 @@ def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TAR
     """``documents`` repeated by their copies (0 drops a row); all columns pass through."""
     model = fit(documents, labels, max_labels)
     own = documents.columns
-    slim = with_posteriors(documents.select(col("text")), model)
-    history, _ = fit_rates(write_shared(slim.select("tokens", "posterior"), "posteriors"), targets)
+    slim = with_posteriors(documents.select(col("doc_id"), col("text")), model)
+    rows = write_shared(slim.select("doc_id", "tokens", "posterior"), "posteriors")
+    history, totals = fit_rates(rows, targets)
+    reached(rows, history, totals)
     # Numbered names keep the columns apart from those added here.
     numbered = documents.select(*[col(c).alias(f"_{i}") for i, c in enumerate(own)])
     marked = with_posteriors(numbered, model, f"_{own.index('text')}")

@@ -417,6 +417,24 @@ def test_mixture_of_documents(documents, labels):
     assert rows[rows.toxic == 1].rate.mean() < good.rate.mean()
 
 
+@pytest.mark.parametrize("call", [mixing.mixture, mixing.mix])
+def test_default_call_reports_missed_targets(documents, labels, call):
+    """The default steps leave more toxic tokens than asked for, and the caller learns it."""
+    with pytest.warns(UserWarning, match="toxic: target"):
+        call(documents, labels)
+
+
+def test_reached_totals(spark):
+    rng = np.random.default_rng(7)
+    p, tokens = rng.dirichlet([1, 1, 1], 60), rng.integers(1, 50, 60).astype(float)
+    rows = spark.createDataFrame([(i, float(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(tokens, p))], "doc_id bigint, tokens double, posterior array<double>")
+    out = mixing.reached(rows, [[0.3, 0.1, -0.2]], dict.fromkeys(mixing.DOMAINS, 1.0))
+    r = np.maximum(0, 1 - p @ [0.3, 0.1, -0.2])
+    assert np.allclose([x[1] for x in out.values()], (r * tokens) @ p)
+    copies = np.array([x["c"] for x in rows.orderBy("doc_id").select(mixing._copies(mixing.rate_of(F.col("posterior"), [[0.3, 0.1, -0.2]]), F.col("doc_id")).alias("c")).collect()])
+    assert np.allclose([x[2] for x in out.values()], (copies * tokens) @ p)
+
+
 # URL filter
 
 
