@@ -19,12 +19,17 @@ PIECE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is missing, as in tests, a local folder is made and set.
+    Only where the setting is missing and the master is local, as in tests, a local folder is made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = jvm_dir.get() if jvm_dir.isDefined() else f"file://{tempfile.mkdtemp(prefix='cadenza-')}"
+        if jvm_dir.isDefined():
+            folder = jvm_dir.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = f"file://{tempfile.mkdtemp(prefix='cadenza-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
@@ -32,10 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back; this cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/cadenza/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet into the shared folder and read it back; this cuts its lineage. The table goes when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cadenza/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def col(name: str) -> Column:
@@ -84,11 +92,18 @@ def bounded_sample(df: DataFrame, key: str, max_rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(col(key)), F.lit(1 << 30)) < keep)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], name: str | None = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Each Arrow batch with its texts as Python strings (none without a name); null counts as empty."""
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to a few megabytes, which bounds what a worker holds in Python objects; a longer row comes alone."""
     for batch in batches:
-        if batch.num_rows:
-            yield batch, [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()] if name else []
+        step = max(1, int(batch.num_rows * PIECE_BYTES / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], name: str | None = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Each piece of the Arrow batches with its texts as Python strings (none without a name); null counts as empty."""
+    for batch in pieces(batches):
+        yield batch, [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()] if name else []
 
 
 def add_columns(df: DataFrame, added: str, make: Callable[[pa.RecordBatch, list[str]], list[pa.Array]], text: str | None = "text") -> DataFrame:
@@ -102,11 +117,7 @@ def add_columns(df: DataFrame, added: str, make: Callable[[pa.RecordBatch, list[
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = pa.RecordBatch.from_arrays(batch.columns, names=own)
-            # Pieces of a few megabytes bound what a worker holds in Python objects; a longer row comes alone.
-            step = max(1, int(batch.num_rows * PIECE_BYTES / max(batch.nbytes, 1)))
-            for at in range(0, batch.num_rows, step):
-                yield whole.slice(at, step)
+            yield pa.RecordBatch.from_arrays(batch.columns, names=own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(named(batches), text):

@@ -27,8 +27,9 @@ from cadenza.llm.common import add_columns, col
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-MEMO_WORDS = 200_000
-MEMO_PAIRS = 400_000
+#: Bounds of a worker's memos, some 30 MB each: words with their encoding, and pairs of tokens.
+MEMO_WORDS = 60_000
+MEMO_PAIRS = 150_000
 LONG_WORD = 200
 
 

@@ -11,21 +11,28 @@ from collections.abc import Iterator
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
+#: Powers kept by a worker; a longer string, which is rare, gets its own for the time of its hashing.
+KEPT_POWERS = 1 << 20
+BLANKS = "\t\n\v\f\r "
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+    """Powers of the base and of its inverse modulo 2**64, at least n of each; no more than ``KEPT_POWERS`` stay in memory."""
+    kept = _POWERS.get("both")
+    if kept is not None and len(kept[0]) >= n:
+        return kept
+    made = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= KEPT_POWERS:
+        _POWERS["both"] = (made[0], made[1])
+    return made[0], made[1]
 
 
 def _hash(joined: str, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -48,14 +55,18 @@ def _hash(joined: str, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(text: str) -> Iterator[str]:
-    """A text cut at blanks into pieces of about ``PIECE_CHARS``."""
+    """A text cut at blanks into pieces of about ``PIECE_CHARS``; a word longer than that stays whole in a longer piece."""
     at = 0
     while len(text) - at > PIECE_CHARS:
-        cut = max(text.rfind(" ", at, at + PIECE_CHARS), text.rfind("\n", at, at + PIECE_CHARS))
-        cut = cut if cut > at else at + PIECE_CHARS
+        cut = max(text.rfind(blank, at + 1, at + PIECE_CHARS) for blank in BLANKS)
+        if cut < 0:
+            later = [found for blank in BLANKS if (found := text.find(blank, at + PIECE_CHARS)) >= 0]
+            if not later:
+                break
+            cut = min(later)
         yield text[at:cut]
         at = cut
-    yield text[at:] if at else text
+    yield text[at:]
 
 
 def word_hashes(texts: list[str], chars: int = PIECE_CHARS, prefix: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
