@@ -1,4 +1,8 @@
-"""MinHash fingerprints: universal hash permutations over word shingles, banded and verified in Spark."""
+"""MinHash fingerprints: universal hash permutations over word shingles, banded and verified in Spark.
+
+Signature bands of ``BAND_ROWS`` minima are joined in Spark: two texts at similarity 0.8 share one of ``BANDS`` with a chance of
+0.998. Candidates count only if the exact Jaccard similarity of their shingles confirms them.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +11,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadenza.llm.common import add_columns, col, text_of, write_shared
+from cadenza.llm.common import add_columns, col, pieces, text_of, write_shared
 from cadenza.llm.components import connected_components
+from cadenza.llm.verified_links import band_keys, confirmed_links, rep_of, sets_of, shared_buckets
 from cadenza.llm.word_hashes import word_hashes
 
 PERMUTATIONS = 128
 SHINGLE = 5
-BANDS = 16
+BANDS, BAND_ROWS = 21, 6
 SIMILARITY = 0.8
+#: Differing minima beyond which a pair is not tried: at similarity 0.8 about 26 of 128 differ, with a deviation of 4.5.
+RADIUS = 48
 _BLOCK = 2048
 
 
 def permutations(n: int = PERMUTATIONS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers (odd) and offsets of the multiply-shift family x -> (a x + b mod 2**64) >> 48."""
+    """Multipliers (odd) and offsets of the universal family x -> a x + b mod 2**64."""
     rng = np.random.default_rng(seed)
     top = np.iinfo(np.uint64).max
     return rng.integers(0, top, n, np.uint64, endpoint=True) | np.uint64(1), rng.integers(0, top, n, np.uint64, endpoint=True)
@@ -51,14 +57,23 @@ class MinHasher:
         mixed ^= mixed >> np.uint64(32)
         return np.unique(mixed)
 
-    def signature(self, text: str) -> np.ndarray:
-        """16-bit minima of every permutation; all ones without words."""
-        shingles = self.shingles(text)
+    def minima(self, shingles: np.ndarray) -> np.ndarray:
+        """16 mixed bits of the minimum under every permutation; all ones without shingles.
+
+        The smallest of many hashes has its high bits near zero in every text, so the bits kept are those of its mixture.
+        """
+        if not len(shingles):
+            return np.full(self.n, 0xFFFF, np.uint16)
         low = np.full(self.n, np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(shingles), _BLOCK):
             hashed = self.a * shingles[None, at : at + _BLOCK] + self.b
             np.minimum(low, hashed.min(axis=1), out=low)
-        return (low >> np.uint64(48)).astype(np.uint16) if len(shingles) else np.full(self.n, 0xFFFF, np.uint16)
+        low ^= low >> np.uint64(32)
+        return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+
+    def signature(self, text: str) -> np.ndarray:
+        """Minima of a whole text."""
+        return self.minima(self.shingles(text))
 
 
 _HASHERS: dict[tuple[int, int], MinHasher] = {}
@@ -70,7 +85,7 @@ def hasher(n: int = PERMUTATIONS, size: int = SHINGLE) -> MinHasher:
 
 
 def with_signatures(documents: DataFrame, size: int = SHINGLE, text: str = "text") -> DataFrame:
-    """``documents`` with ``signature binary`` (two bytes for each permutation); null texts count as empty."""
+    """``documents`` with ``signature binary`` (two little-endian bytes for each permutation); null texts count as empty."""
 
     def make(_: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
         return [pa.array([hasher(size=size).signature(t).tobytes() for t in texts], pa.binary())]
@@ -83,63 +98,54 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS) -> DataFrame:
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of differing minima of each signature of ``a`` and each of ``b``."""
+    apart = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        apart += a[:, k][:, None] != b[:, k][None, :]
+    return apart
+
+
+def _classes(documents: DataFrame, rows: DataFrame, similarity: float, size: int) -> DataFrame:
+    """``(rep, class_id, links)`` of every rep that several rows or linked texts share; ``rows`` have doc_id, rep and binary ``signature``."""
+    shared = shared_buckets(rows, band_keys(F.col("signature"), BANDS, 2 * BAND_ROWS))
+    needed = write_shared(shared.select("rep").distinct(), "needed")
+    sets = sets_of(documents, needed, hasher(size=size).shingles)
+    codes = rows.select("rep", F.col("signature").alias("code")).join(needed, "rep", "left_semi").dropDuplicates(["rep"])
+    links = write_shared(confirmed_links(shared, sets, codes, differing, "uint16", RADIUS, similarity).distinct(), "links")
+    roots = connected_components(links)
+    folded = rows.groupBy("rep").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n"))
+    ids = folded.join(roots, folded["rep"] == roots["node"], "left").where("_n > 1 or root is not null")
+    ids = write_shared(ids.select("rep", "first", F.coalesce("root", "rep").alias("root")), "folded")
+    least = ids.groupBy("root").agg(F.min("first").alias("class_id"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    named = ids.join(least, "root").select("rep", "class_id").join(degree, "rep", "left")
+    return write_shared(named.select("rep", "class_id", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+
+
+def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with class_id and links; a row alone in its class names the class."""
+    found = classes.withColumn("_found", F.lit(True))
+    joined = rows.join(found, "rep", "left")
+    return joined.withColumn("class_id", F.when(F.col("_found"), F.col("class_id")).otherwise(F.col("doc_id"))).withColumn("links", F.coalesce("links", F.lit(0))).drop("_found")
+
+
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """doc_id, class_id and links of every document; class_id is the smallest doc_id reachable.
 
-    Texts of one shingle set are first folded into one representative. Signature bands are joined in
-    Spark: within a band's bucket a member is compared with the bucket's smallest member, which the join gives
-    in one pass without pairing the others; members that the exact Jaccard similarity of their shingles does
-    not confirm stay in the bucket for the next pass with the next smallest, until it is empty. ``links`` counts the
-    confirmed partners that way. Null texts count as empty, null ids sort last, repeated rows give a row each.
+    Texts of one shingle set are first folded into one representative. Signature bands are joined in Spark and every candidate is
+    verified (``verified_links``). ``links`` counts the confirmed partners that connect the class, not all pairs. Null texts
+    count as empty, null ids sort last (a class whose ids are all null has a null id), repeated rows give a row each.
     """
-    pairs, members, folded = _verified(documents, similarity, size, bands)
-    roots = connected_components(pairs.select("a", "b"))
-    ids = folded.join(roots, folded["rep"] == roots["node"], "left").select("rep", "first", F.coalesce("root", "rep").alias("root"))
-    least = ids.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = ids.join(least, "root").select("rep", "class_id")
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    return members.join(named.join(degree, "rep", "left"), "rep").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-
 
-def _shingle_rows(documents: DataFrame, size: int) -> DataFrame:
     def make(_: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
         maker = hasher(size=size)
         found = [maker.shingles(t) for t in texts]
-        return [
-            pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
-            pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64), pa.int64()),
-        ]
-
-    return add_columns(documents, "shingles array<bigint>, rep bigint", make)
+        return [pa.array([rep_of(s) for s in found], pa.int64()), pa.array([maker.minima(s).tobytes() for s in found], pa.binary())]
 
-
-def _verified(documents: DataFrame, similarity: float, size: int, bands: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    slim = documents.select(col("doc_id"), text_of().alias("text"))
-    rows = _shingle_rows(with_signatures(slim, size), size).drop("text")
-    members = write_shared(rows.select("doc_id", "rep"), "members")
-    folded = write_shared(
-        rows.groupBy("rep").agg(F.min("doc_id").alias("first"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles")), "folded"
-    )
-    width = 2 * PERMUTATIONS // bands
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 1 + i * width, width)) for i in range(bands)])
-    open_rows = write_shared(folded.select(F.explode(keys).alias("bucket"), "rep"), "buckets")
-    sets = folded.select("rep", "shingles")
-    found = None
-    while True:
-        leader = open_rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-        tried = open_rows.join(leader, "bucket").where("rep <> leader").select("bucket", "rep", "leader")
-        wanted = tried.select("rep", "leader").distinct()
-        shared = F.size(F.array_intersect("shingles", "_other"))
-        joined = wanted.join(sets, "rep").join(sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("_other")), "leader")
-        near = shared / F.greatest(F.size("shingles") + F.size("_other") - shared, F.lit(1)) >= similarity
-        both_empty = (F.size("shingles") == 0) & (F.size("_other") == 0)
-        good = write_shared(joined.where(near | both_empty).select(F.col("leader").alias("a"), F.col("rep").alias("b")), "verified")
-        found = good if found is None else found.union(good)
-        rest = write_shared(tried.select("bucket", "rep"), "buckets")
-        if not rest.take(1):
-            break
-        open_rows = rest
-    return write_shared(found.distinct(), "pairs"), members, folded
+    slim = add_columns(documents.select(col("doc_id"), col("text")), "rep bigint, signature binary", make)
+    rows = write_shared(slim.drop("text"), "members")
+    return _with_classes(rows, _classes(documents, rows, similarity, size)).select("doc_id", "class_id", "links")
 
 
 def _ordered(documents: DataFrame) -> DataFrame:
@@ -150,29 +156,40 @@ def _ordered(documents: DataFrame) -> DataFrame:
     """
 
     def make(_: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         return [pa.array([pack(t.encode()) for t in texts], pa.binary())]
 
     slim = documents.select(col("doc_id"), text_of().alias("text"))
     packed = add_columns(slim, "packed binary", make).select("doc_id", F.xxhash64("text").alias("_tie"), F.monotonically_increasing_id().alias("_place"), "packed")
     keys = [F.col("doc_id").desc_nulls_last(), F.col("_tie"), F.col("_place")]
-    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Range partitions grow with the input: as many as its splits, or the session's setting where that is more.
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), packed.rdd.getNumPartitions())
     return packed.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).select("doc_id", "packed", F.spark_partition_id().alias("part"))
 
 
-PAIR = "doc_id bigint, n_chars bigint, edited_sha256 string, signature binary, edited binary, near_edited double, near_next double"
+PAIR = "doc_id bigint, n_chars bigint, edited_sha256 string, rep bigint, signature binary, edited binary, near_edited double, near_next double"
 ENDS = "part int, first binary, last binary"
 _ARROW = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "int": pa.int32()}
 
 
-def _pair(doc_id: int | None, own: str, own_signature: np.ndarray, after: str, after_signature: np.ndarray) -> tuple:
+Known = tuple[str, int, np.ndarray]
+
+
+def _known(text: str) -> Known:
+    """A text with its rep and signature."""
+    shingles = hasher().shingles(text)
+    return text, rep_of(shingles), hasher().minima(shingles)
+
+
+def _pair(doc_id: int | None, own: Known, after: Known) -> tuple:
     """A document's digest given the text that follows it."""
-    half = len(own) // 2
-    edited = own[: len(own) - half] + after[:half]
+    text, rep, own_signature = own
+    half = len(text) // 2
+    edited = text[: len(text) - half] + after[0][:half]
     signature = hasher().signature(edited)
     return (
-        doc_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_signature.astype(">u2").tobytes(), signature.astype(">u2").tobytes(),
-        likeness(own_signature, signature), likeness(own_signature, after_signature),
+        doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), rep, own_signature.astype(">u2").tobytes(), signature.astype(">u2").tobytes(),
+        likeness(own_signature, signature), likeness(own_signature, after[2]),
     )
 
 
@@ -184,29 +201,29 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of all rows of a sorted partition but the last, and one row with the partition's first and last text."""
     unpack = zstandard.ZstdDecompressor().decompress
-    before, first, blank = None, None, (None,) * 7
-    for batch in batches:
+    before, first, blank = None, None, (None,) * 8
+    for batch in pieces(batches):
         rows = []
         for doc_id, packed, part in zip(*(c.to_pylist() for c in batch.columns)):
-            text = unpack(packed).decode()
-            signature = hasher().signature(text)
+            known = _known(unpack(packed).decode())
             if before is not None:
-                rows.append((*_pair(*before, text, signature), None, None, None))
+                rows.append((*_pair(*before, known), None, None, None))
             first = first or (part, packed)
-            before, last = (doc_id, text, signature), (doc_id, packed)
+            before, last = (doc_id, known), (doc_id, packed)
         if rows:
             yield _batch(rows, f"{PAIR}, {ENDS}")
     if first is not None:
         yield _batch([(last[0], *blank[1:], *first, last[1])], f"{PAIR}, {ENDS}")
 
 
-def fingerprint_digest(documents: DataFrame) -> DataFrame:
-    """Fingerprint of every text and of its edited text, whose last half is the start of the next document.
+def fingerprint_digest(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Fingerprint of every text and of its edited text, whose last half is the start of the next document; and its near-duplicate class.
 
     Next is by descending doc_id (ties by a hash of the text), after the last comes the first. Null texts
     count as empty, repeated rows each give a row, extra columns are ignored, an empty table gives
     no rows. Texts are shuffled once, packed, into sorted range partitions; each task pairs neighbours as it
     streams. Only the first and last text of a partition meet those of others, in a join of one row a partition.
+    ``class_id`` and ``links`` come from the fingerprints' bands, joined and verified as in ``near_duplicates``.
     """
     found = write_shared(_ordered(documents).mapInArrow(_neighbours, f"{PAIR}, {ENDS}"), "neighbours")
     ends = found.where("part is not null")
@@ -218,16 +235,16 @@ def fingerprint_digest(documents: DataFrame) -> DataFrame:
 
     def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc_id, last, head in zip(*(c.to_pylist() for c in batch.columns)):
-                own, after = unpack(last).decode(), unpack(head).decode()
-                rows.append(_pair(doc_id, own, hasher().signature(own), after, hasher().signature(after)))
-            if rows:
-                yield _batch(rows, PAIR)
+                rows.append(_pair(doc_id, _known(unpack(last).decode()), _known(unpack(head).decode())))
+            yield _batch(rows, PAIR)
 
-    pairs = found.where("part is null").drop("part", "first", "last").union(edges.mapInArrow(join_ends, PAIR))
-    return pairs.select(
+    inner = found.where("part is null").drop("part", "first", "last")
+    pairs = inner.union(write_shared(edges.mapInArrow(join_ends, PAIR), "edges"))
+    classes = _classes(documents, pairs.select("doc_id", "rep", "signature"), similarity, SHINGLE)
+    return _with_classes(pairs, classes).select(
         "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("signature")).alias("fingerprint"), F.lower(F.hex("edited")).alias("edited_fingerprint"),
-        "near_edited", "near_next",
+        "near_edited", "near_next", "class_id", "links",
     )

@@ -1,27 +1,14 @@
-"""Near copies by wide SimHash codes, against brute force."""
+"""Near copies by wide SimHash codes and verified links, against brute force."""
 
 import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from cadenza.llm import near_copies, simhash
-from cadenza.llm.components import connected_components
+from cadenza.llm import minhash, near_copies, simhash, verified_links
 from cadenza.llm.minhash import hasher
 
 
-def _codes(n, dense, seed=0):
-    """Unrelated codes and a dense group of ``dense`` codes within a few bits of one."""
-    rng = np.random.default_rng(seed)
-    bits = rng.integers(0, 2, (n, near_copies.BITS), np.uint8)
-    group = np.repeat(bits[:1], dense, axis=0)
-    for row in group:
-        row[rng.choice(near_copies.BITS, rng.integers(1, 36), replace=False)] ^= 1
-    packed = np.unique(np.packbits(np.concatenate([bits, group]), axis=1), axis=0)
-    return packed.view(np.uint64)
-
-
 def _components(links, nodes):
     root = {n: n for n in nodes}
 
@@ -35,54 +22,102 @@ def _components(links, nodes):
     return {n: find(n) for n in nodes}
 
 
-def _brute(codes, home):
-    apart = sum(np.bitwise_count(codes[:, None, k] ^ codes[None, :, k]).astype(int) for k in range(near_copies.WORDS))
-    near = (apart <= near_copies.RADIUS) & (home[:, None] | home[None, :])
-    return [(a, b) for a, b in zip(*np.nonzero(np.triu(near, 1)))]
-
-
-def test_leaf_against_brute_force():
-    codes = _codes(200, 80)
-    home = np.random.default_rng(1).random(len(codes)) < 0.4
-    order = np.argsort(~home, kind="stable")
-    codes, home = codes[order], home[order]
-    at = {c.tobytes(): i for i, c in enumerate(codes)}
-    found = [(at[a.tobytes()], at[b.tobytes()]) for x, y in near_copies.leaf_links(codes[home], codes[~home]) for a, b in zip(x, y)]
-    assert _components(found, range(len(codes))) == _components(_brute(codes, home), range(len(codes)))
-
-
-def test_vantage_rounds_and_chunks_lose_no_component(spark):
-    codes = _codes(120, 150)
-    rows = spark.createDataFrame([(7, tuple(c), True) for c in codes.view(np.int64).tolist()], f"shard bigint, code {near_copies.CODE}, home boolean")
-    left, links = near_copies.vantage_rounds(rows, shard_rows=40, rounds=4)
-    assert links is not None
-    found = near_copies.shard_links(near_copies.chunked(left, 16)).union(links)
-    roots = {tuple(r["node"]): tuple(r["root"]) for r in connected_components(found).collect()}
-    names = [tuple(c) for c in codes.view(np.int64).tolist()]
-    mine, true = {}, {}
-    for i, n in _components(_brute(codes, np.ones(len(codes), bool)), range(len(codes))).items():
-        true.setdefault(n, set()).add(names[i])
-        mine.setdefault(roots.get(names[i], names[i]), set()).add(names[i])
-    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, true.values()))
-
-
-def test_vantage_rounds_keep_the_bridge_between_two_balls(spark):
-    """Chains of six codes 40 bits apart, one a shard: x and y of v1-x-y-v2 lie in different balls and only x-y joins them."""
-    rng = np.random.default_rng(6)
-    chains = []
-    for _ in range(40):
-        bits = rng.integers(0, 2, near_copies.BITS, np.uint8)
-        flips = rng.permutation(near_copies.BITS)
-        chain = [bits]
-        for k in range(5):
-            bits = bits.copy()
-            bits[flips[40 * k : 40 * k + 40]] ^= 1
-            chain.append(bits)
-        chains.append([tuple(c) for c in np.packbits(np.array(chain), axis=1).view(np.int64).tolist()])
-    rows = spark.createDataFrame([(i, c, True) for i, chain in enumerate(chains) for c in chain], f"shard bigint, code {near_copies.CODE}, home boolean")
-    left, links = near_copies.vantage_rounds(rows, shard_rows=1, rounds=6)
-    roots = {tuple(r["node"]): tuple(r["root"]) for r in connected_components(near_copies.shard_links(near_copies.chunked(left, 16)).union(links)).collect()}
-    assert [len({roots.get(c, c) for c in chain}) for chain in chains] == [1] * 40
+def _jaccard_links(texts, similarity=0.8):
+    """All pairs of texts at the similarity, through an inverted list of shingles."""
+    sets = [frozenset(hasher().shingles(t).tolist()) for t in texts]
+    holders, links = {}, set()
+    for i, s in enumerate(sets):
+        met = set()
+        for x in s:
+            met.update(holders.get(x, ()))
+            holders.setdefault(x, []).append(i)
+        if not s:
+            met = {j for j in range(i) if not sets[j]}
+        links.update((j, i) for j in met if not s or len(s & sets[j]) >= similarity * len(s | sets[j]))
+    return links
+
+
+def test_ranked_pairs_against_brute_force():
+    rng = np.random.default_rng(2)
+    bits = np.repeat(rng.integers(0, 2, (30, near_copies.BITS), np.uint8), 20, axis=0)
+    flips = rng.random(bits.shape) < rng.uniform(0, 0.2, (len(bits), 1))
+    codes = np.packbits(bits ^ flips, axis=1).view(np.uint64)
+    group, side = rng.integers(0, 80, len(codes)), rng.integers(0, 3, len(codes))
+    apart = near_copies.hamming(codes, codes).astype(int)
+    near = (apart <= 60) & (group[:, None] != group[None, :]) & (side[:, None] != side[None, :])
+    want = {(a, b) for a, b in zip(*np.nonzero(near)) if a < b}
+    got, low, high, more = set(), 0, 2, True
+    while more:
+        a, b, more = verified_links.ranked_pairs(codes, group, side, near_copies.hamming, 60, low, high)
+        got |= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+        low, high = high, high * 4
+    assert got == want and len(want) > 500
+
+
+def _family(rng, size, words=300, edits=14):
+    """Texts each edited from the one before: neighbours are near copies, distant members are not."""
+    text = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = [" ".join(text)]
+    for k in range(size - 1):
+        text = list(text)
+        for _ in range(edits // 2):
+            text[rng.randrange(words)] = f"new{k}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("classes", ["simhash", "minhash"])
+def test_chains_and_families_against_brute_force(spark, classes, monkeypatch):
+    """Chains x-y-z whose ends are no near copies, and a family in one bucket dealt in pieces, end in the components of all links."""
+    monkeypatch.setattr(verified_links, "CHUNK_ROWS", 8)
+    rng = random.Random(4)
+    texts = [t for _ in range(12) for t in _family(rng, 12)]
+    base = texts[0].split()
+    for i in range(60):
+        words = list(base)
+        for k in rng.sample(range(300), 9):
+            words[k] = f"x{i}-{k}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = _components(_jaccard_links(texts), range(len(texts)))
+    if classes == "minhash":
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+        assert got == want
+    else:
+        assert sorted(r["doc_id"] for r in near_copies.keep_first(docs).collect()) == sorted(set(want.values()))
+
+
+def test_rounds_do_not_grow_with_a_bucket(spark, monkeypatch):
+    """A thousand equal texts and three hundred edits of them: one round of pairs, about one pair a member."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = [" ".join(base)] * 1000
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(300)] = f"x{i}"
+        texts.append(" ".join(words))
+    rounds = []
+    plain = verified_links.confirmed
+    monkeypatch.setattr(verified_links, "confirmed", lambda pairs, *rest: rounds.append(pairs.count()) or plain(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = minhash.near_duplicates(docs).collect()
+    assert len(rounds) <= 2 and sum(rounds) <= 300 * 21
+    assert {r["class_id"] for r in got} == {0}
+
+
+def test_every_group_of_the_corpus_keeps_one(documents):
+    """Over the test corpus: every brute-force group keeps a document, and nothing goes that is not in a group with a kept one."""
+    rows = [(r["doc_id"], r["text"] or "") for r in documents.select("doc_id", "text").collect()]
+    texts = [t for _, t in rows]
+    root = _components(_jaccard_links(texts), range(len(texts)))
+    kept = {r["doc_id"] for r in near_copies.keep_first(documents).collect()}
+    groups = {}
+    for i, (doc_id, _) in enumerate(rows):
+        groups.setdefault(root[i], []).append(doc_id)
+    assert all(kept & set(g) for g in groups.values())
+    many = [g for g in groups.values() if len(g) > 1]
+    extra = sum(len(kept & set(g)) - 1 for g in many)
+    assert extra <= 0.02 * sum(len(g) - 1 for g in many)
 
 
 def test_edited_copies_go_and_others_stay(spark):
@@ -118,9 +153,3 @@ def test_every_group_keeps_a_row_of_its_own(spark, keep_first):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = [(r["doc_id"], r["text"]) for r in keep_first(docs).collect()]
     assert sorted(kept, key=str) == sorted([(None, t) for t in texts[:4]] + [(3, texts[4]), (5, texts[5])], key=str)
-
-
-def test_distance(spark):
-    a, b = spark.range(1).select(F.struct(*[F.lit(k).cast("long").alias(f"w{k}") for k in range(4)]).alias("a")).first()["a"], [0, 0, 0, -1]
-    row = spark.createDataFrame([(tuple(a), tuple(b))], f"a {near_copies.CODE}, b {near_copies.CODE}")
-    assert row.select(near_copies.distance(F.col("a"), F.col("b")).alias("d")).first()["d"] == 0 + 1 + 1 + 62
