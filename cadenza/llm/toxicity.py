@@ -2,11 +2,10 @@
 
 Each token carries the log-odds that a labelled document holding it is toxic, shrunk by nested
 Dirichlet priors: a word's rate towards that of the other words with the same beginning of seven
-characters, that towards five, four and all documents. A repeated token counts once in a text.
-A linear scan finds all maximal
-scoring segments of a text. Their scores are calibrated by extreme-value theory (scale and
-constant fitted on clean texts), joined by the sum statistic of the best segments, and mapped to a
-probability by a logistic curve fitted on labelled rows outside the counts used for them.
+characters, that towards five, four and all documents. A linear scan finds all maximal scoring segments of a text, repeated
+passages included. Their scores are calibrated by extreme-value theory (scale and constant fitted on clean texts), joined
+by the sum statistic over all segments, in which a repeated token counts once, and mapped to a probability by a logistic
+curve fitted on labelled rows outside the counts used for them.
 """
 
 from __future__ import annotations
@@ -29,7 +28,6 @@ PRIOR = 4.0
 DRIFT = 0.5
 CAUTION = 1.5
 MAX_LABELS = 200_000
-TOP = 8
 MEMO_TOKENS = 250_000
 _TOKEN = re.compile(r"\w+")
 
@@ -86,13 +84,7 @@ class TokenScorer:
 
     def scores(self, words: list[str]) -> np.ndarray:
         known, score = self.memo.get, self.score
-        out = np.fromiter([k if (k := known(w)) is not None else score(w) for w in words], np.float64, len(words))
-        seen: set[str] = set()
-        for at in np.flatnonzero(out > 0).tolist():
-            if words[at] in seen:
-                out[at] = -DRIFT
-            seen.add(words[at])
-        return out
+        return np.fromiter([k if (k := known(w)) is not None else score(w) for w in words], np.float64, len(words))
 
 
 def tokens_of(text: str) -> list[str]:
@@ -123,6 +115,23 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high, _ in waiting]
 
 
+def fresh_segments(words: list[str], scores: np.ndarray) -> list[float]:
+    """Scores of all maximal segments of a text, best first, in which each positive token counts only where it comes first.
+
+    A text does not grow more toxic by saying the same again; ``maximal_segments`` itself still finds each repeat.
+    """
+    seen: set[str] = set()
+    out = []
+    for start, end, score in maximal_segments(scores):
+        for at in (np.flatnonzero(scores[start:end] > 0) + start).tolist():
+            if words[at] in seen:
+                score -= float(scores[at])
+            seen.add(words[at])
+        if score > 0:
+            out.append(score)
+    return sorted(out, reverse=True)
+
+
 def sum_statistic(normal: list[float]) -> float:
     """-log of the smallest sum-statistic p-value over the r best normalised scores, doubled for each r tried."""
     best, total = 0.0, 0.0
@@ -137,21 +146,27 @@ def sum_statistic(normal: list[float]) -> float:
 
 
 def evidence(segments: list[float], length: int, model: ToxicityModel) -> float:
-    """-log p of a text of ``length`` tokens with these segment scores; 0 without any."""
+    """-log p of a text of ``length`` tokens with these segment scores, best first; 0 without any."""
     if not segments or not length:
         return 0.0
     bar = math.log(model.constant * length)
-    return sum_statistic([model.scale * s - bar for s in sorted(segments, reverse=True)[:TOP]])
+    return sum_statistic([model.scale * s - bar for s in segments])
+
+
+def text_evidence(text: str, scorer: TokenScorer, model: ToxicityModel) -> float:
+    """Evidence of a whole text."""
+    words = tokens_of(text)
+    return evidence(fresh_segments(words, scorer.scores(words)), len(words), model)
 
 
 def _labelled(documents: DataFrame, labels: DataFrame, allowed: Column | None, max_labels: int) -> DataFrame:
     """``text, toxic, part`` of labelled documents; part 3 is kept for the calibration.
 
-    A doc_id labelled more than once counts as toxic if any row says so. The labels that are broadcast are a hashed
-    sample of at most ``max_labels`` ids.
+    A doc_id labelled more than once counts as toxic if any row says so; any label above 0 means toxic. The labels that are
+    broadcast are a hashed sample of at most ``max_labels`` ids.
     """
     marks = labels.where(col("doc_id").isNotNull() & col("toxic").isNotNull())
-    marks = marks.groupBy(col("doc_id")).agg(F.max(col("toxic")).cast("int").alias("toxic"))
+    marks = marks.groupBy(col("doc_id")).agg(F.max((col("toxic") > 0).cast("int")).alias("toxic"))
     if allowed is not None:
         marks = marks.where(allowed)
     marks = bounded_sample(marks, "doc_id", max_labels)
@@ -215,32 +230,32 @@ def _calibrate(rows: DataFrame, model: ToxicityModel) -> dict[str, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = TokenScorer(shared.value)
+        hist = np.zeros(240, np.int64)
         for batch, texts in text_batches(batches):
             out = []
-            for text, toxic in zip(texts, batch.column(1).to_pylist()):
-                scores = scorer.scores(tokens_of(text))
-                best = sorted((s for _, _, s in maximal_segments(scores)), reverse=True)[:TOP]
-                hist = np.histogram(np.clip(scores, -11.99, 11.99), edges)[0] if not toxic else np.zeros(240, np.int64)
-                out.append((toxic, len(scores), best, hist))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.float64())),
-                     pa.array([sum(o[3] for o in out).tolist()] + [None] * (len(out) - 1), pa.list_(pa.int64()))],
-                    names=["toxic", "length", "best", "hist"],
-                )
-
-    # At most a quarter of max_labels rows of a few numbers.
-    seen = rows.select("text", "toxic").mapInArrow(run, "toxic int, length bigint, best array<double>, hist array<bigint>").toArrow().to_pydict()
-    if not seen["toxic"]:
+            for text in texts:
+                words = tokens_of(text)
+                scores = scorer.scores(words)
+                hist += np.histogram(np.clip(scores, -11.99, 11.99), edges)[0]
+                out.append((len(words), max(fresh_segments(words, scores), default=0.0)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64()), pa.nulls(len(out), pa.list_(pa.int64()))],
+                names=["length", "best", "hist"],
+            )
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([hist.tolist()], pa.list_(pa.int64()))], names=["length", "best", "hist"])
+
+    # At most a quarter of max_labels rows of two numbers, and one histogram a task.
+    clean = rows.where("toxic = 0").select("text").mapInArrow(run, "length bigint, best double, hist array<bigint>").toArrow().to_pydict()
+    hist = sum((np.array(h) for h in clean["hist"] if h is not None), np.zeros(240))
+    fitted = replace(model, scale=_scale(hist, (edges[:-1] + edges[1:]) / 2))
+    bests = [(n, b) for n, b in zip(clean["length"], clean["best"]) if n]
+    weight = sum(n * math.exp(-fitted.scale * s) for n, s in bests)
+    fitted = replace(fitted, constant=max(len(bests), 1) / weight if weight else 1.0)
+    marked = with_evidence(rows.select("text", "toxic"), fitted).select("toxic", "z").toArrow()
+    if not marked.num_rows:
         return {}
-    hist = sum((np.array(h) for h in seen["hist"] if h is not None), np.zeros(240))
-    middle = (edges[:-1] + edges[1:]) / 2
-    fitted = replace(model, scale=_scale(hist, middle))
-    clean = [(n, b[0] if b else 0.0) for t, n, b in zip(seen["toxic"], seen["length"], seen["best"]) if not t and n]
-    weight = sum(n * math.exp(-fitted.scale * s) for n, s in clean)
-    fitted = replace(fitted, constant=max(len(clean), 1) / weight if weight else 1.0)
-    z = np.array([evidence(b, n, fitted) for n, b in zip(seen["length"], seen["best"])])
-    slope, intercept = ridge_logistic(np.column_stack([np.minimum(z, 30.0) / 10, np.ones(len(z))]), np.array(seen["toxic"], float), 0.05)
+    z, toxic = marked.column("z").to_numpy(), marked.column("toxic").to_numpy().astype(float)
+    slope, intercept = ridge_logistic(np.column_stack([np.minimum(z, 30.0) / 10, np.ones(len(z))]), toxic, 0.05)
     return {"scale": fitted.scale, "constant": fitted.constant, "slope": float(max(slope, 0.0)) / 10, "intercept": float(intercept)}
 
 
@@ -261,6 +276,19 @@ def _scale(hist: np.ndarray, middle: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def with_evidence(documents: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """``documents`` with ``z double``, the evidence of each text; null texts count as empty and have none."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    scorers: list[TokenScorer] = []
+
+    def make(_: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
+        if not scorers:
+            scorers.append(TokenScorer(shared.value))
+        return [pa.array([text_evidence(t, scorers[0], shared.value) for t in texts], pa.float64())]
+
+    return add_columns(documents, "z double", make, text)
+
+
 def with_scores(documents: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """``documents`` with ``toxicity double``, the calibrated probability of being toxic.
 
@@ -274,12 +302,8 @@ def with_scores(documents: DataFrame, model: ToxicityModel, text: str = "text")
         if not scorers:
             scorers.append(TokenScorer(shared.value))
         fitted = shared.value
-        z = []
-        for text in texts:
-            scores = scorers[0].scores(tokens_of(text))
-            z.append(evidence([s for _, _, s in maximal_segments(scores)], len(scores), fitted))
-        p = sigmoid(fitted.intercept + fitted.slope * np.minimum(np.array(z), 30.0))
-        return [pa.array(p, pa.float64())]
+        z = np.array([text_evidence(t, scorers[0], fitted) for t in texts])
+        return [pa.array(sigmoid(fitted.intercept + fitted.slope * np.minimum(z, 30.0)), pa.float64())]
 
     return add_columns(documents, "toxicity double", make, text)
 
