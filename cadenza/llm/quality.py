@@ -1,9 +1,10 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
-A logistic classifier on surface features gives each document's evidence. Its probabilities are summed
-by path within host and by host; each level's rate is shrunk towards the one above with a prior
-strength estimated from the spread between sites, so sparse sites lean on the global rate. The document's
-posterior combines its own evidence with its path's rate in place of the global one.
+A logistic classifier on surface features gives each document's evidence. Outcomes (labels where they are known, else the
+classifier's probabilities) are summed by path within host and by host; each level's rate is shrunk towards the one above with a
+prior strength estimated from the spread between sites, so sparse sites lean on the global rate. The document's posterior
+combines its own evidence with the rate of the *other* documents of its path in place of the global one: its own outcome is
+taken out of every level, so no evidence counts twice.
 """
 
 from __future__ import annotations
@@ -110,53 +111,88 @@ def _strength(total: Column, n: Column) -> Column:
     return F.coalesce(F.when(between > 0, F.least(F.greatest(mean * (1 - mean) / between - 1, F.lit(1.0)), F.lit(10_000.0))), F.lit(10_000.0))
 
 
+def _site_sums(rows: DataFrame, host: str, path: str) -> DataFrame:
+    """``(host, path, good, n)`` of rows with host, path and ``_outcome``, pre-aggregated before the shuffle and written."""
+    sums = rows.groupBy(col(host).alias("host"), col(path).alias("path")).agg(F.sum("_outcome").alias("good"), F.count("*").cast("double").alias("n"))
+    return write_shared(sums, "paths")
+
+
+def _levels(paths: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """Path sums beside their host's, and the world's sums with the two prior strengths (four numbers to the driver)."""
+    hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
+    world = hosts.agg(
+        F.coalesce(F.sum("host_good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("host_n"), F.lit(0.0)).alias("n"),
+        _strength(F.col("host_good"), F.col("host_n")).alias("host_k"),
+    ).first().asDict()
+    world["path_k"] = paths.agg(_strength(F.col("good"), F.col("n")).alias("k")).first()["k"]
+    return paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"]), world
+
+
+def _rates(world: dict[str, float], site: Column, own: Column, count: int) -> tuple[Column, Column]:
+    """Host and path rate of a site (a struct of sums) without ``count`` rows whose outcomes sum to ``own``."""
+    top = (F.lit(world["good"]) - own + 1) / (world["n"] - count + 2)
+    host_rate = (site["host_good"] - own + world["host_k"] * top) / (site["host_n"] - count + world["host_k"])
+    return host_rate, (site["good"] - own + world["path_k"] * host_rate) / (site["n"] - count + world["path_k"])
+
+
 def site_rates(evidence: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """(host, path, n, host_rate, path_rate) of every site from rows with host, path and evidence.
 
     Null hosts and paths form sites of their own. Rows are pre-aggregated before the shuffle, so a host with a
     third of all rows costs one record for each task.
     """
-    p = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = evidence.groupBy(col(host).alias("host"), col(path).alias("path")).agg(F.sum(p).alias("good"), F.count("*").cast("double").alias("n"))
-    paths = write_shared(paths, "paths")
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    top = hosts.agg(((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("rate"), _strength(F.col("good"), F.col("n")).alias("k")).first()
-    hosts = hosts.select("host", ((F.col("good") + top["k"] * top["rate"]) / (F.col("n") + top["k"])).alias("host_rate"))
-    k = paths.agg(_strength(F.col("good"), F.col("n")).alias("k")).first()["k"]
-    joined = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
-    return joined.select("host", "path", F.col("n").cast("long").alias("n"), "host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate"))
-
-
-def score(documents: DataFrame, model: QualityModel, host: str = "source", path: str = "lang") -> DataFrame:
-    """``documents`` with evidence, host_rate, path_rate and quality (posterior); columns of these names are replaced.
-
-    The site table is broadcast only up to ``BROADCAST_SITES`` sites; beyond that the join is left to Spark,
-    which may split a hot site's rows.
+    joined, world = _levels(_site_sums(evidence.withColumn("_outcome", 1 / (1 + F.exp(-F.col("evidence")))), host, path))
+    host_rate, path_rate = _rates(world, F.struct("host_good", "host_n", "good", "n"), F.lit(0.0), 0)
+    return joined.select("host", "path", F.col("n").cast("long").alias("n"), host_rate.alias("host_rate"), path_rate.alias("path_rate"))
+
+
+def score_evidence(marked: DataFrame, prior: float, labels: DataFrame | None = None, host: str = "source", path: str = "lang") -> DataFrame:
+    """Written rows with ``evidence`` and their host_rate, path_rate and quality (posterior).
+
+    Both rates leave the row itself out. With ``labels`` (doc_id, quality) a labelled document enters its site's sums by its label
+    (of several the lowest). The site table is broadcast only up to ``BROADCAST_SITES`` sites; beyond that the join is left to
+    Spark, which may split a hot site's rows.
     """
-    marked = with_evidence(documents, model)
-    # Sites are computed in a pass of their own over (host, path, evidence): nothing but sums is shuffled.
-    slim = documents.select(*[col(c) for c in dict.fromkeys((host, path, "text"))])
-    sites = write_shared(site_rates(with_evidence(slim, model), host, path), "sites")
-    side = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate", "path_rate")
+    marked = marked.select(*[col(c) for c in marked.columns if c not in ("host_rate", "path_rate", "quality")])
+    outcome = 1 / (1 + F.exp(-F.col("evidence")))
+    if labels is not None:
+        known = labels.where(col("doc_id").isNotNull() & col("quality").isNotNull()).groupBy(col("doc_id").alias("_labelled")).agg(
+            F.min((col("quality") > 0).cast("double")).alias("_label"))
+        marked = marked.join(known, col("doc_id") == F.col("_labelled"), "left")
+        outcome = F.coalesce("_label", outcome)
+    rows = marked.withColumn("_outcome", outcome)
+    joined, world = _levels(_site_sums(rows, host, path))
+    sites = write_shared(joined, "sites")
+    side = sites.select(F.struct(*[F.col(c) for c in sites.columns]).alias("_site"))
     if sites.count() <= BROADCAST_SITES:
         side = F.broadcast(side)
-    marked = marked.select(*[col(c) for c in marked.columns if c not in ("host_rate", "path_rate", "quality")])
-    joined = marked.join(side, col(host).eqNullSafe(F.col("_host")) & col(path).eqNullSafe(F.col("_path")))
+    met = rows.join(side, col(host).eqNullSafe(F.col("_site")["host"]) & col(path).eqNullSafe(F.col("_site")["path"]))
+    host_rate, path_rate = _rates(world, F.col("_site"), F.col("_outcome"), 1)
+    met = met.withColumns({"host_rate": host_rate, "path_rate": path_rate})
     logit = lambda p: F.log(p / (1 - p))
-    shifted = F.col("evidence") - float(np.log(model.prior / (1 - model.prior))) + logit(F.least(F.greatest(F.col("path_rate"), F.lit(1e-4)), F.lit(1 - 1e-4)))
-    return joined.withColumn("quality", 1 / (1 + F.exp(-shifted))).drop("_host", "_path")
+    shifted = F.col("evidence") - float(np.log(prior / (1 - prior))) + logit(F.least(F.greatest(F.col("path_rate"), F.lit(1e-4)), F.lit(1 - 1e-4)))
+    return met.withColumn("quality", 1 / (1 + F.exp(-shifted))).drop("_site", "_outcome", "_label", "_labelled")
+
+
+def score(documents: DataFrame, model: QualityModel, labels: DataFrame | None = None, host: str = "source", path: str = "lang") -> DataFrame:
+    """``documents`` with evidence, host_rate, path_rate and quality; columns of these names are replaced.
+
+    The texts are read once: rows and evidence are written to the shared folder before sites are summed.
+    """
+    return score_evidence(write_shared(with_evidence(documents, model), "evidence"), model.prior, labels, host, path)
 
 
 def quality_table(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labels: int = MAX_LABELS) -> DataFrame:
     """doc_id, evidence, host_rate, path_rate, quality, keep of every document (repeated rows each give one)."""
-    scored = score(documents.select(*[col(c) for c in ("doc_id", "text", "lang", "source")]), fit(documents, labels, max_labels=max_labels))
+    model = fit(documents, labels, max_labels=max_labels)
+    marked = with_evidence(documents.select(*[col(c) for c in ("doc_id", "text", "lang", "source")]), model)
+    scored = score_evidence(write_shared(marked.drop("text"), "evidence"), model.prior, labels)
     return scored.select("doc_id", "evidence", "host_rate", "path_rate", "quality", (F.col("quality") >= threshold).alias("keep"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labels: int = MAX_LABELS) -> DataFrame:
     """``documents`` whose posterior reaches ``threshold``; all columns pass through."""
-    columns = [col(c) for c in documents.columns]
-    slim = fit(documents, labels, max_labels=max_labels)
+    model = fit(documents, labels, max_labels=max_labels)
     marked = documents.withColumns({f"_keep_{c}": col(c) for c in documents.columns if c in ("evidence", "host_rate", "path_rate", "quality")})
-    kept = score(marked, slim).where(F.col("quality") >= threshold)
+    kept = score(marked, model, labels).where(F.col("quality") >= threshold)
     return kept.select(*[F.col(f"_keep_{c}").alias(c) if f"_keep_{c}" in kept.columns else col(c) for c in documents.columns])
