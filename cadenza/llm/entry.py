@@ -77,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": sql.OP10_URL_FILTER}
+    return {"op2_sharding": sql.OP2_SHARDING, "op10_url_filter": sql.OP10_URL_FILTER}

@@ -16,6 +16,9 @@ from cadenza.llm.common import col, text_of
 # Fixed values of the published recurrence: the multiplier of its 64-bit generator.
 MULTIPLIER = 2862933555777941757
 
+#: Slots that one record of a repeated row is spread into at a time.
+RANGE = 100_000
+
 _LOW16, _LOW32 = 0xFFFF, 0xFFFFFFFF
 _A_LOW, _A_HIGH = MULTIPLIER & _LOW32, MULTIPLIER >> 32
 
@@ -66,13 +69,17 @@ def jump_hash(key: Column, shards: int) -> Column:
     return walked["shard"].cast("int")
 
 
+def md5_key(text: Column) -> Column:
+    """The first 60 bits of a text's MD5 as a key: well mixed, and any SQL engine can compute it."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def assign_shards(df: DataFrame, key: str, shards: int, out: str = "shard") -> DataFrame:
     """``df`` with the shard of each row's key; equal keys share a shard, null keys hash as a key of their own.
 
     A column named ``out`` is replaced. No shuffle.
     """
-    hashed = F.xxhash64(F.coalesce(col(key).cast("string"), F.lit("\0null")))
-    return df.withColumn(out, jump_hash(hashed, shards))
+    return df.withColumn(out, jump_hash(md5_key(F.coalesce(col(key).cast("string"), F.lit("null key"))), shards))
 
 
 def number_slots(df: DataFrame, order: list[str], chunks: int = 4096) -> DataFrame:
@@ -87,7 +94,7 @@ def number_slots(df: DataFrame, order: list[str], chunks: int = 4096) -> DataFra
     counted = (
         df.groupBy(*[col(c) for c in df.columns])
         .agg(F.count("*").alias("_n"))
-        .withColumn("_chunk", F.pmod(F.xxhash64(*parts), F.lit(chunks)).cast("int"))
+        .withColumn("_chunk", F.pmod(md5_key(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), F.lit(chunks)).cast("int"))
     )
     rows = Window.partitionBy("shard", "_chunk").orderBy(*[c.asc_nulls_first() for c in parts]).rowsBetween(Window.unboundedPreceding, 0)
     sizes = counted.groupBy("shard", "_chunk").agg(F.sum("_n").alias("_size"))
@@ -95,8 +102,10 @@ def number_slots(df: DataFrame, order: list[str], chunks: int = 4096) -> DataFra
     offsets = sizes.select("shard", "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     placed = counted.withColumn("_last", F.sum("_n").over(rows)).join(offsets, ["shard", "_chunk"])
     first = F.col("_offset") + F.col("_last") - F.col("_n")
-    slots = F.explode(F.sequence(first, first + F.col("_n") - 1)).alias("slot")
-    return placed.select(*[col(c) for c in df.columns], slots)
+    # A row repeated without bound is spread in two steps, ranges and then slots, so that no record holds more than RANGE of them.
+    ranges = placed.select(*[col(c) for c in df.columns], (first + F.col("_n")).alias("_end"), F.explode(F.sequence(first, first + F.col("_n") - 1, F.lit(RANGE))).alias("_start"))
+    slots = F.explode(F.sequence("_start", F.least(F.col("_start") + RANGE, F.col("_end")) - 1)).alias("slot")
+    return ranges.select(*[col(c) for c in df.columns], slots)
 
 
 def shard_documents(documents: DataFrame, shards: int = 8) -> DataFrame:
