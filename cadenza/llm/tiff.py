@@ -32,9 +32,10 @@ class TiffError(ValueError):
     """The bytes are not a TIFF that this reader can decode."""
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, need: int | None = None) -> bytes:
+    """PackBits runs, as far as ``need`` bytes (all by default)."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (need is None or len(out) < need):
         n = data[at]
         at += 1
         if n < 128:
@@ -72,8 +73,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first, widened one code early; 256 clears the table and 257 ends."""
+def unpack_lzw(data: bytes, need: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, high bit first, widened one code early; 256 clears the table and 257 ends. Stops at ``need`` bytes."""
+    made = 0
     out: list[bytes] = []
     table: list[bytes] = []
     width, held, bits, last = 9, 0, 0, b""
@@ -99,6 +101,9 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise TiffError("bad LZW code")
         out.append(entry)
+        made += len(entry)
+        if need is not None and made >= need:
+            break
         if last and len(table) < 4096:
             table.append(last + entry[:1])
         last = entry
@@ -143,15 +148,18 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _inflate(data: bytes) -> bytes:
+def _inflate(data: bytes, need: int | None = None) -> bytes:
     try:
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, need or 0)
     except zlib.error as bad:
         raise TiffError(str(bad)) from bad
 
 
 PACK = {NONE: bytes, LZW: pack_lzw, ADOBE_DEFLATE: lambda d: zlib.compress(d, 1), PACKBITS: pack_bits}
-UNPACK = {NONE: bytes, LZW: unpack_lzw, ADOBE_DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: unpack_bits}
+UNPACK = {NONE: lambda data, need=None: bytes(data), LZW: unpack_lzw, ADOBE_DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: unpack_bits}
+
+#: Bytes that one byte of a strip can become at most; LZW entries grow by one byte a code of nine bits or more.
+EXPANSION = {NONE: 1, LZW: 3500, ADOBE_DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
 
 
 def _segment(raw: bytes, compression: int, rows: int, width: int, samples: int, dtype: np.dtype, predictor: int) -> np.ndarray:
@@ -159,7 +167,7 @@ def _segment(raw: bytes, compression: int, rows: int, width: int, samples: int,
     if compression not in UNPACK:
         raise TiffError(f"compression {compression}")
     need = rows * width * samples * dtype.itemsize
-    plain = UNPACK[compression](raw)
+    plain = UNPACK[compression](raw, need)
     if len(plain) < need:
         raise TiffError("short strip or tile")
     if predictor == 3:
@@ -209,21 +217,30 @@ def read_pages(data: bytes) -> Iterator[tuple[dict[str, int], np.ndarray]]:
         width, height, samples = one(WIDTH), one(LENGTH), one(SAMPLES, 1)
         bits = set(fields.get(BITS, (1,)))
         kind = {1: "u", 2: "i", 3: "f"}.get(one(SAMPLE_FORMAT, 1))
-        if not width or not height or len(bits) != 1 or kind is None or (size := bits.pop()) not in (8, 16, 32, 64) or (kind == "f" and size < 32):
+        if not width or not height or not samples or len(bits) != 1 or kind is None or (size := bits.pop()) not in (8, 16, 32, 64) or (kind == "f" and size < 32):
             raise TiffError("missing size or unsupported samples")
         dtype = np.dtype(f"{order}{kind}{size // 8}")
         compression, predictor = one(COMPRESSION, 1), one(PREDICTOR, 1)
+        if compression not in EXPANSION:
+            raise TiffError(f"compression {compression}")
         planes = samples if one(PLANAR, 1) == 2 else 1
         inner = samples // planes
-        page = np.zeros((height, width, samples), dtype.newbyteorder("="))
         tiled = TILE_OFFSETS in fields
         wide, high = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
         offsets, sizes = (fields.get(TILE_OFFSETS), fields.get(TILE_BYTES)) if tiled else (fields.get(STRIP_OFFSETS), fields.get(STRIP_BYTES))
         if not wide or not high or not offsets or not sizes:
             raise TiffError("no strips or tiles")
-        boxes = [(p, y, x) for p in range(planes) for y in range(0, height, high) for x in range(0, width, wide)]
-        if len(offsets) < len(boxes) or len(sizes) < len(boxes):
+        count = planes * -(-height // high) * -(-width // wide)
+        if min(len(offsets), len(sizes)) < count:
             raise TiffError("strips or tiles are missing")
+        # What the header asks for is held against the bytes there are before anything is allocated.
+        if any(place + n > len(data) for place, n in zip(offsets[:count], sizes)) or sum(sizes[:count]) > len(data):
+            raise TiffError("strips or tiles lie outside the file or overlap")
+        rows_high = high if tiled else min(high, height)
+        if wide * rows_high * inner * (size // 8) > EXPANSION[compression] * max(sizes[:count]) or width * height * samples * (size // 8) > EXPANSION[compression] * sum(sizes[:count]):
+            raise TiffError("the page is larger than its bytes can hold")
+        boxes = [(p, y, x) for p in range(planes) for y in range(0, height, high) for x in range(0, width, wide)]
+        page = np.zeros((height, width, samples), dtype.newbyteorder("="))
         for (plane, y, x), place, n in zip(boxes, offsets, sizes):
             rows = high if tiled else min(high, height - y)
             part = _segment(data[place : place + n], compression, rows, wide, inner, dtype, predictor)
@@ -296,30 +313,32 @@ def store_texts(documents: DataFrame, compression: int = ADOBE_DEFLATE, predicto
 PAGE = "page: int, width: bigint, height: bigint, samples: int, bits: int, compression: int, predictor: int, mean: double, deviation: double, pixels: binary"
 
 
+def decode(data: bytes | None) -> tuple[list[dict], str | None]:
+    """Pages of one file as dicts of the fields of ``PAGE``, or none and the reason why it does not decode."""
+    pages = []
+    try:
+        for number, (facts, samples) in enumerate(read_pages(data or b"")):
+            values = samples.astype(np.float64)
+            pixels = samples.astype(samples.dtype.newbyteorder("<"), copy=False).tobytes()
+            pages.append({"page": number, **facts, "mean": float(values.mean()), "deviation": float(values.std()), "pixels": pixels})
+    except (TiffError, struct.error) as bad:
+        return [], str(bad)
+    return pages, None
+
+
 def with_pages(files: DataFrame, content: str = "tiff") -> DataFrame:
     """``files`` with ``pages``, an array of page structs, and ``tiff_error`` (null when the file decodes).
 
-    Null content and bytes that are no decodable TIFF give no pages and a message; nothing fails.
-    ``pixels`` holds the samples row by row in little-endian order.
+    Null content and bytes that are no decodable TIFF give no pages and a message; nothing fails, and a header that asks for more
+    than the file's bytes can hold is refused before memory is taken. ``pixels`` holds the samples row by row in little-endian order.
     """
 
     def make(batch: pa.RecordBatch, _: list[str]) -> list[pa.Array]:
-        rows, errors = [], []
-        for cell in batch.column(batch.schema.get_field_index(content)):
-            pages, error = [], None
-            try:
-                for number, (facts, samples) in enumerate(read_pages(cell.as_py() or b"")):
-                    values = samples.astype(np.float64)
-                    pixels = samples.astype(samples.dtype.newbyteorder("<"), copy=False).tobytes()
-                    pages.append({"page": number, **facts, "mean": float(values.mean()), "deviation": float(values.std()), "pixels": pixels})
-            except (TiffError, struct.error) as bad:
-                pages, error = [], str(bad)
-            rows.append(pages)
-            errors.append(error)
+        found = [decode(cell.as_py()) for cell in batch.column(batch.schema.get_field_index(content))]
         kind = pa.list_(pa.struct([
             ("page", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("samples", pa.int32()), ("bits", pa.int32()),
             ("compression", pa.int32()), ("predictor", pa.int32()), ("mean", pa.float64()), ("deviation", pa.float64()), ("pixels", pa.binary())]))
-        return [pa.array(rows, kind), pa.array(errors, pa.string())]
+        return [pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], pa.string())]
 
     return add_columns(files, f"pages array<struct<{PAGE}>>, tiff_error string", make, None)
 
@@ -339,15 +358,22 @@ def media_digest(documents: DataFrame, compression: int = ADOBE_DEFLATE, predict
     """
     slim = documents.select(col("doc_id"), text_of().alias("text"))
     stored = store_texts(slim, compression, predictor).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "tiff")
-    read = with_pages(stored)
-    payload = F.aggregate(F.transform("pages", lambda p: p["pixels"]), F.lit(b""), lambda a, x: F.concat(a, x))
-    read = read.withColumn("payload", payload)
-    rows = F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + p["height"])
-    weighted = F.aggregate("pages", F.lit(0.0), lambda a, p: a + p["mean"] * p["height"])
-    spread = F.aggregate("pages", F.lit(0.0), lambda a, p: F.greatest(a, p["deviation"]))
-    feature = F.format_string("pages=%d rows=%d mean=%.6f deviation=%.6f", F.size("pages"), rows, weighted / rows, spread)
+
+    def make(batch: pa.RecordBatch, _: list[str]) -> list[pa.Array]:
+        payloads, features = [], []
+        for cell in batch.column(batch.schema.get_field_index("tiff")):
+            pages, error = decode(cell.as_py())
+            if error:
+                raise TiffError(error)
+            rows = sum(p["height"] for p in pages)
+            mean = sum(p["mean"] * p["height"] for p in pages) / rows
+            payloads.append(b"".join([p["pixels"] for p in pages]))
+            features.append(f"pages={len(pages)} rows={rows} mean={mean:.6f} deviation={max(p['deviation'] for p in pages):.6f}")
+        return [pa.array(payloads, pa.binary()), pa.array(features, pa.string())]
+
+    read = add_columns(stored, "payload binary, feature string", make, None)
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("tiff").cast("long").alias("media_bytes"),
-        F.sha2("tiff", 256).alias("media_sha256"), feature.alias("feature"),
+        F.sha2("tiff", 256).alias("media_sha256"), "feature",
     )
