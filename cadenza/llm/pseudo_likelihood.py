@@ -5,6 +5,9 @@ their own, the others share tokens, inside which a word has its share of the cou
 (position-weighted embeddings of the tokens on both sides, a tanh layer, a two-level softmax) is trained on all documents, by
 synchronous rounds: every task runs gradient steps on its part from the common weights, and the weights are averaged
 by a grouped sum. A document's score is the sum of its tokens' conditional log-probabilities.
+
+The number of hashed slots grows with the corpus's distinct words, from 2^20 up to 2^23 (48 MB in memory), so that words share few counts.
+Averaged training depends on how the documents are dealt over tasks: another partitioning gives slightly other weights.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import add_columns, col, text_batches
+from cadenza.llm.common import add_columns, col, text_batches, write_shared
 from cadenza.llm.word_hashes import word_hashes
 
-SLOTS = 1 << 20
+#: Bits of a slot: the least, and the most, which bounds what is broadcast.
+MIN_BITS, MAX_BITS = 20, 23
 OWN = 768
 CLASSES = 32
 PER_CLASS = 32
@@ -36,40 +40,50 @@ F32 = np.float32
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Token of each hashed slot and the log-share of the slot within its token (two arrays of ``SLOTS``, 6 MB at any input size)."""
+    """Token of each hashed slot and the log-share of the slot within its token (six bytes a slot, 48 MB at most)."""
 
     token: np.ndarray
     share: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        return len(self.token).bit_length() - 1
+
 
-def slots_of(hashes: np.ndarray) -> np.ndarray:
+def slots_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Slot of each word hash."""
-    return (hashes >> np.uint64(44)).astype(np.int64)
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def corpus_counts(documents: DataFrame) -> np.ndarray:
-    """Count of every hashed slot over all documents; each task sums its own part before the shuffle."""
+    """Count of every hashed slot over all documents; each task sums its own part before the shuffle.
+
+    Counts are gathered in the finest slots; they are folded while under a quarter of the slots would be in use, so a small
+    corpus has a small table. Slots are sent to the driver as arrays of bounded size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(1 << MAX_BITS, np.int64)
         for _, texts in text_batches(batches):
             for hashes, _ in word_hashes(texts):
-                counts += np.bincount(slots_of(hashes), minlength=SLOTS)
+                np.add.at(counts, slots_of(hashes, MAX_BITS), 1)
         at = np.flatnonzero(counts)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"])
 
     got = documents.select(col("text")).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.float64)
+    counts = np.zeros(1 << MAX_BITS, np.float64)
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    while len(counts) > 1 << MIN_BITS and got.num_rows * 4 < len(counts):
+        counts = counts.reshape(-1, 2).sum(axis=1)
     return counts
 
 
 def vocabulary(counts: np.ndarray) -> Vocabulary:
     """The ``OWN`` most frequent slots become tokens by rank; the rest fold into the other tokens by slot number."""
-    order = np.lexsort((np.arange(SLOTS), -counts))
-    token = (OWN + np.arange(SLOTS) % (TOKENS - OWN)).astype(np.int16)
-    token[order[:OWN]] = np.arange(OWN)
+    slots = np.arange(len(counts))
+    token = (OWN + slots % (TOKENS - OWN)).astype(np.int16)
+    token[np.lexsort((slots, -counts))[:OWN]] = np.arange(OWN)
     # One is added to every slot, so that words never seen have a probability too.
     totals = np.bincount(token, counts + 1, TOKENS)
     return Vocabulary(token, np.log((counts + 1) / totals[token]).astype(F32))
@@ -188,15 +202,26 @@ def _streams(texts: list[str], words: Vocabulary) -> Iterator[tuple[np.ndarray,
     """(tokens, slots, text numbers) of blocks of whole texts."""
     for hashes, numbers in word_hashes(texts):
         if len(hashes):
-            slots = slots_of(hashes)
+            slots = slots_of(hashes, words.bits)
             yield words.token[slots], slots, numbers
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the sums of all rows of a task."""
+    seen, total = 0.0, 0.0
+    for batch in batches:
+        if batch.num_rows:
+            seen += float(batch.column(0).to_numpy().sum())
+            total = total + batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).sum(axis=0)
+    if seen:
+        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total], pa.list_(pa.float64()))], names=["seen", "total"])
+
+
 def train(documents: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Weights:
     """Weights trained on every document once: each round takes the documents whose text hash falls to it.
 
-    In a round every task starts from the same weights and its result counts by its number of tokens; the sums are
-    grouped by weight array in Spark, so the driver receives one set of weights.
+    In a round every task starts from the same weights and its result counts by its number of tokens; the weighted sums are
+    added up in tasks before a few of them reach the driver.
     """
     spark = documents.sparkSession
     weights = first_weights()
@@ -215,25 +240,19 @@ def train(documents: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: f
                         gradient_step(w, tokens[at : at + BATCH], context[:, at : at + BATCH], state, rate)
                     seen += len(tokens)
             if seen:
-                names = list(w)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), pa.array([float(seen)] * len(names)), pa.array([(w[k].ravel().astype(np.float64)).tolist() for k in names], pa.list_(pa.float64()))],
-                    names=["name", "seen", "values"],
-                )
+                flat = np.concatenate([w[k].ravel() for k in w]).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([flat * seen], pa.list_(pa.float64()))], names=["seen", "total"])
 
         part = documents.select(col("text")).where(F.pmod(F.xxhash64(col("text")), F.lit(rounds)) == turn)
-        parts = part.mapInArrow(run, "name string, seen double, values array<double>")
-        total = parts.select("name", "seen", F.posexplode("values").alias("at", "value"))
-        # The sum of a cell over all tasks; cells are pre-aggregated in each task.
-        got = total.groupBy("name", "at").agg((F.sum(F.col("value") * F.col("seen")) / F.sum("seen")).alias("value")).toArrow()
-        if not got.num_rows:
+        parts = write_shared(part.mapInArrow(run, "seen double, total array<double>"), "weights")
+        # Sums of sums: about the square root of the number of tasks arrays meet in a task, and as many reach the driver.
+        tasks = max(1, int(parts.count() ** 0.5))
+        sums = parts.repartition(tasks).mapInArrow(_summed, "seen double, total array<double>").toArrow()
+        if not sums.num_rows:
             continue
-        names, at, value = got.column("name").to_numpy(zero_copy_only=False), got.column("at").to_numpy(), got.column("value").to_numpy()
-        weights = {k: v.copy() for k, v in weights.items()}
-        for name in weights:
-            mine = names == name
-            flat = weights[name].reshape(-1)
-            flat[at[mine]] = value[mine]
+        total = sums.column("total").combine_chunks().flatten().to_numpy().reshape(sums.num_rows, -1).sum(axis=0) / sums.column("seen").to_numpy().sum()
+        edges = np.cumsum([v.size for v in weights.values()])[:-1]
+        weights = {k: x.reshape(v.shape).astype(F32) for (k, v), x in zip(weights.items(), np.split(total, edges))}
     return weights
 
 
@@ -255,6 +274,7 @@ def with_scores(documents: DataFrame, model: LanguageModel, text: str = "text")
     Null texts count as empty: no tokens and a score of 0. Columns of these names are replaced, others pass through.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
+
     def make(_: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
         m = shared.value
         n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
