@@ -1,6 +1,7 @@
 """The operators against brute-force versions, round trips and held-out accuracy."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -460,3 +461,130 @@ def test_reputation_shrinks(spark):
     got = {r["host"]: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
     assert got["bad.x.com"]["bound"] < 0.2 < got["one.x.com"]["mean"] < got["good.x.com"]["mean"]
     assert got["one.x.com"]["mean"] < got["h1.y.net"]["mean"]
+
+
+# Repeats, hot rows, crafted files, long texts and sites
+
+
+def test_a_repeated_passage_is_found_again_and_counts_once(spark):
+    clean = " ".join(f"plain{i}" for i in range(300))
+    rows = [(i, f"vile hateful scum {clean}", 1) for i in range(60)] + [(100 + i, clean, 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    probe = spark.createDataFrame([(1, f"vile hateful scum {clean} vile hateful scum"), (2, f"vile hateful scum {clean}")], "doc_id bigint, text string")
+    found = toxicity.passages(probe, model, max_e=1e9).collect()
+    assert [(r["first_token"], r["end_token"]) for r in found if r["doc_id"] == 1] == [(0, 3), (303, 306)]
+    scorer = toxicity.TokenScorer(model)
+    once, twice = (toxicity.fresh_segments(w, scorer.scores(w)) for w in (toxicity.tokens_of(r["text"]) for r in probe.orderBy(F.desc("doc_id")).collect()))
+    assert np.allclose(once, twice)
+
+
+def test_many_segments_all_count():
+    """A text with twenty equal passages of different words is more toxic than one with eight."""
+    model = toxicity.ToxicityModel(np.zeros(1), np.zeros(1), 1, 1, scale=1.0, constant=0.1)
+    assert toxicity.evidence([6.0] * 20, 1000, model) > toxicity.evidence([6.0] * 8, 1000, model) > 0
+
+
+def test_labels_beside_zero_and_one(spark, odd):
+    labels = spark.createDataFrame([(1, 2), (5, -1), (6, 7)], "doc_id bigint, toxic int")
+    assert toxicity.held_out_scores(odd, labels).count() == 10
+
+
+def test_a_hot_row_is_dealt_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE", 7)
+    rows = spark.createDataFrame([(1, "a")] * 100 + [(2, "b")] * 3, "doc_id bigint, text string")
+    got = sharding.shard_documents(rows).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted({(r["shard"], r["slot"]) for r in got}) and len(got) == 103
+    for shard in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+
+def test_corrupted_tiffs_never_fail():
+    rng = np.random.default_rng(3)
+    whole = [tiff.write_pages([rng.integers(0, 9, (70, 64)).astype(np.uint8)] * 2, c, p, 16, t) for c in tiff.PACK for p in (1, 2) for t in (None, 16)]
+    for k in range(10_000):
+        data = bytearray(whole[k % len(whole)])
+        for at in rng.integers(0, len(data), rng.integers(1, 5)):
+            data[at] = rng.integers(0, 256)
+        pages, error = tiff.decode(bytes(data))
+        assert (error is None) or pages == []
+
+
+def test_unrelated_long_texts_have_no_likeness():
+    rng = random.Random(1)
+    a, b = (" ".join(f"{side}{rng.randrange(10**9)}" for _ in range(60_000)) for side in "ab")
+    maker = minhash.hasher()
+    assert minhash.likeness(maker.signature(a), maker.signature(b)) < 0.03
+
+
+def test_words_are_never_cut():
+    text = ("x" * 50 + "\t") * 8000 + "y" * 700_000 + " end"
+    (hashes, _), = word_hashes([text])
+    want = np.concatenate([h for h, _ in word_hashes(["x" * 50])]), np.concatenate([h for h, _ in word_hashes(["y" * 700_000])])
+    assert len(hashes) == 8002 and (hashes[:8000] == want[0][0]).all() and hashes[8000] == want[1][0]
+
+
+def test_quality_table_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"some text {'#' * int(rng.integers(0, 9))} with {i} words.", "en", ["a", "b", None][i % 3] if i < 55 else f"lone{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(0, 60, 2)], "doc_id bigint, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.quality_table(docs, labels).collect()}
+    p = {i: 1 / (1 + np.exp(-got[i]["evidence"])) for i in got}
+    p |= {i: float(i % 4 != 0) for i in range(0, 60, 2)}
+
+    def strength(groups):
+        sums = [(sum(p[i] for i in g), len(g)) for g in groups if len(g) >= 5]
+        mean = sum(s for s, _ in sums) / sum(n for _, n in sums)
+        between = np.var([s / n for s, n in sums]) - np.mean([1 / n for _, n in sums]) * mean * (1 - mean)
+        return min(max(mean * (1 - mean) / between - 1, 1), 1e4) if between > 0 else 1e4
+
+    groups = {}
+    for i, _, _, source in rows:
+        groups.setdefault(source, []).append(i)
+    k = strength(groups.values())
+    for i, _, _, source in rows:
+        others = [j for j in groups[source] if j != i]
+        world = (sum(p.values()) - p[i] + 1) / (len(p) - 1 + 2)
+        host = (sum(p[j] for j in others) + k * world) / (len(others) + k)
+        path = (sum(p[j] for j in others) + k * host) / (len(others) + k)
+        logit = got[i]["evidence"] - np.log(model.prior / (1 - model.prior)) + np.log(np.clip(path, 1e-4, 1 - 1e-4) / (1 - np.clip(path, 1e-4, 1 - 1e-4)))
+        assert np.isclose(got[i]["host_rate"], host) and np.isclose(got[i]["path_rate"], path) and np.isclose(got[i]["quality"], 1 / (1 + np.exp(-logit)))
+
+
+def test_language_scores_by_brute_force(spark):
+    """Every token's conditional from a plain loop over the network, summed by text."""
+    texts = ["the cat sat on the mat", "a dog and the cat", "", None, "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = pseudo_likelihood.fit(docs)
+    w, words = model.weights, model.words
+    got = {r["doc_id"]: r for r in pseudo_likelihood.with_scores(docs, model).collect()}
+    soft = lambda x: np.log(np.exp(x) / np.exp(x).sum())
+    for i, text in enumerate(texts):
+        hashes = np.concatenate([h for h, _ in word_hashes([text or ""])])
+        slots = pseudo_likelihood.slots_of(hashes, words.bits)
+        tokens = words.token[slots].astype(int)
+        total = 0.0
+        for at, token in enumerate(tokens):
+            bag = np.zeros(pseudo_likelihood.DIM)
+            for k, side in enumerate(pseudo_likelihood.SIDES):
+                near = tokens[at + side] if 0 <= at + side < len(tokens) else pseudo_likelihood.EDGE
+                bag += w["embed"][near] * w["place"][k]
+            hidden = np.tanh(bag @ w["inner"] + w["inner_bias"])
+            group, place = divmod(token, pseudo_likelihood.PER_CLASS)
+            block = slice(group * pseudo_likelihood.PER_CLASS, (group + 1) * pseudo_likelihood.PER_CLASS)
+            total += soft(w["group"] @ hidden + w["group_bias"])[group] + soft(w["word"][block] @ hidden + w["word_bias"][block])[place] + words.share[slots[at]]
+        assert got[i]["n_tokens"] == len(tokens) and np.isclose(got[i]["log_likelihood"], total, rtol=1e-4)
+
+
+def test_hosts_without_labels_lean_on_their_domain(spark):
+    urls = [f"http://s{i}.bad.co.uk/en/{i}" for i in range(40)] + [f"http://s{i}.good.co.uk/en/{100 + i}" for i in range(40)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, "http://new.bad.co.uk:80/x", "http://me@new.good.co.uk/x", "http://10.0.0.1/x"])], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int(i >= 100), 0) for i in (*range(40), *range(100, 140))], "doc_id bigint, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, url_filter.page_outcomes(pages, labels)).collect()}
+    assert got[80]["host"] == "new.bad.co.uk:80" and got[80]["verdict"] == "block" and got[81]["verdict"] == "allow"
+    assert got[82]["bound"] is not None
+    names = spark.createDataFrame([("a.b.co.uk",), ("b.com",), ("x.y.z.net",), ("10.0.0.1",), ("co.uk",)], "h string")
+    assert [tuple(r) for r in names.select(url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h"))).collect()] == [
+        ("b.co.uk", "co.uk"), ("b.com", "com"), ("z.net", "net"), ("10.0.0.1", "address"), ("co.uk", "co.uk")]
