@@ -66,13 +66,24 @@ def row_rank(mark: Column) -> Column:
     return F.struct(col("doc_id").isNull().alias("no_id"), col("doc_id").alias("id"), mark.alias("mark"))
 
 
-def keep_ranked(documents: DataFrame, first: DataFrame) -> DataFrame:
-    """``documents`` that the ranks in ``first`` (one for each group) name, each row once; of repeated ids one row, of null ids all."""
+def keep_ranked(documents: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
+    """``documents`` that the ranks in ``first`` (one for each group) name, each row once; of repeated ids one row, of null ids all.
+
+    ``rows`` are the documents' ``doc_id`` and ``mark``. What goes is found among these, so the texts only meet the rows that go.
+    """
     repeated = F.when(F.col("first")["no_id"], F.col("first")["mark"])
     chosen = first.groupBy(F.col("first")["id"].alias("_first"), repeated.alias("_repeated")).agg(F.min(F.col("first")["mark"]).alias("_chosen"))
+    same = F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("mark") == F.col("_chosen"))
+    counted = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_n"))
+    rest = write_shared(counted.join(chosen, same, "left").where("_chosen is null or _n > 1").select(
+        F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), F.col("_chosen").isNull().alias("_goes")), "rest")
     marked = documents.withColumn("_mark", row_mark())
-    kept = marked.join(chosen, col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_mark") == F.col("_chosen")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    named = col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
+    kept = marked.join(rest, named, "left_anti")
+    again = rest.where("not _goes")
+    if again.take(1):
+        kept = kept.union(marked.join(again, named, "left_semi").dropDuplicates(["doc_id", "_mark"]))
+    return kept.drop("_mark")
 
 
 def crc_mod4(doc_id: Column) -> Column:

@@ -1,10 +1,10 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
-A logistic classifier on surface features gives each document's evidence. Outcomes (labels where they are known, else the
-classifier's probabilities) are summed by path within host and by host; each level's rate is shrunk towards the one above with a
+A logistic classifier on surface features gives each document's evidence. Outcomes (the classifier's probabilities, and the labels
+as observations beside them) are summed by path within host and by host; each level's rate is shrunk towards the one above with a
 prior strength estimated from the spread between sites, so sparse sites lean on the global rate. The document's posterior
-combines its own evidence with the rate of the *other* documents of its path in place of the global one: its own outcome is
-taken out of every level, so no evidence counts twice.
+combines its own evidence with its path's rate in place of the global one: its own evidence is taken out of every level first, so
+none counts twice.
 """
 
 from __future__ import annotations
@@ -149,19 +149,19 @@ def site_rates(evidence: DataFrame, host: str = "source", path: str = "lang") ->
 def score_evidence(marked: DataFrame, prior: float, labels: DataFrame | None = None, host: str = "source", path: str = "lang") -> DataFrame:
     """Written rows with ``evidence`` and their host_rate, path_rate and quality (posterior).
 
-    Both rates leave the row itself out. With ``labels`` (doc_id, quality) a labelled document enters its site's sums by its label
-    (of several the lowest). The site table is broadcast only up to ``BROADCAST_SITES`` sites; beyond that the join is left to
-    Spark, which may split a hot site's rows.
+    Both rates leave the row's own evidence out. ``labels`` (doc_id, quality; of several the lowest) add an observation each to their
+    document's site; they meet ids and sites only, so no text is shuffled. The site table is broadcast only up to ``BROADCAST_SITES``
+    sites; beyond that the join is left to Spark, which may split a hot site's rows.
     """
     marked = marked.select(*[col(c) for c in marked.columns if c not in ("host_rate", "path_rate", "quality")])
-    outcome = 1 / (1 + F.exp(-F.col("evidence")))
+    rows = marked.withColumn("_outcome", 1 / (1 + F.exp(-F.col("evidence"))))
+    seen = rows.select(col(host).alias("host"), col(path).alias("path"), "_outcome")
     if labels is not None:
         known = labels.where(col("doc_id").isNotNull() & col("quality").isNotNull()).groupBy(col("doc_id").alias("_labelled")).agg(
-            F.min((col("quality") > 0).cast("double")).alias("_label"))
-        marked = marked.join(known, col("doc_id") == F.col("_labelled"), "left")
-        outcome = F.coalesce("_label", outcome)
-    rows = marked.withColumn("_outcome", outcome)
-    joined, world = _levels(_site_sums(rows, host, path))
+            F.min((col("quality") > 0).cast("double")).alias("_outcome"))
+        at = marked.select(col("doc_id").alias("_labelled"), col(host).alias("host"), col(path).alias("path"))
+        seen = seen.union(at.join(known, "_labelled").select("host", "path", "_outcome"))
+    joined, world = _levels(_site_sums(seen, "host", "path"))
     sites = write_shared(joined, "sites")
     side = sites.select(F.struct(*[F.col(c) for c in sites.columns]).alias("_site"))
     if sites.count() <= BROADCAST_SITES:
@@ -171,7 +171,7 @@ def score_evidence(marked: DataFrame, prior: float, labels: DataFrame | None = N
     met = met.withColumns({"host_rate": host_rate, "path_rate": path_rate})
     logit = lambda p: F.log(p / (1 - p))
     shifted = F.col("evidence") - float(np.log(prior / (1 - prior))) + logit(F.least(F.greatest(F.col("path_rate"), F.lit(1e-4)), F.lit(1 - 1e-4)))
-    return met.withColumn("quality", 1 / (1 + F.exp(-shifted))).drop("_site", "_outcome", "_label", "_labelled")
+    return met.withColumn("quality", 1 / (1 + F.exp(-shifted))).drop("_site", "_outcome")
 
 
 def score(documents: DataFrame, model: QualityModel, labels: DataFrame | None = None, host: str = "source", path: str = "lang") -> DataFrame:

@@ -250,7 +250,7 @@ def keep_first(documents: DataFrame, radius: int = RADIUS, size: int = 4) -> Dat
 
     All columns pass through. Each component whose ids are all null keeps one row.
     """
-    slim = with_fingerprints(documents.select(col("doc_id"), col("text"), row_mark().alias("mark")), size)
+    slim = write_shared(with_fingerprints(documents.select(col("doc_id"), col("text"), row_mark().alias("mark")), size).drop("text"), "fingerprints")
     codes = write_shared(slim.groupBy(F.col("fingerprint").alias("code")).agg(F.min(row_rank(F.col("mark"))).alias("first")), "codes")
     roots = codes.join(code_components(codes.select("code"), radius), "code")
-    return keep_ranked(documents, write_shared(roots.groupBy("root").agg(F.min("first").alias("first")), "kept"))
+    return keep_ranked(documents, slim.select("doc_id", "mark"), write_shared(roots.groupBy("root").agg(F.min("first").alias("first")), "kept"))

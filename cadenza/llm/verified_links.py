@@ -1,10 +1,10 @@
 """Links between near copies: buckets propose, exact Jaccard similarity of the shingle sets confirms.
 
-``rep`` stands for all texts of one shingle set, so exact copies are folded before anything is compared. In every bucket the
-smallest ``rep`` is the vantage point and all others are tried against it, one pair a member. Only buckets whose members that
-does not connect go on: there, pairs between unconnected members whose codes lie within a radius are tried in growing
-ranks of nearness, until none is left. So no pair that shares a bucket and lies within the radius stays untried unless its ends are already
-connected, and a group of copies, however large, costs about one pair a member.
+``rep`` stands for all texts of one shingle set, so exact copies are folded before anything is compared. Every member is first tried
+against the smallest ``rep`` it shares a bucket with, its vantage point: one pair a member, which connects a group of copies however
+large. Only buckets whose members are still not all connected go on, with their sets, to tasks that compare them exactly: codes within a
+radius are candidates, the sets decide, pairs already connected are left out, and only links that connect something come back. So no pair
+that shares a bucket and lies within the radius stays untried unless its ends are connected, and nobody writes out the pairs of a group.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ from cadenza.llm.components import connected_components
 
 #: Bits of the fixed-size filter (8 MB) that keeps unneeded shingle sets out of the shuffle.
 FILTER_BITS = 1 << 26
-#: Members of a bucket in one piece; larger buckets are dealt in pairs of pieces.
-CHUNK_ROWS = 1024
-#: Ranks of nearness tried in the first round, and their growth from round to round.
-NEAREST, GROWTH = 4, 16
+#: Shingles of a bucket in one piece (8 MB); larger buckets are dealt in pairs of pieces.
+PIECE_SHINGLES = 1 << 20
 _BLOCK = 256
+_AHEAD = 64
 
 Shingles = Callable[[str], np.ndarray]
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -94,59 +93,83 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def confirmed_links(shared: DataFrame, sets: DataFrame, codes: DataFrame, distance: Distance, kind: str, radius: int, similarity: float) -> DataFrame:
-    """Confirmed links ``(a, b)`` that connect the members of all buckets; ``codes`` has ``rep`` and binary ``code`` of numpy type ``kind``.
-
-    The rounds after the first grow with the logarithm of the number of unconnected neighbours of one member.
-    """
-    tried = shared.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = write_shared(confirmed(tried, sets, similarity), "links")
+    """Confirmed links ``(a, b)`` that connect the members of all buckets; ``codes`` has ``rep`` and binary ``code`` of numpy type ``kind``."""
+    nearest = shared.where("rep <> leader").groupBy("rep").agg(F.min("leader").alias("a")).select("a", F.col("rep").alias("b"))
+    links = write_shared(confirmed(nearest, sets, similarity), "links")
     roots = connected_components(links)
-    # Pairs with the leader are done; a bucket stays open while the others fall into more than one component.
-    others = shared.where("rep <> leader").join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("group"))
-    others = write_shared(others, "others")
-    still = others.groupBy("bucket").agg(F.min("group").alias("_low"), F.max("group").alias("_high"), F.count("*").alias("_n")).where("_low < _high")
-    rest = write_shared(others.join(still.select("bucket", "_n"), "bucket").join(codes, "rep"), "open")
-    low, high, more = 0, NEAREST, bool(rest.take(1))
-    while more:
-        found = write_shared(near_pairs(rest, distance, kind, radius, low, high), "near")
-        pairs = found.where("a is not null").select("a", "b").distinct()
-        if low:
-            known = connected_components(links)
-            end = lambda name: known.select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
-            joined = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
-            pairs = joined.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-        links = write_shared(links.union(confirmed(pairs, sets, similarity)), "links")
-        more = bool(found.where("a is null").take(1))
-        low, high = high, high * GROWTH
-    return links
-
-
-def near_pairs(rest: DataFrame, distance: Distance, kind: str, radius: int, low: int, high: int) -> DataFrame:
-    """``(a, b)`` of unconnected members of a bucket that are neighbours of rank ``low`` to ``high`` of one another; nulls where ranks remain.
+    members = write_shared(shared.join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("group")), "members")
+    sized = codes.join(sets, "rep").select("rep", "code", "shingles", F.size("shingles").alias("_size"))
+    still = members.groupBy("bucket").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("bucket")
+    rest = members.join(still, "bucket")
+    pieces = rest.join(sized.select("rep", "_size"), "rep").groupBy("bucket").agg(F.ceil(F.sum("_size") / PIECE_SHINGLES).cast("int").alias("_pieces"))
+    rest = rest.join(write_shared(pieces, "open"), "bucket").join(sized, "rep")
+    return write_shared(links.union(bucket_links(rest, distance, kind, radius, similarity)), "links")
+
+
+def bucket_links(rest: DataFrame, distance: Distance, kind: str, radius: int, similarity: float) -> DataFrame:
+    """``(a, b)``: confirmed links between members of a bucket that were in different groups, as many as connect them.
 
     Buckets stream through a task one after another; large ones come in pairs of pieces, so a task holds two pieces at most.
     """
-    pieces = F.ceil(F.col("_n") / CHUNK_ROWS).cast("int")
-    dealt = rest.withColumn("own", F.pmod(F.xxhash64("rep"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    count = F.greatest(F.col("_pieces"), F.lit(1))
+    dealt = rest.withColumn("own", F.pmod(F.xxhash64("rep"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     shard = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    placed = dealt.select(shard.alias("shard"), "own", (F.col("own") == F.col("other")).alias("whole"), "rep", "group", "code")
+    placed = dealt.select(shard.alias("shard"), "own", (F.col("own") == F.col("other")).alias("whole"), "rep", "group", "code", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches):
             own, rep, group = (table.column(n).to_numpy() for n in ("own", "rep", "group"))
             codes = np.array([np.frombuffer(c, kind) for c in table.column("code").to_pylist()])
-            a, b, more = ranked_pairs(codes, group, own if not table.column("whole")[0].as_py() else np.arange(len(own)), distance, radius, low, high)
-            ends = np.sort(np.column_stack([rep[a], rep[b]]), axis=1)
-            x, y = pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64())
-            if more:
-                none = pa.nulls(1, pa.int64())
-                x, y = pa.concat_arrays([x, none]), pa.concat_arrays([y, none])
-            if len(x):
-                yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
+            lists = table.column("shingles").combine_chunks()
+            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            side = np.arange(len(own)) if table.column("whole")[0].as_py() else own
+            found = list(spanning_pairs(codes, flat, ends, group, side, distance, radius, similarity))
+            if found:
+                at = np.array(found)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[at].min(axis=1)), pa.array(rep[at].max(axis=1))], names=["a", "b"])
 
     return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a bigint, b bigint")
 
 
+def spanning_pairs(
+    codes: np.ndarray, flat: np.ndarray, ends: np.ndarray, group: np.ndarray, side: np.ndarray, distance: Distance, radius: int, similarity: float
+) -> Iterator[tuple[int, int]]:
+    """Index pairs of members whose sets reach the similarity, of different ``side``, as many as connect their groups.
+
+    Set k is ``flat[ends[k]:ends[k + 1]]``. Codes are put in the order of their distance to a vantage point: by the triangle inequality a
+    code's neighbours lie in the shell within the radius of its own distance, and nothing outside is compared.
+    """
+    sizes = np.diff(ends)
+    names, terms = np.unique(flat, return_inverse=True)
+    held = np.zeros(len(names), bool)
+    label = np.unique(group, return_inverse=True)[1]
+    to_vantage = distance(codes[:1], codes)[0].astype(np.int64)
+    order = np.argsort(to_vantage, kind="stable")
+    shells = to_vantage[order]
+    for at in range(0, len(order), _BLOCK):
+        block = order[at : at + _BLOCK]
+        # Each pair once: with members at or after the block in the order.
+        near = order[at : np.searchsorted(shells, shells[at + len(block) - 1] + radius, "right")]
+        apart = distance(codes[block], codes[near])
+        for i, own in enumerate(block.tolist()):
+            wanted = np.flatnonzero((apart[i] <= radius) & (side[near] != side[own]) & (label[near] != label[own]))
+            wanted = near[wanted[np.argsort(apart[i][wanted], kind="stable")]]
+            wanted = wanted[np.minimum(sizes[wanted], sizes[own]) >= similarity * np.maximum(sizes[wanted], sizes[own]) - 1e-9]
+            if not len(wanted):
+                continue
+            mine = terms[ends[own] : ends[own + 1]]
+            held[mine] = True
+            while len(wanted):
+                some, wanted = wanted[:_AHEAD], wanted[_AHEAD:]
+                both = np.array([np.count_nonzero(held[terms[ends[j] : ends[j + 1]]]) for j in some.tolist()])
+                for j in some[both / np.maximum(sizes[some] + sizes[own] - both, 1) >= similarity].tolist():
+                    if label[j] != label[own]:
+                        label[label == label[j]] = label[own]
+                        yield own, j
+                wanted = wanted[label[wanted] != label[own]]
+            held[mine] = False
+
+
 def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each ``shard`` (first column) of sorted batches as one table."""
     held: list[pa.RecordBatch] = []
@@ -163,28 +186,3 @@ def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             held.append(part)
     if held:
         yield pa.Table.from_batches(held)
-
-
-def ranked_pairs(codes: np.ndarray, group: np.ndarray, side: np.ndarray, distance: Distance, radius: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Index pairs of different ``group`` and ``side`` within ``radius``, of rank ``low`` to ``high`` by distance; and whether any rank remains.
-
-    Codes are put in the order of their distance to a vantage point: by the triangle inequality a code's neighbours lie in the
-    shell within the radius of its own distance, and nothing outside is compared.
-    """
-    to_vantage = distance(codes[:1], codes)[0].astype(np.int64)
-    order = np.argsort(to_vantage, kind="stable")
-    shells = to_vantage[order]
-    first, second, more = [], [], False
-    for at in range(0, len(order), _BLOCK):
-        own = order[at : at + _BLOCK]
-        start, end = np.searchsorted(shells, shells[at] - radius), np.searchsorted(shells, shells[at + len(own) - 1] + radius, "right")
-        near = order[start:end]
-        apart = distance(codes[own], codes[near]).astype(np.int64)
-        apart[(group[own][:, None] == group[near][None, :]) | (side[own][:, None] == side[near][None, :]) | (apart > radius)] = 1 << 40
-        ranked = np.argsort(apart, axis=1, kind="stable")[:, low:high]
-        chosen = np.take_along_axis(apart, ranked, axis=1) <= radius
-        more |= bool(((apart <= radius).sum(axis=1) > high).any())
-        x, y = np.nonzero(chosen)
-        first.append(own[x])
-        second.append(near[ranked[x, y]])
-    return np.concatenate(first), np.concatenate(second), more

@@ -532,23 +532,19 @@ def test_quality_table_by_brute_force(spark):
     model = quality.fit(docs, labels)
     got = {r["doc_id"]: r for r in quality.quality_table(docs, labels).collect()}
     p = {i: 1 / (1 + np.exp(-got[i]["evidence"])) for i in got}
-    p |= {i: float(i % 4 != 0) for i in range(0, 60, 2)}
-
-    def strength(groups):
-        sums = [(sum(p[i] for i in g), len(g)) for g in groups if len(g) >= 5]
-        mean = sum(s for s, _ in sums) / sum(n for _, n in sums)
-        between = np.var([s / n for s, n in sums]) - np.mean([1 / n for _, n in sums]) * mean * (1 - mean)
-        return min(max(mean * (1 - mean) / between - 1, 1), 1e4) if between > 0 else 1e4
-
+    seen = [(source, p[i]) for i, _, _, source in rows] + [(rows[i][3], float(i % 4 != 0)) for i in range(0, 60, 2)]
     groups = {}
+    for source, value in seen:
+        groups.setdefault(source, []).append(value)
+    sums = [(sum(g), len(g)) for g in groups.values() if len(g) >= 5]
+    mean = sum(s for s, _ in sums) / sum(n for _, n in sums)
+    between = np.var([s / n for s, n in sums]) - np.mean([1 / n for _, n in sums]) * mean * (1 - mean)
+    k = min(max(mean * (1 - mean) / between - 1, 1), 1e4) if between > 0 else 1e4
+    everything = sum(v for _, v in seen)
     for i, _, _, source in rows:
-        groups.setdefault(source, []).append(i)
-    k = strength(groups.values())
-    for i, _, _, source in rows:
-        others = [j for j in groups[source] if j != i]
-        world = (sum(p.values()) - p[i] + 1) / (len(p) - 1 + 2)
-        host = (sum(p[j] for j in others) + k * world) / (len(others) + k)
-        path = (sum(p[j] for j in others) + k * host) / (len(others) + k)
+        good, n = sum(groups[source]) - p[i], len(groups[source]) - 1
+        host = (good + k * (everything - p[i] + 1) / (len(seen) + 1)) / (n + k)
+        path = (good + k * host) / (n + k)
         logit = got[i]["evidence"] - np.log(model.prior / (1 - model.prior)) + np.log(np.clip(path, 1e-4, 1 - 1e-4) / (1 - np.clip(path, 1e-4, 1 - 1e-4)))
         assert np.isclose(got[i]["host_rate"], host) and np.isclose(got[i]["path_rate"], path) and np.isclose(got[i]["quality"], 1 / (1 + np.exp(-logit)))
 
