@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cadenza.functions.text import similarity
+
 # Words spoken as digits, short words that stand alone, power words, negations and calls to action.
-SPOKEN = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+SPOKEN = {"10": "ten", "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine", "0": "zero"}
 LONE_LETTERS = ["a", "i", "o"]
 POWER = ["never", "always", "best", "worst", "secret", "free", "instantly", "amazing", "shocking"]
 NEGATIONS = ["no", "not", "never", "don't", "won't", "can't", "nothing"]
@@ -69,12 +71,17 @@ def keep_caption(text: Column, confidence: Column) -> Column:
     return (confidence >= 0.3) & (letters >= 0.5) & (symbols <= 0.35) & (F.length(F.trim(text)) >= 2)
 
 
-def spoken_digits(word: Column) -> Column:
-    """Number words inside a token written as digits."""
-    out = F.lower(word)
-    for name, digit in SPOKEN.items():
-        out = F.replace(out, F.lit(name), F.lit(digit))
-    return out
+def phonetic(plain: Column) -> Column:
+    """A plain word with its digits as spoken, ten before one; larger numbers come digit by digit."""
+    for digits, name in SPOKEN.items():
+        plain = F.replace(plain, F.lit(digits), F.lit(name))
+    return plain
+
+
+def spoken_similarity(a: Column, b: Column) -> Column:
+    """Edit similarity of two plain words as written, or as spoken where that is greater and the first is under 0.8."""
+    written = similarity(a, b)
+    return F.when(written >= 0.8, written).otherwise(F.greatest(written, similarity(phonetic(a), phonetic(b))))
 
 
 def sanitized(text: Column) -> Column:

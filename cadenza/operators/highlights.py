@@ -11,18 +11,26 @@ from cadenza.functions.text import ends_sentence, plain
 from cadenza.operators import joins
 from cadenza.operators.windows import ordered
 
-FILLERS = ["um", "uh", "like", "actually", "basically", "literally"]
+# Fillers, and the cues that open a hook and close with a payoff.
+FILLERS = ["um", "uh", "erm", "ah", "like", "basically", "literally", "actually", "just", "kinda", "kind", "sorta", "sort"]
+HOOK_CUES = ["why", "how", "what", "when", "stop", "never", "nobody", "most", "biggest", "mistake", "secret", "truth"]
+PAYOFF_CUES = ["because", "means", "therefore", "so", "that", "why", "fix", "result", "instead", "now"]
 
 
 def marked_words(words: DataFrame) -> DataFrame:
-    """Words with sentence marks, filler marks, gaps and running filler counts."""
+    """Words with sentence marks, filler marks, gaps, running filler counts, and the places of the next hook and the last payoff cue."""
     w = ordered(["video_id"], ["idx"])
     rows = words.withColumns({
         "ends": ends_sentence(F.col("word")), "opens": F.coalesce(ends_sentence(F.lag("word").over(w)), F.lit(True)),
         "filler": plain(F.col("word")).isin(FILLERS).cast("int"), "gap_before": F.coalesce(F.col("start_ms") - F.lag("end_ms").over(w), F.lit(0)),
         "gap_after": F.coalesce(F.lead("start_ms").over(w) - F.col("end_ms"), F.lit(0)),
     })
-    return rows.withColumn("fillers", F.sum("filler").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("video_id").orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({
+        "fillers": F.sum("filler").over(so_far), "hook_at": F.min(F.when(plain(F.col("word")).isin(HOOK_CUES), F.col("idx"))).over(back),
+        "payoff_at": F.max(F.when(plain(F.col("word")).isin(PAYOFF_CUES), F.col("idx"))).over(so_far),
+    })
 
 
 def candidate_spans(words: DataFrame, least: int = 20_000, target: int = 35_000, most: int = 60_000, every: int = 8) -> DataFrame:
@@ -33,29 +41,45 @@ def candidate_spans(words: DataFrame, least: int = 20_000, target: int = 35_000,
     """
     rows = marked_words(words)
     starts = rows.where(F.col("opens") | (F.col("idx") % every == 0)).select(
-        "video_id", F.col("idx").alias("first"), F.col("start_ms").alias("s"), F.col("opens"), F.col("gap_before"), (F.col("fillers") - F.col("filler")).alias("f0"))
-    ends = rows.select(F.col("video_id").alias("_v"), F.col("idx").alias("last"), F.col("end_ms").alias("e"), "ends", "gap_after", F.col("fillers").alias("f1"), F.expr("end_ms div 60000").alias("_b"))
+        "video_id", F.col("idx").alias("first"), F.col("start_ms").alias("s"), F.col("opens"), F.col("gap_before"), "hook_at", (F.col("fillers") - F.col("filler")).alias("f0"))
+    ends = rows.select(F.col("video_id").alias("_v"), F.col("idx").alias("last"), F.col("end_ms").alias("e"), "ends", "gap_after", "payoff_at", F.col("fillers").alias("f1"), F.expr("end_ms div 60000").alias("_b"))
     spread = starts.withColumn("_b0", F.explode(F.sequence(F.expr(f"(s + {least}) div 60000"), F.expr(f"(s + {most}) div 60000"))))
     length = F.col("e") - F.col("s")
     pairs = spread.join(ends, (F.col("video_id") == F.col("_v")) & (F.col("_b0") == F.col("_b")) & (length >= least) & (length <= most) & (F.col("last") >= F.col("first")))
     distance = F.abs(length - target) - F.when(F.col("ends"), 750).otherwise(0)
     best = joins.best(pairs.withColumn("distance", distance), ["video_id", "first"], [F.col("distance"), F.col("last")])
-    return best.select("video_id", "first", "last", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"), "opens", "ends", "gap_before", "gap_after",
-                       (F.col("last") - F.col("first") + 1).alias("n_words"), (F.col("f1") - F.col("f0")).alias("fillers"))
+    spans = best.select("video_id", "first", "last", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"), "opens", "ends", "gap_before", "gap_after",
+                        (F.col("last") - F.col("first") + 1).alias("n_words"), (F.col("f1") - F.col("f0")).alias("fillers"),
+                        F.coalesce(F.col("hook_at") <= F.least(F.col("first") + 7, F.col("last")), F.lit(False)).alias("hook_cue"),
+                        F.coalesce(F.col("payoff_at") >= F.greatest(F.col("last") - 9, F.col("first")), F.lit(False)).alias("payoff_cue"))
+    return _with_inner_gaps(spans, rows)
+
+
+def _with_inner_gaps(spans: DataFrame, rows: DataFrame, width: int = 60_000, least: int = 650) -> DataFrame:
+    """``spans`` with ``inner_gap``, the longest pause between two of their words; only pauses over ``least`` are looked for (0 else).
+
+    Pauses and spans meet in buckets of time.
+    """
+    pauses = rows.where(F.col("gap_before") > least).select(F.col("video_id").alias("_v"), F.col("idx").alias("_i"), F.col("gap_before").alias("_g"), F.floor(F.col("start_ms") / width).alias("_p"))
+    cut = spans.select("video_id", "first", "last", F.explode(F.sequence(F.floor(F.col("start_ms") / width), F.floor((F.col("end_ms") + 60) / width))).alias("_b"))
+    met = cut.join(pauses, (F.col("video_id") == F.col("_v")) & (F.col("_b") == F.col("_p")) & (F.col("_i") > F.col("first")) & (F.col("_i") <= F.col("last")))
+    longest = met.groupBy("video_id", "first").agg(F.max("_g").alias("_longest"))
+    return spans.join(longest, ["video_id", "first"], "left").withColumn("inner_gap", F.coalesce("_longest", F.lit(0))).drop("_longest")
 
 
 def score_spans(spans: DataFrame, target: int = 35_000, most: int = 60_000, least_words: int = 8) -> DataFrame:
-    """Spans with hook, coherence, payoff, boundary, filler risk and total scores (cue words are not used)."""
+    """Spans with hook, coherence, payoff, boundary, filler and silence risk and total scores."""
     opens, ends = F.col("opens"), F.col("ends")
     give = lambda c, x: F.when(c, x).otherwise(0.0)
     near = clamp(1 - F.abs(F.col("end_ms") - F.col("start_ms") - target) / float(most - target))
-    hook = clamp(0.08 + give(opens, 0.2) + give(F.col("fillers") == 0, 0.18))
-    coherence = clamp(0.7 * near + give(ends, 0.2) + 0.1)
-    payoff = clamp(0.16 + give(ends, 0.34) + give(F.col("n_words") >= least_words, 0.24))
-    boundary = clamp(give(opens, 0.36) + give(ends, 0.36) + give(F.col("gap_before") >= 350, 0.14) + give(F.col("gap_after") >= 350, 0.14))
+    silence = clamp(F.greatest(F.lit(0.0), F.col("inner_gap") / 1000 - 0.65) / 1.5)
+    hook = clamp(F.when(F.col("hook_cue"), 0.68).otherwise(0.08) + give(opens, 0.2) + give(F.col("fillers") == 0, 0.18))
+    coherence = clamp(0.7 * near + give(ends, 0.2) + give(silence < 0.25, 0.1))
+    payoff = clamp(F.when(F.col("payoff_cue"), 0.42).otherwise(0.16) + give(ends, 0.34) + give(F.col("n_words") >= least_words, 0.24))
+    boundary = clamp(give(opens, 0.36) + give(ends, 0.36) + give((F.col("gap_before") >= 350) | (F.col("n_words") <= least_words), 0.14) + give(F.col("gap_after") >= 350, 0.14))
     risk = clamp(4.0 * F.col("fillers") / F.col("n_words"))
-    total = clamp(0.28 * hook + 0.24 * coherence + 0.18 * payoff + 0.2 * boundary + 0.06 * (1 - risk) + 0.04)
-    return spans.withColumns({"filler_risk": F.round(risk, 6), "score": F.round(total, 6)})
+    total = clamp(0.28 * hook + 0.24 * coherence + 0.18 * payoff + 0.2 * boundary + 0.06 * (1 - risk) + 0.04 * (1 - silence))
+    return spans.withColumns({"filler_risk": F.round(risk, 6), "silence_risk": F.round(silence, 6), "score": F.round(total, 6)})
 
 
 def snap(spans: DataFrame, words: DataFrame, lead: int = 900, tail: int = 1100, gap: int = 450) -> DataFrame:

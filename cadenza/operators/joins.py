@@ -18,7 +18,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, out:
     both = a.unionByName(b, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(time, "_side")
     before = F.last("_t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_t", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # The same stream read backwards: a running frame, where one that ends at the last row would be gone through for every row.
+    back = Window.partitionBy(*keys).orderBy(F.col(time).desc(), F.col("_side").desc())
+    after = F.last("_t", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     # A right row at the same time sorts first, so it is found before.
     chosen = F.when(before.isNull(), after).when(after.isNull(), before).when(F.col(time) - before < after - F.col(time), before).otherwise(after)
     return both.withColumn(out, chosen).where("_side = 1").drop("_side", "_t")

@@ -86,22 +86,44 @@ def audio_quality(words: DataFrame) -> DataFrame:
     return stats.select("video_id", "long_gaps", "critical_gaps", "n_overlaps", *[F.round(s, 6).alias(s) for s in scores], F.round(total, 6).alias("score"))
 
 
+# Words that recognition cuts in two, as (first part, second part); contractions are counted on their own.
+SPLIT_WORDS = (("Str", "uggling"), ("Str", "ong"), ("Str", "eet"), ("Str", "ategic"), ("hyd", "rate"), ("hyd", "rogen"), ("hyd", "ration"),
+               ("I", "'m"), ("I", "'ve"), ("I", "'ll"), ("I", "'d"), ("you", "'re"), ("you", "'ll"), ("you", "'ve"), ("you", "'d"),
+               ("we", "'re"), ("we", "'ll"), ("we", "'ve"), ("we", "'d"), ("they", "'re"), ("they", "'ll"), ("they", "'ve"), ("they", "'d"))
+WHOLE_WORDS = ("struggling", "strong", "street", "strategic", "hydrate", "hydrogen", "hydration")
+CAPTION_WEIGHTS = {"word_integrity": 0.2, "contraction_integrity": 0.15, "duration_health": 0.15, "timestamp_validity": 0.15, "confidence_health": 0.1, "readability": 0.15, "paging": 0.1}
+CAPTION_LEAST = {"word_integrity": 0.95, "contraction_integrity": 0.9, "duration_health": 0.9, "timestamp_validity": 1.0, "confidence_health": 0.8, "readability": 0.85, "paging": 0.8}
+
+
 def caption_quality(words: DataFrame) -> DataFrame:
-    """One row per video: shares of words with sound timing, duration, confidence and readability."""
+    """One row per video from words with confidence: seven scores of 0 to 1, their weighted mean and pass.
+
+    Timing is valid (1) or not (0): any overlap over 10 ms voids it. Reading speed is that of the whole video, 15 characters a second at
+    most. Paging is always 1.
+    """
     w = ordered(["video_id"], ["idx"])
     length = F.col("end_ms") - F.col("start_ms")
+    following = F.lead("word").over(w)
+    known = F.concat_ws("|", F.col("word"), F.lower(following)).isin([f"{a}|{b}" for a, b in SPLIT_WORDS]) & following.isNotNull()
+    partial = F.col("word").rlike("^[A-Z][a-z]{0,2}$") & following.rlike("^[a-z]{4,}$") & F.concat(F.lower("word"), following).isin(*WHOLE_WORDS)
     rows = words.withColumns({
-        "short": length < 50, "bad": length < 0, "overlap": F.col("end_ms") - F.lead("start_ms").over(w) > 10,
-        "fast": F.length("word") * 1000 > 15 * F.greatest(length, F.lit(1)),
+        "_split": known | F.coalesce(partial, F.lit(False)), "_cut": following.rlike("(?i)^'[a-z]+$"), "_short": length < 50,
+        "_over": F.col("end_ms") - F.lead("start_ms").over(w) > 10, "_doubt": F.coalesce("confidence", F.lit(1.0)) < 0.5,
     })
     n = F.count("*")
-    share = lambda c: F.round(1 - F.count_if(F.col(c)) / n, 6)
+    share = lambda c: 1 - F.count_if(F.col(c)) / n
+    seconds = (F.max_by("end_ms", "idx") - F.min_by("start_ms", "idx")) / 1000
+    cps = F.when(seconds > 0, F.sum(F.length("word")) / seconds)
     stats = rows.groupBy("video_id").agg(
-        n.alias("n_words"), share("short").alias("duration_health"), share("overlap").alias("overlap_free"), share("fast").alias("readability"),
-        F.when(F.count_if(F.col("bad")) == 0, 1.0).otherwise(0.0).alias("timestamp_validity"),
-    )
-    score = 0.3 * F.col("duration_health") + 0.3 * F.col("overlap_free") + 0.2 * F.col("readability") + 0.2 * F.col("timestamp_validity")
-    return stats.withColumn("score", F.round(score, 6))
+        n.alias("n_words"), share("_split").alias("word_integrity"), share("_cut").alias("contraction_integrity"), share("_short").alias("duration_health"),
+        F.when(F.count_if("_over") == 0, 1.0).otherwise(0.0).alias("timestamp_validity"), share("_doubt").alias("confidence_health"),
+        F.when(cps > 15, F.greatest(F.lit(0.0), 1 - (cps - 15) / 15)).otherwise(1.0).alias("readability"),
+    ).withColumn("paging", F.lit(1.0))
+    total = F.round(sum((F.col(k) * v for k, v in CAPTION_WEIGHTS.items()), F.lit(0.0)), 6)
+    passed = total >= 0.85
+    for name, least in CAPTION_LEAST.items():
+        passed = passed & (F.col(name) >= least)
+    return stats.select("video_id", "n_words", *[F.round(k, 6).alias(k) for k in CAPTION_WEIGHTS], total.alias("score"), passed.alias("passed"))
 
 
 def drift(words: DataFrame, heard: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ def _plain(word: str) -> str:
 
 
 def _spoken(word: str) -> str:
-    """Number words as digits, so that "two" and "2" agree."""
-    for name, digit in SPOKEN.items():
-        word = word.replace(name, digit)
+    """Digits as words, ten before one, so that "2" and "two" agree."""
+    for digits, name in SPOKEN.items():
+        word = word.replace(digits, name)
     return word
 
 

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadenza.functions import text as T
-from cadenza.functions.scores import cosine, dot, euclidean
+from cadenza.functions.scores import dot, euclidean
 
 #: Rows above which the query side is no longer broadcast.
 BROADCAST_ROWS = 10_000
+#: Videos of one block of the pairwise comparison.
+BLOCK_VIDEOS = 256
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, score=dot, id_col: str = "id", vec: str = "embedding") -> DataFrame:
@@ -41,10 +49,52 @@ def hash_embedding(docs: DataFrame, text: str, key: str, size: int) -> DataFrame
 
 
 def video_similarity(frames: DataFrame) -> DataFrame:
-    """(a, b, similarity): greatest cosine between frames of two videos, a < b."""
-    x = frames.select(F.col("video_id").alias("a"), F.col("embedding").alias("u"))
-    y = frames.select(F.col("video_id").alias("b"), F.col("embedding").alias("v"))
-    return x.join(y, F.col("a") < F.col("b")).groupBy("a", "b").agg(F.round(F.max(cosine(F.col("u"), F.col("v"))), 6).alias("similarity"))
+    """(a, b, similarity): greatest cosine between frames of two videos, a < b. All pairs of videos are the result itself.
+
+    Frames are dealt in blocks of whole videos, each pair of blocks meets in one task, which multiplies unit vectors and
+    keeps one number for each pair of videos; every frame is sent once for each block, and a task holds two blocks.
+    """
+    videos = frames.select("video_id").distinct().count()
+    blocks = max(1, math.ceil(videos / BLOCK_VIDEOS))
+    own = F.pmod(F.xxhash64("video_id"), F.lit(blocks)).cast("int")
+    dealt = frames.select("video_id", F.col("embedding").cast("array<double>").alias("v"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = dealt.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("pair"), (F.col("own") != F.col("other")).alias("mixed"), "own", "video_id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            pair = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)] if len(pair) else []
+            for low, high in itertools.pairwise(edges):
+                if held and held[-1].column(0)[0] != batch.column(0)[low]:
+                    yield from _greatest(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from _greatest(pa.Table.from_batches(held))
+
+    kind = f"a {frames.schema['video_id'].dataType.simpleString()}, b {frames.schema['video_id'].dataType.simpleString()}, similarity double"
+    # Ids differ in the pair of blocks only, so each pair of videos comes from one task.
+    return placed.repartition("pair").sortWithinPartitions("pair", "video_id").mapInArrow(run, kind).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def _greatest(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Greatest cosine of each pair of videos of one pair of blocks; rows are sorted by video."""
+    lists = table.column("v").combine_chunks()
+    v = lists.flatten().to_numpy().reshape(len(lists), -1)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+    ids = table.column("video_id").combine_chunks()
+    names, first = np.unique(ids.to_numpy(zero_copy_only=False), return_index=True)
+    ends = np.append(first[1:], len(v))
+    own = table.column("own").to_numpy()[first]
+    mixed = bool(table.column("mixed")[0].as_py())
+    for i, (low, high) in enumerate(zip(first, ends)):
+        later = np.arange(i + 1, len(names))
+        later = later[own[later] != own[i]] if mixed else later
+        if len(later):
+            best = np.maximum.reduceat((v[low:high] @ v.T).max(axis=0), first)[later]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[i : i + 1], len(later))), pa.array(names[later]), pa.array(best)], names=["a", "b", "similarity"])
 
 
 def diversity(similarity: DataFrame, duplicate: float = 0.95) -> DataFrame:

@@ -113,12 +113,12 @@ def signal_flicker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("freeze_runs", with_views("""WITH d AS (SELECT *, abs(latency - lag(latency) OVER v) <= 1.2 AS still, row_number() OVER v AS i FROM attempts WINDOW v AS (PARTITION BY run_id ORDER BY ts, event_id)),
     g AS (SELECT *, sum(CASE WHEN still IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY i) AS g FROM (SELECT *, lag(still) OVER (PARTITION BY run_id ORDER BY i) AS p FROM (SELECT * REPLACE (coalesce(still, false) AS still) FROM d)))
-    SELECT run_id, count(*) AS n, min(i) AS start, max(i) AS "end" FROM g WHERE still GROUP BY run_id, g HAVING count(*) >= 2""", "attempts"))
+    SELECT run_id, count(*) AS n, min(i) AS start, max(i) AS "end" FROM g WHERE still GROUP BY run_id, g HAVING count(*) >= 3""", "attempts"))
 def freeze_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of at least two nearly unchanged samples."""
+    """Runs of at least three nearly unchanged samples."""
     w = windows.ordered(["run_id"], ["ts", "event_id"])
     rows = views.attempts(spark, sf_dir).withColumns({"i": F.row_number().over(w).cast("long"), "still": F.abs(F.col("latency") - F.lag("latency").over(w)) <= 1.2})
-    return windows.runs(rows, F.col("still"), ["run_id"], "i", least=2).drop("island")
+    return windows.runs(rows, F.col("still"), ["run_id"], "i", least=3).drop("island")
 
 
 @register("packaging_choice", """WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')[1:3] AS v FROM documents),

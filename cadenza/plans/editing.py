@@ -64,7 +64,7 @@ def speech_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MARK_SQL = """m AS (SELECT *, sum(filler) OVER (PARTITION BY video_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS fillers FROM (
       SELECT video_id, idx, word, start_ms, end_ms, regexp_matches(word, '[.!?]["'')]*$') AS ends, coalesce(regexp_matches(lag(word) OVER v, '[.!?]["'')]*$'), true) AS opens,
-        CASE WHEN regexp_replace(lower(word), '[^a-z0-9]', '', 'g') IN ('um', 'uh', 'like', 'actually', 'basically', 'literally') THEN 1 ELSE 0 END AS filler,
+        CASE WHEN regexp_replace(lower(word), '[^a-z0-9]', '', 'g') IN ('um', 'uh', 'erm', 'ah', 'like', 'basically', 'literally', 'actually', 'just', 'kinda', 'kind', 'sorta', 'sort') THEN 1 ELSE 0 END AS filler,
         coalesce(start_ms - lag(end_ms) OVER v, 0) AS gap_before, coalesce(lead(start_ms) OVER v - end_ms, 0) AS gap_after
       FROM words WINDOW v AS (PARTITION BY video_id ORDER BY idx))),
     p AS (SELECT a.video_id, a.idx AS first, b.idx AS last, a.start_ms, b.end_ms, a.opens, b.ends, a.gap_before, b.gap_after, b.idx - a.idx + 1 AS n_words, b.fillers - (a.fillers - a.filler) AS fillers,
@@ -73,21 +73,26 @@ _MARK_SQL = """m AS (SELECT *, sum(filler) OVER (PARTITION BY video_id ORDER BY
     s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, first ORDER BY distance, last) AS r FROM p) WHERE r = 1)"""
 
 
-@register("highlight_spans", with_views(f"""WITH {_MARK_SQL}, c AS (SELECT *, greatest(0, least(1, 4.0::DOUBLE * fillers / n_words)) AS risk, greatest(0, least(1, 1 - abs(end_ms - start_ms - 35000) / 25000)) AS near FROM s)
-    SELECT video_id, first, last, start_ms, end_ms, n_words, CAST(fillers AS BIGINT) AS fillers, round(risk, 6) AS filler_risk, round(greatest(0, least(1,
-      0.28 * (0.08 + CASE WHEN opens THEN 0.2 ELSE 0 END + CASE WHEN fillers = 0 THEN 0.18 ELSE 0 END) + 0.24 * least(1, 0.7 * near + CASE WHEN ends THEN 0.2 ELSE 0 END + 0.1)
-      + 0.18 * (0.16 + CASE WHEN ends THEN 0.34 ELSE 0 END + CASE WHEN n_words >= 8 THEN 0.24 ELSE 0 END)
-      + 0.2 * least(1, CASE WHEN opens THEN 0.36 ELSE 0 END + CASE WHEN ends THEN 0.36 ELSE 0 END + CASE WHEN gap_before >= 350 THEN 0.14 ELSE 0 END + CASE WHEN gap_after >= 350 THEN 0.14 ELSE 0 END)
-      + 0.06 * (1 - risk) + 0.04)), 6) AS score FROM c""", "words"))
+@register("highlight_spans", with_views(f"""WITH {_MARK_SQL}, q AS (SELECT video_id, idx, gap_before, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS w FROM m),
+    d AS (SELECT s.*, coalesce((SELECT bool_or(w IN ('why', 'how', 'what', 'when', 'stop', 'never', 'nobody', 'most', 'biggest', 'mistake', 'secret', 'truth')) FROM q WHERE q.video_id = s.video_id AND idx BETWEEN first AND least(first + 7, last)), false) AS hc,
+        coalesce((SELECT bool_or(w IN ('because', 'means', 'therefore', 'so', 'that', 'why', 'fix', 'result', 'instead', 'now')) FROM q WHERE q.video_id = s.video_id AND idx BETWEEN greatest(last - 9, first) AND last), false) AS pc,
+        coalesce((SELECT max(q.gap_before) FROM q WHERE q.video_id = s.video_id AND idx > first AND idx <= last), 0) AS gap FROM s),
+    c AS (SELECT *, greatest(0, least(1, 4.0::DOUBLE * fillers / n_words)) AS risk, greatest(0, least(1, 1 - abs(end_ms - start_ms - 35000) / 25000)) AS near, greatest(0, least(1, greatest(0, gap / 1000 - 0.65::DOUBLE) / 1.5::DOUBLE)) AS silence FROM d)
+    SELECT video_id, first, last, start_ms, end_ms, n_words, CAST(fillers AS BIGINT) AS fillers, round(risk, 6) AS filler_risk, round(silence, 6) AS silence_risk, round(greatest(0, least(1,
+      0.28::DOUBLE * least(1, CASE WHEN hc THEN 0.68 ELSE 0.08 END + CASE WHEN opens THEN 0.2 ELSE 0 END + CASE WHEN fillers = 0 THEN 0.18 ELSE 0 END)
+      + 0.24::DOUBLE * least(1, 0.7 * near + CASE WHEN ends THEN 0.2 ELSE 0 END + CASE WHEN silence < 0.25 THEN 0.1 ELSE 0 END)
+      + 0.18::DOUBLE * least(1, CASE WHEN pc THEN 0.42 ELSE 0.16 END + CASE WHEN ends THEN 0.34 ELSE 0 END + CASE WHEN n_words >= 8 THEN 0.24 ELSE 0 END)
+      + 0.2::DOUBLE * least(1, CASE WHEN opens THEN 0.36 ELSE 0 END + CASE WHEN ends THEN 0.36 ELSE 0 END + CASE WHEN gap_before >= 350 OR n_words <= 8 THEN 0.14 ELSE 0 END + CASE WHEN gap_after >= 350 THEN 0.14 ELSE 0 END)
+      + 0.06::DOUBLE * (1 - risk) + 0.04::DOUBLE * (1 - silence))), 6) AS score FROM c""", "words"))
 def highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = highlights.score_spans(highlights.candidate_spans(views.words(spark, sf_dir)))
-    return spans.select("video_id", "first", "last", "start_ms", "end_ms", "n_words", "fillers", "filler_risk", "score")
+    return spans.select("video_id", "first", "last", "start_ms", "end_ms", "n_words", "fillers", "filler_risk", "silence_risk", "score")
 
 
 @register("highlight_choice")
 def highlight_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy choice among the spans; order dependent, so tests hold it against a plain version."""
-    spans = highlight_spans(spark, sf_dir).withColumn("fine", (F.col("score") >= 0.45) & (F.col("filler_risk") <= 0.65))
+    spans = highlight_spans(spark, sf_dir).withColumn("fine", (F.col("score") >= 0.45) & (F.col("filler_risk") <= 0.65) & (F.col("silence_risk") <= 0.65))
     return sequences.suppress(spans.select("video_id", "start_ms", "end_ms", "score", "fine"))
 
 
@@ -136,13 +141,13 @@ def rights_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rights_checks(spark, sf_dir).groupBy("check_id").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
 
 
-@register("publish_ledger", """WITH p AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS state, o_orderdate AS due FROM orders WHERE o_orderkey % 3 = 0),
-    m AS (SELECT CAST(l_orderkey AS VARCHAR) AS key, round(sum(l_extendedprice), 2) AS views, max(l_shipdate) AS captured FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1)
+@register("publish_ledger", """WITH p AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS state, o_orderdate AS due FROM orders),
+    m AS (SELECT CAST(l_orderkey AS VARCHAR) AS key, round(sum(l_extendedprice), 2) AS views, max(l_shipdate) AS captured FROM lineitem GROUP BY 1)
     SELECT coalesce(p.key, m.key) AS key, p.state, m.views, p.key IS NOT NULL AS in_publish, m.key IS NOT NULL AS in_metrics FROM p FULL JOIN m ON p.key = m.key""")
 def publish_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ledgers with partly shared keys, fully joined."""
-    p = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("state"))
-    m = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").groupBy(F.col("l_orderkey").cast("string").alias("key")).agg(F.round(F.sum("l_extendedprice"), 2).alias("views"), F.max("l_shipdate").alias("captured"))
+    p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("state"))
+    m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("key")).agg(F.round(F.sum("l_extendedprice"), 2).alias("views"), F.max("l_shipdate").alias("captured"))
     return governance.merge_ledgers(p, m, "key", "captured").select("key", "state", "views", "in_publish", "in_metrics")
 
 
@@ -162,12 +167,12 @@ def lenient_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", governance.parse_date(raw).cast("timestamp_ntz").alias("at"))
 
 
-@register("upsert_assets", """WITH old AS (SELECT user_id AS k, event_type AS v, event_id AS o FROM events WHERE event_id % 2 = 0), new AS (SELECT user_id AS k, event_type AS v, event_id AS o FROM events WHERE event_id % 7 = 1)
+@register("upsert_assets", """WITH old AS (SELECT user_id AS k, event_type AS v, event_id AS o FROM events WHERE event_type <> 'error'), new AS (SELECT user_id AS k, event_type AS v, event_id AS o FROM events WHERE event_type = 'error')
     SELECT k, arg_max(v, n * 100000000 + o) AS v, max(n * 100000000 + o) % 100000000 AS o FROM (SELECT *, 0 AS n FROM old UNION ALL SELECT *, 1 FROM new) GROUP BY k""")
 def upsert_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed upsert: new rows win, the last of several wins."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), F.col("event_id").alias("o"))
-    return reports.upsert(e.where("o % 2 = 0"), e.where("o % 7 = 1"), ["k"], "o")
+    return reports.upsert(e.where("v <> 'error'"), e.where("v = 'error'"), ["k"], "o")
 
 
 @register("url_dedupe", """WITH u AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(url, '^[a-zA-Z]+://', ''), '[?#].*$', '')), '/+$', '') AS key FROM pages)
@@ -205,15 +210,15 @@ def anti_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("round_robin", with_views("""WITH s AS (SELECT DISTINCT video_id, scene_id FROM words), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY scene_id) - 1 AS i FROM s),
-    p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part WHERE p_partkey < 7), n AS (SELECT count(*) AS n FROM p)
-    SELECT video_id, scene_id, p_partkey FROM r, n JOIN p ON k = i % n""", "words"))
+    p AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation), n AS (SELECT count(*) AS n FROM p)
+    SELECT video_id, scene_id, n_nationkey FROM r, n JOIN p ON k = i % n""", "words"))
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes take the clips of a small list in turn."""
     scenes = table(spark, sf_dir, "conversations").where(F.size(T.words(F.col("text"))) > 0).select(F.col("conv_id").alias("video_id"), F.col("turn").alias("scene_id"))
-    clips = table(spark, sf_dir, "part").where("p_partkey < 7").select("p_partkey").withColumn("k", F.row_number().over(Window.orderBy("p_partkey")) - 1)
+    clips = table(spark, sf_dir, "nation").select("n_nationkey").withColumn("k", F.row_number().over(Window.orderBy("n_nationkey")) - 1)
     n = max(clips.count(), 1)
     i = F.row_number().over(Window.partitionBy("video_id").orderBy("scene_id")) - 1
-    return scenes.withColumn("k", F.pmod(i, F.lit(n))).join(F.broadcast(clips), "k").select("video_id", "scene_id", "p_partkey")
+    return scenes.withColumn("k", F.pmod(i, F.lit(n))).join(F.broadcast(clips), "k").select("video_id", "scene_id", "n_nationkey")
 
 
 @register("ocr_flicker", with_views("""WITH k AS (SELECT video_id, k, string_agg(word, ' ' ORDER BY idx) AS t FROM (SELECT video_id, idx, word, unnest(range(start_ms // 500, greatest(start_ms, end_ms) // 500 + 1)) AS k FROM words) GROUP BY ALL),
@@ -226,13 +231,13 @@ def ocr_flicker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("video_id").agg(F.count_if((F.col("t1") == F.col("text")) & (F.col("a1") == F.col("at_ms") + 1000)).alias("flickers"), F.count("*").alias("frames"))
 
 
-@register("best_match_files", """WITH q AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS t FROM benchmark WHERE item_id < 10),
+@register("best_match_files", """WITH q AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS t FROM benchmark WHERE item_id % 20 = 0),
     f AS (SELECT doc_id, n_chars, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS t FROM documents)
     SELECT item_id, doc_id, shared FROM (SELECT item_id, doc_id, len(list_intersect(q.t, f.t)) AS shared, row_number() OVER (PARTITION BY item_id ORDER BY len(list_intersect(q.t, f.t)) DESC, n_chars DESC, doc_id) AS r
       FROM q, f WHERE len(list_intersect(q.t, f.t)) > 0) WHERE r = 1""")
 def best_match_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For ten stated queries the document sharing most words, then the longest."""
-    q = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("w"))
+    """For every query (ids divisible by 20) the document sharing most words, then the longest."""
+    q = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select("item_id", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("w"))
     f = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("w"))
     shared = f.join(F.broadcast(q), "w").groupBy("item_id", "doc_id", "n_chars").agg(F.count("*").alias("shared"))
     return joins.best(shared, ["item_id"], [F.col("shared").desc(), F.col("n_chars").desc(), F.col("doc_id")]).select("item_id", "doc_id", "shared")

