@@ -110,9 +110,8 @@ def _classes(documents: DataFrame, rows: DataFrame, similarity: float, size: int
     """``(rep, class_id, links)`` of every rep that several rows or linked texts share; ``rows`` have doc_id, rep and binary ``signature``."""
     shared = shared_buckets(rows, band_keys(F.col("signature"), BANDS, 2 * BAND_ROWS))
     needed = write_shared(shared.select("rep").distinct(), "needed")
-    sets = sets_of(documents, needed, hasher(size=size).shingles)
-    codes = rows.select("rep", F.col("signature").alias("code")).join(needed, "rep", "left_semi").dropDuplicates(["rep"])
-    links = write_shared(confirmed_links(shared, sets, codes, differing, "uint16", RADIUS, similarity).distinct(), "links")
+    sets = sets_of(documents, needed, hasher(size=size).shingles, hasher(size=size).minima)
+    links = write_shared(confirmed_links(shared, sets, differing, "uint16", RADIUS, similarity).distinct(), "links")
     roots = connected_components(links)
     folded = rows.groupBy("rep").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n"))
     ids = folded.join(roots, folded["rep"] == roots["node"], "left").where("_n > 1 or root is not null")

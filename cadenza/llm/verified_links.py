@@ -28,7 +28,6 @@ PIECE_SHINGLES = 1 << 20
 _BLOCK = 256
 _AHEAD = 64
 
-Shingles = Callable[[str], np.ndarray]
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -54,8 +53,8 @@ def shared_buckets(rows: DataFrame, keys: Column) -> DataFrame:
     return write_shared(dealt.join(ends, "bucket").distinct(), "buckets")
 
 
-def sets_of(documents: DataFrame, needed: DataFrame, shingles: Shingles) -> DataFrame:
-    """``(rep, shingles)`` of every ``rep`` in ``needed``, each once, from the texts of ``documents``.
+def sets_of(documents: DataFrame, needed: DataFrame, shingles: Callable[[str], np.ndarray], code: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``(rep, shingles, code)`` of every ``rep`` in ``needed``, each once, from the texts of ``documents``; ``code`` is made from the shingles.
 
     A bit map of fixed size over the needed names drops almost all other sets in the task that makes them.
     """
@@ -69,7 +68,7 @@ def sets_of(documents: DataFrame, needed: DataFrame, shingles: Shingles) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_batches(batches):
-            reps, found = [], []
+            reps, found, codes = [], [], []
             for text in texts:
                 made = shingles(text)
                 rep = rep_of(made)
@@ -77,33 +76,34 @@ def sets_of(documents: DataFrame, needed: DataFrame, shingles: Shingles) -> Data
                 if shared.value[at >> 3] >> (at & 7) & 1:
                     reps.append(rep)
                     found.append(made.view(np.int64))
+                    codes.append(code(made).tobytes())
             if reps:
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(codes, pa.binary())], names=["rep", "shingles", "code"])
 
-    made = documents.select(col("text")).mapInArrow(run, "rep bigint, shingles array<bigint>")
+    made = documents.select(col("text")).mapInArrow(run, "rep bigint, shingles array<bigint>, code binary")
     return write_shared(made.dropDuplicates(["rep"]).join(needed, "rep", "left_semi"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets have at least this Jaccard similarity."""
-    side = lambda name: sets.select(F.col("rep").alias(name), F.col("shingles").alias(f"_{name}"))
+    """The written pairs ``(a, b)`` whose sets have at least this Jaccard similarity; only sets that a pair names are shuffled."""
+    side = lambda name: sets.join(pairs.select(F.col(name).alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias(name), F.col("shingles").alias(f"_{name}"))
     both = F.size(F.array_intersect("_a", "_b"))
     near = both / F.greatest(F.size("_a") + F.size("_b") - both, F.lit(1)) >= similarity
     return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
 
 
-def confirmed_links(shared: DataFrame, sets: DataFrame, codes: DataFrame, distance: Distance, kind: str, radius: int, similarity: float) -> DataFrame:
-    """Confirmed links ``(a, b)`` that connect the members of all buckets; ``codes`` has ``rep`` and binary ``code`` of numpy type ``kind``."""
+def confirmed_links(shared: DataFrame, sets: DataFrame, distance: Distance, kind: str, radius: int, similarity: float) -> DataFrame:
+    """Confirmed links ``(a, b)`` that connect the members of all buckets; the sets' binary ``code`` is of numpy type ``kind``."""
     nearest = shared.where("rep <> leader").groupBy("rep").agg(F.min("leader").alias("a")).select("a", F.col("rep").alias("b"))
-    links = write_shared(confirmed(nearest, sets, similarity), "links")
+    links = write_shared(confirmed(write_shared(nearest, "nearest"), sets, similarity), "links")
     roots = connected_components(links)
     members = write_shared(shared.join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("group")), "members")
-    sized = codes.join(sets, "rep").select("rep", "code", "shingles", F.size("shingles").alias("_size"))
     still = members.groupBy("bucket").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("bucket")
-    rest = members.join(still, "bucket")
-    pieces = rest.join(sized.select("rep", "_size"), "rep").groupBy("bucket").agg(F.ceil(F.sum("_size") / PIECE_SHINGLES).cast("int").alias("_pieces"))
-    rest = rest.join(write_shared(pieces, "open"), "bucket").join(sized, "rep")
-    return write_shared(links.union(bucket_links(rest, distance, kind, radius, similarity)), "links")
+    rest = write_shared(members.join(still, "bucket"), "open")
+    wanted = sets.join(rest.select("rep").distinct(), "rep", "left_semi")
+    pieces = rest.join(wanted.select("rep", F.size("shingles").alias("_size")), "rep").groupBy("bucket").agg(F.ceil(F.sum("_size") / PIECE_SHINGLES).cast("int").alias("_pieces"))
+    dealt = rest.join(write_shared(pieces, "pieces"), "bucket").join(wanted, "rep")
+    return write_shared(links.union(bucket_links(dealt, distance, kind, radius, similarity)), "links")
 
 
 def bucket_links(rest: DataFrame, distance: Distance, kind: str, radius: int, similarity: float) -> DataFrame:
