@@ -95,11 +95,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def confirmed_links(shared: DataFrame, sets: DataFrame, distance: Distance, kind: str, radius: int, similarity: float) -> DataFrame:
     """Confirmed links ``(a, b)`` that connect the members of all buckets; the sets' binary ``code`` is of numpy type ``kind``."""
     nearest = shared.where("rep <> leader").groupBy("rep").agg(F.min("leader").alias("a")).select("a", F.col("rep").alias("b"))
-    links = write_shared(confirmed(write_shared(nearest, "nearest"), sets, similarity), "links")
+    nearest = write_shared(nearest, "nearest")
+    links = write_shared(confirmed(nearest, sets, similarity), "links")
     roots = connected_components(links)
-    members = write_shared(shared.join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("group")), "members")
-    still = members.groupBy("bucket").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("bucket")
-    rest = write_shared(members.join(still, "bucket"), "open")
+    grouped = shared.join(roots, F.col("rep") == F.col("node"), "left").join(nearest, F.col("rep") == F.col("b"), "left")
+    tried = (F.col("rep") == F.col("leader")) | (F.col("a") == F.col("leader"))
+    members = write_shared(grouped.select("bucket", "rep", F.coalesce("root", "rep").alias("group"), F.coalesce(tried, F.lit(False)).alias("tried")), "members")
+    facts = members.groupBy("bucket").agg(
+        F.min("group").alias("_low"), F.max("group").alias("_high"), F.count("*").alias("_n"), F.bool_and("tried").alias("_tried"),
+        F.bit_xor(F.xxhash64("rep")).alias("_set"), F.min("rep").alias("_first"))
+    # A pair that was tried is done, and of buckets with the same members one is enough.
+    still = facts.where("_low < _high and not (_n = 2 and _tried)").groupBy("_n", "_set", "_first").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rest = write_shared(members.join(still, "bucket").select("bucket", "rep", "group"), "open")
     wanted = sets.join(rest.select("rep").distinct(), "rep", "left_semi")
     pieces = rest.join(wanted.select("rep", F.size("shingles").alias("_size")), "rep").groupBy("bucket").agg(F.ceil(F.sum("_size") / PIECE_SHINGLES).cast("int").alias("_pieces"))
     dealt = rest.join(write_shared(pieces, "pieces"), "bucket").join(wanted, "rep")
