@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 
 PIECE_BYTES = 4 << 20
+#: Session setting that deletes an execution's shuffle files when it ends.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,10 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back; this cuts its lineage. The table goes when the session's JVM ends."""
+    """Write ``df`` as Parquet into the shared folder and read it back; this cuts its lineage. The table goes when the session's JVM ends.
+
+    Nothing reads the shuffles behind the table again, so their files go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cadenza/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
