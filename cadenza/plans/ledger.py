@@ -81,8 +81,8 @@ def evicted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("metric_snapshot", """WITH c AS (SELECT o_custkey AS id, avg(CAST(o_totalprice AS DOUBLE)) / 250000 AS overall FROM orders GROUP BY o_custkey), p AS (SELECT user_id AS id, max(value) / 40 AS score FROM events GROUP BY user_id)
-    SELECT c_custkey AS run_id, CAST(floor(greatest(0, least(100, CAST(c_acctbal AS DOUBLE) / 60)) + 0.5) AS BIGINT) AS sync_rating, CAST(floor(greatest(0, least(100, c.overall * 100)) + 0.5) AS BIGINT) AS caption_overall,
-      CAST(floor(greatest(0, least(100, p.score * 100)) + 0.5) AS BIGINT) AS proxy_score
+    SELECT c_custkey AS run_id, CASE WHEN c_acctbal IS NOT NULL THEN CAST(floor(greatest(0, least(100, CAST(c_acctbal AS DOUBLE) / 60)) + 0.5) AS BIGINT) END AS sync_rating, CASE WHEN c.overall IS NOT NULL THEN CAST(floor(greatest(0, least(100, c.overall * 100)) + 0.5) AS BIGINT) END AS caption_overall,
+      CASE WHEN p.score IS NOT NULL THEN CAST(floor(greatest(0, least(100, p.score * 100)) + 0.5) AS BIGINT) END AS proxy_score
     FROM (SELECT * FROM customer) LEFT JOIN c ON c.id = c_custkey LEFT JOIN p ON p.id = c_custkey""")
 def metric_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as runs: balance as rating, mean order price as caption mark, greatest event value as score."""
