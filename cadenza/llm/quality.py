@@ -146,20 +146,24 @@ def site_rates(evidence: DataFrame, host: str = "source", path: str = "lang") ->
     return joined.select("host", "path", F.col("n").cast("long").alias("n"), host_rate.alias("host_rate"), path_rate.alias("path_rate"))
 
 
-def score_evidence(marked: DataFrame, prior: float, labels: DataFrame | None = None, host: str = "source", path: str = "lang") -> DataFrame:
-    """Written rows with ``evidence`` and their host_rate, path_rate and quality (posterior).
+def score_evidence(
+    marked: DataFrame, prior: float, labels: DataFrame | None = None, host: str = "source", path: str = "lang", summed: DataFrame | None = None
+) -> DataFrame:
+    """Rows with ``evidence`` and their host_rate, path_rate and quality (posterior).
 
-    Both rates leave the row's own evidence out. ``labels`` (doc_id, quality; of several the lowest) add an observation each to their
+    Sites are summed over ``summed``, written rows with doc_id, host, path and evidence of the same documents (``marked`` itself if
+    left out, which must then be written). Both rates leave the row's own evidence out. ``labels`` (doc_id, quality; of several the lowest) add an observation each to their
     document's site; they meet ids and sites only, so no text is shuffled. The site table is broadcast only up to ``BROADCAST_SITES``
     sites; beyond that the join is left to Spark, which may split a hot site's rows.
     """
     marked = marked.select(*[col(c) for c in marked.columns if c not in ("host_rate", "path_rate", "quality")])
     rows = marked.withColumn("_outcome", 1 / (1 + F.exp(-F.col("evidence"))))
-    seen = rows.select(col(host).alias("host"), col(path).alias("path"), "_outcome")
+    summed = marked if summed is None else summed
+    seen = summed.select(col(host).alias("host"), col(path).alias("path"), (1 / (1 + F.exp(-F.col("evidence")))).alias("_outcome"))
     if labels is not None:
         known = labels.where(col("doc_id").isNotNull() & col("quality").isNotNull()).groupBy(col("doc_id").alias("_labelled")).agg(
             F.min((col("quality") > 0).cast("double")).alias("_outcome"))
-        at = marked.select(col("doc_id").alias("_labelled"), col(host).alias("host"), col(path).alias("path"))
+        at = summed.select(col("doc_id").alias("_labelled"), col(host).alias("host"), col(path).alias("path"))
         seen = seen.union(at.join(known, "_labelled").select("host", "path", "_outcome"))
     joined, world = _levels(_site_sums(seen, "host", "path"))
     sites = write_shared(joined, "sites")
@@ -177,9 +181,11 @@ def score_evidence(marked: DataFrame, prior: float, labels: DataFrame | None = N
 def score(documents: DataFrame, model: QualityModel, labels: DataFrame | None = None, host: str = "source", path: str = "lang") -> DataFrame:
     """``documents`` with evidence, host_rate, path_rate and quality; columns of these names are replaced.
 
-    The texts are read once: rows and evidence are written to the shared folder before sites are summed.
+    Only ids, sites and evidence are written before sites are summed: the evidence of a text is made again where its row is judged, so
+    that no copy of the texts is kept and none is shuffled.
     """
-    return score_evidence(write_shared(with_evidence(documents, model), "evidence"), model.prior, labels, host, path)
+    slim = with_evidence(documents.select(*[col(c) for c in dict.fromkeys(("doc_id", "text", host, path))]), model).drop("text")
+    return score_evidence(with_evidence(documents, model), model.prior, labels, host, path, write_shared(slim, "evidence"))
 
 
 def quality_table(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labels: int = MAX_LABELS) -> DataFrame:
