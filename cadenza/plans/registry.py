@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from cadenza.plans import analytics, baseline, details, editing, evaluation, extra, ledger, models, structure, timing  # noqa: F401
+    from cadenza.plans import analytics, baseline, details, editing, evaluation, extra, ledger, models, selection, structure, timing  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
