@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cadenza.llm import minhash, mixing, pseudo_likelihood, quality, sentencepiece_codec, sharding, simhash, sql, tiff, toxicity, url_filter
+from cadenza.llm import fill_in_middle, minhash, mixing, pseudo_likelihood, quality, sentencepiece_codec, sharding, simhash, sql, tiff, token_alignment, toxicity, url_filter, word_bpe
 
 #: Tokenizer model of op7; a path that Spark or Python can open.
 PIECE_MODEL = corpus_pipeline.PIECE_MODEL
+#: Tokenizer files of op11 and op12, beside it.
+BYTE_BPE, WORD_BPE = (PIECE_MODEL.rpartition("/")[0] + name for name in ("/byte_bpe_50k.json", "/word_bpe_49k.json"))
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +62,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.page_outcomes(pages, _read(spark, sf_dir, "labels")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digest(_read(spark, sf_dir, "documents"), BYTE_BPE, PIECE_MODEL)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.token_digest(_read(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform_digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -72,9 +86,12 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_mixing": op9_mixing,
         "op10_url_filter": op10_url_filter,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_bpe": op12_bpe,
+        "op13_fill_in_middle": op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sql.OP2_SHARDING, "op10_url_filter": sql.OP10_URL_FILTER}
+    return {"op2_sharding": sql.OP2_SHARDING, "op10_url_filter": sql.OP10_URL_FILTER, "op13_fill_in_middle": sql.OP13_FILL_IN_MIDDLE}

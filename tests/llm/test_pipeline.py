@@ -25,4 +25,4 @@ def test_stages(spark, sf_dir, documents, labels):
 def test_registered():
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert len(names) == 11 and "pipeline" in names
+    assert len(names) == 14 and "pipeline" in names
