@@ -11,21 +11,21 @@ from cadenza.functions.text import first_text
 # Provider names of visual sources, and the words that mark an asset as audio.
 PROVIDERS = {
     "stock-pexels": "pexels", "stock-pixabay": "pixabay", "stock-unsplash": "unsplash", "generated-nanobanana": "nanobanana", "generated-dalle": "dalle",
-    "fallback-color": "content-machine", "mock": "content-machine", "user-footage": "user-supplied",
+    "user-footage": "user-supplied",
 }
 AUDIO_WORDS = r"\b(audio|music|sfx|sound|ambience|voice|voiceover)\b"
 
 
-def visual_provider(source: Column) -> Column:
-    """Provider of a visual source; unknown sources name themselves."""
-    known = F.create_map(*[F.lit(x) for pair in PROVIDERS.items() for x in pair])
+def visual_provider(source: Column, own: str) -> Column:
+    """Provider of a visual source: ``own`` makes colours and mocks, and unknown sources name themselves."""
+    known = F.create_map(*[F.lit(x) for pair in (PROVIDERS | {"fallback-color": own, "mock": own}).items() for x in pair])
     return F.coalesce(known[source], source)
 
 
-def visual_entries(scenes: DataFrame) -> DataFrame:
+def visual_entries(scenes: DataFrame, own: str, workflow: str) -> DataFrame:
     """One ledger entry for each scene ``(scene_id, source, asset_type, path, prompt, cue, topic)``; null types are videos.
 
-    One projection: a path is remote, made up (a colour or ``mock://``) or local; generated assets carry prompt, workflow and licence.
+    ``own`` is the provider's name of what is made here, ``workflow`` the step that generates assets. One projection: a path is remote, made up (a colour or ``mock://``) or local; generated assets carry prompt, workflow and licence.
     """
     source, path = F.col("source"), F.col("path")
     remote = F.coalesce(path.rlike("(?i)^https?://"), F.lit(False))
@@ -35,8 +35,8 @@ def visual_entries(scenes: DataFrame) -> DataFrame:
     review = F.when(ours, "generated-local").otherwise("needs-review")
     return scenes.select(
         F.concat(F.lit("visual:"), F.col("scene_id").cast("string")).alias("asset_id"), F.coalesce("asset_type", F.lit("video")).alias("asset_type"),
-        F.when(~remote & ~made_up, path).alias("local_path"), F.when(remote, path).alias("source_url"), visual_provider(source).alias("provider"),
-        F.when(generated, F.coalesce("prompt", "cue", "topic")).alias("prompt"), F.when(generated, "content-machine/timestamps-to-visuals").alias("workflow"),
+        F.when(~remote & ~made_up, path).alias("local_path"), F.when(remote, path).alias("source_url"), visual_provider(source, own).alias("provider"),
+        F.when(generated, F.coalesce("prompt", "cue", "topic")).alias("prompt"), F.when(generated, workflow).alias("workflow"),
         F.when(ours, "generated-asset").when(source.startswith("stock-"), "downloaded-asset").when(source == "user-footage", "user-supplied").otherwise("needs-classification").alias("usage_mode"),
         review.alias("review_status"), F.when(generated, "repo-generated").alias("licence_name"),
     )
@@ -51,6 +51,7 @@ def ledger_warnings(assets: DataFrame) -> DataFrame:
     lacks = lambda name: first_text(F.col(name)).isNull()
     audio = F.lower(F.concat_ws(" ", "asset_type", "kind", "path")).rlike(AUDIO_WORDS)
     unproven = F.coalesce(F.col("usage_mode") == "downloaded-asset", F.lit(False)) & lacks("licence")
+    # The texts of the five warnings.
     found = F.array_compact(F.array(
         F.when(lacks("asset_id"), " is missing assetId."), F.when(lacks("usage_mode"), " is missing usageMode."), F.when(lacks("review_status"), " is missing reviewStatus."),
         F.when(audio & lacks("risk"), " is audio-like but missing contentIdRisk."),

@@ -16,9 +16,9 @@ _SCENES_SQL = f"""SELECT page_id AS scene_id, {_SOURCES}[page_id % 8 + 1] AS sou
 _ENTRIES_SQL = f"""SELECT 'visual:' || scene_id AS asset_id, coalesce(asset_type, 'video') AS asset_type,
       CASE WHEN NOT coalesce(regexp_matches(path, '^https?://', 'i'), false) AND NOT coalesce(starts_with(path, '#') OR starts_with(path, 'mock://'), false) THEN path END AS local_path,
       CASE WHEN regexp_matches(path, '^https?://', 'i') THEN path END AS source_url,
-      CASE source WHEN 'stock-pexels' THEN 'pexels' WHEN 'stock-pixabay' THEN 'pixabay' WHEN 'stock-unsplash' THEN 'unsplash' WHEN 'generated-dalle' THEN 'dalle' WHEN 'fallback-color' THEN 'content-machine'
-        WHEN 'mock' THEN 'content-machine' WHEN 'user-footage' THEN 'user-supplied' ELSE source END AS provider,
-      CASE WHEN gen THEN coalesce(prompt, cue, topic) END AS prompt, CASE WHEN gen THEN 'content-machine/timestamps-to-visuals' END AS workflow,
+      CASE source WHEN 'stock-pexels' THEN 'pexels' WHEN 'stock-pixabay' THEN 'pixabay' WHEN 'stock-unsplash' THEN 'unsplash' WHEN 'generated-dalle' THEN 'dalle' WHEN 'fallback-color' THEN 'studio'
+        WHEN 'mock' THEN 'studio' WHEN 'user-footage' THEN 'user-supplied' ELSE source END AS provider,
+      CASE WHEN gen THEN coalesce(prompt, cue, topic) END AS prompt, CASE WHEN gen THEN 'studio/visuals' END AS workflow,
       CASE WHEN gen OR source = 'mock' THEN 'generated-asset' WHEN starts_with(source, 'stock-') THEN 'downloaded-asset' WHEN source = 'user-footage' THEN 'user-supplied' ELSE 'needs-classification' END AS usage_mode,
       CASE WHEN gen OR source = 'mock' THEN 'generated-local' ELSE 'needs-review' END AS review_status, CASE WHEN gen THEN 'repo-generated' END AS licence_name
     FROM (SELECT *, starts_with(source, 'generated-') OR source = 'fallback-color' AS gen FROM ({_SCENES_SQL}))"""
@@ -35,7 +35,7 @@ def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("visual_entries", _ENTRIES_SQL)
 def visual_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.visual_entries(_scenes(spark, sf_dir))
+    return ledger.visual_entries(_scenes(spark, sf_dir), "studio", "studio/visuals")
 
 
 @register("ledger_warnings", """WITH a AS (SELECT p_partkey AS row_id, CASE WHEN p_partkey % 6 <> 0 THEN 'asset:' || p_partkey END AS asset_id, CASE WHEN p_partkey % 4 = 0 THEN 'Audio' ELSE 'video' END AS asset_type,

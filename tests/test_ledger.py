@@ -13,7 +13,7 @@ def test_visual_entries(spark):
         (1, "generated-dalle", None, "HTTPS://x/y.png", None, "cue", "topic"), (2, "stock-pexels", "image", "clips/a.mp4", "p", None, "topic"),
         (3, "mock", "video", "mock://a", "p", None, "topic"), (4, None, None, None, None, None, None),
     ]
-    got = {r["asset_id"]: r for r in ledger.visual_entries(spark.createDataFrame(rows, SCENE)).collect()}
+    got = {r["asset_id"]: r for r in ledger.visual_entries(spark.createDataFrame(rows, SCENE), "own", "own/visuals").collect()}
     one = got["visual:1"]
     assert (one["asset_type"], one["source_url"], one["local_path"], one["prompt"], one["usage_mode"], one["licence_name"]) == (
         "video", "HTTPS://x/y.png", None, "cue", "generated-asset", "repo-generated")
