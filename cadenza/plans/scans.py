@@ -12,6 +12,7 @@ from cadenza.plans.registry import register
 from cadenza.plans.views import with_views
 from cadenza.sources import tail
 from cadenza.sources.shared import new_path
+from cadenza.streaming import caches
 
 #: DuckDB's edit distance counts bytes, so both engines see characters beyond ASCII as question marks here.
 _SHOWN = """f AS (SELECT video_id, k * 500 AS at_ms, regexp_replace(string_agg(word, ' ' ORDER BY idx), '[^\\x00-\\x7F]', '?', 'g') AS text, (k * 13) % 100 / 100 AS confidence FROM
@@ -60,3 +61,13 @@ def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     views.attempts(spark, sf_dir).select(F.when(F.col("event_id") % 50 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(path)
     rows, _ = tail.read_since(spark, path, "event_id bigint, run_id bigint, provider string, k bigint")
     return rows.groupBy("run_id", "provider").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+
+
+@register("cache_hits", with_views("""WITH l AS (SELECT provider AS key, epoch_ms(ts) AS ms, count(*) AS n FROM attempts GROUP BY ALL),
+    g AS (SELECT key, list_reduce(list_prepend({'last': -10000000::BIGINT, 'hits': 0::BIGINT, 'n': 0::BIGINT}, list({'last': ms, 'hits': 0::BIGINT, 'n': n} ORDER BY ms)),
+          lambda a, x: CASE WHEN x.last - a.last <= 3600000 THEN {'last': a.last, 'hits': a.hits + x.n, 'n': a.n + x.n} ELSE {'last': x.last, 'hits': a.hits + x.n - 1, 'n': a.n + x.n} END) AS r FROM l GROUP BY key)
+    SELECT key, r.n AS lookups, r.hits AS hits FROM g""", "attempts"))
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lookups of each provider an hour's cache would have answered."""
+    lookups = views.attempts(spark, sf_dir).select(F.col("provider").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return caches.cache_hits(lookups).groupBy("key").agg(F.sum("lookups").alias("lookups"), F.sum("hits").alias("hits"))
