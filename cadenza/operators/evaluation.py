@@ -226,9 +226,14 @@ def dominant_motion(motions: DataFrame) -> DataFrame:
     return top.select("video_id", "kinds", name.alias("motion"))
 
 
-def mean_of_best(pairs: DataFrame) -> DataFrame:
-    """Best cosine of each item over its pairs (video_id, item, v, u), then mean, least and tenth percentile for each video."""
-    best = pairs.groupBy("video_id", "item").agg(F.round(F.max(cosine(F.col("v"), F.col("u"))), 6).alias("best"))
+def best_of_items(pairs: DataFrame) -> DataFrame:
+    """Best cosine of each item over its pairs (video_id, item, v, u)."""
+    return pairs.groupBy("video_id", "item").agg(F.round(F.max(cosine(F.col("v"), F.col("u"))), 6).alias("best"))
+
+
+def mean_of_best(best: DataFrame) -> DataFrame:
+    """Mean, least and tenth percentile of the items' bests for each video; of an item in several parts the greatest counts."""
+    best = best.groupBy("video_id", "item").agg(F.max("best").alias("best"))
     return best.groupBy("video_id").agg(F.count("*").alias("n"), F.round(F.avg("best"), 6).alias("mean"), F.min("best").alias("least"), F.round(F.percentile("best", 0.1), 6).alias("p10"))
 
 

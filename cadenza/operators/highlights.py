@@ -88,7 +88,11 @@ def snap(spans: DataFrame, words: DataFrame, lead: int = 900, tail: int = 1100,
     opening = rows.where(F.col("opens") | (F.col("gap_before") >= gap)).select(F.col("video_id").alias("_v"), F.col("start_ms").alias("_s"))
     closing = rows.where(F.col("ends") | (F.col("gap_after") >= gap)).select(F.col("video_id").alias("_v"), F.col("end_ms").alias("_e"))
     keys = ["video_id", "first", "start_ms", "end_ms"]
-    base = spans.select(*keys)
-    a = base.join(opening, (F.col("video_id") == F.col("_v")) & F.col("_s").between(F.col("start_ms") - lead, F.col("start_ms")), "left").groupBy(*keys).agg(F.max("_s").alias("_s"))
-    b = a.join(closing, (F.col("video_id") == F.col("_v")) & F.col("_e").between(F.col("end_ms"), F.col("end_ms") + tail), "left").groupBy(*keys, "_s").agg(F.min("_e").alias("_e"))
-    return b.select(*keys, F.coalesce("_s", "start_ms").alias("snapped_start"), F.coalesce("_e", "end_ms").alias("snapped_end"))
+    base = spans.select(*keys).distinct()
+    # One ordered stream of spans and boundaries each way, so no span meets all boundaries of its video.
+    at = opening.select(F.col("_v").alias("video_id"), F.col("_s").alias("_t"), "_s").distinct()
+    a = joins.asof(base.withColumn("_t", F.col("start_ms")), at, ["video_id"], "_t", "_s", "_s").drop("_t")
+    upto = closing.select(F.col("_v").alias("video_id"), (-F.col("_e")).alias("_t"), "_e").distinct()
+    b = joins.asof(a.withColumn("_t", -F.col("end_ms")), upto, ["video_id"], "_t", "_e", "_e").drop("_t")
+    start, end = F.when(F.col("_s") >= F.col("start_ms") - lead, F.col("_s")), F.when(F.col("_e") <= F.col("end_ms") + tail, F.col("_e"))
+    return b.select(*keys, F.coalesce(start, "start_ms").alias("snapped_start"), F.coalesce(end, "end_ms").alias("snapped_end"))

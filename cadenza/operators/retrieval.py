@@ -17,8 +17,14 @@ from cadenza.functions.scores import dot, euclidean
 
 #: Rows above which the query side is no longer broadcast.
 BROADCAST_ROWS = 10_000
-#: Videos of one block of the pairwise comparison.
-BLOCK_VIDEOS = 256
+#: Frames of one block of the pairwise comparison.
+BLOCK_FRAMES = 2048
+
+
+def broadcast_blocks(rows: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """``rows`` in parts of about ``BROADCAST_ROWS`` at most, by a hash of ``keys``; one empty part if there are none."""
+    blocks = max(1, -(-rows.count() // BROADCAST_ROWS))
+    return [rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b) for b in range(blocks)]
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, score=dot, id_col: str = "id", vec: str = "embedding") -> DataFrame:
@@ -27,13 +33,10 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, score=dot, id_col: str =
     A stated query set meets all index rows. Queries are dealt in blocks of ``BROADCAST_ROWS`` at most, so that what
     is broadcast at a time is bounded; each block's candidates are cut to ``k`` within each task before the shuffle.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // BROADCAST_ROWS))
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("_q"))
     out = None
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    for part in broadcast_blocks(q, ["query_id"]):
         pairs = index.select(F.col(id_col).alias("id"), F.col(vec).alias("_v")).join(F.broadcast(part), F.lit(True))
         found = pairs.select("query_id", "id", F.round(score(F.col("_q"), F.col("_v")), 6).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = found if out is None else out.unionByName(found)
@@ -51,14 +54,15 @@ def hash_embedding(docs: DataFrame, text: str, key: str, size: int) -> DataFrame
 def video_similarity(frames: DataFrame) -> DataFrame:
     """(a, b, similarity): greatest cosine between frames of two videos, a < b. All pairs of videos are the result itself.
 
-    Frames are dealt in blocks of whole videos, each pair of blocks meets in one task, which multiplies unit vectors and
-    keeps one number for each pair of videos; every frame is sent once for each block, and a task holds two blocks.
+    Frames are dealt in blocks of about ``BLOCK_FRAMES``, whatever their video; each pair of blocks meets in one task, which multiplies unit
+    vectors and keeps one number for each pair of videos, and the greatest of these is taken over the pairs of blocks. A task holds two blocks, however long a video is.
     """
-    videos = frames.select("video_id").distinct().count()
-    blocks = max(1, math.ceil(videos / BLOCK_VIDEOS))
-    own = F.pmod(F.xxhash64("video_id"), F.lit(blocks)).cast("int")
-    dealt = frames.select("video_id", F.col("embedding").cast("array<double>").alias("v"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    placed = dealt.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("pair"), (F.col("own") != F.col("other")).alias("mixed"), "own", "video_id", "v")
+    blocks = max(1, math.ceil(frames.count() / BLOCK_FRAMES))
+    vector = F.col("embedding").cast("array<double>")
+    # By content, so that the frames of one video spread over all blocks.
+    own = F.pmod(F.xxhash64("video_id", vector), F.lit(blocks)).cast("int")
+    dealt = frames.select("video_id", vector.alias("v"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = dealt.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("pair"), (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("mixed"), "video_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -74,27 +78,30 @@ def video_similarity(frames: DataFrame) -> DataFrame:
             yield from _greatest(pa.Table.from_batches(held))
 
     kind = f"a {frames.schema['video_id'].dataType.simpleString()}, b {frames.schema['video_id'].dataType.simpleString()}, similarity double"
-    # Ids differ in the pair of blocks only, so each pair of videos comes from one task.
-    return placed.repartition("pair").sortWithinPartitions("pair", "video_id").mapInArrow(run, kind).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    met = placed.repartition("pair").sortWithinPartitions("pair", "second", "video_id").mapInArrow(run, kind)
+    return met.groupBy("a", "b").agg(F.round(F.max("similarity"), 6).alias("similarity"))
 
 
 def _greatest(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Greatest cosine of each pair of videos of one pair of blocks; rows are sorted by video."""
+    """Greatest cosine of each two videos between the two blocks of a pair, or within the one block; rows are sorted by block and video."""
     lists = table.column("v").combine_chunks()
     v = lists.flatten().to_numpy().reshape(len(lists), -1)
     size = np.linalg.norm(v, axis=1, keepdims=True)
     v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-    ids = table.column("video_id").combine_chunks()
-    names, first = np.unique(ids.to_numpy(zero_copy_only=False), return_index=True)
-    ends = np.append(first[1:], len(v))
-    own = table.column("own").to_numpy()[first]
-    mixed = bool(table.column("mixed")[0].as_py())
-    for i, (low, high) in enumerate(zip(first, ends)):
-        later = np.arange(i + 1, len(names))
-        later = later[own[later] != own[i]] if mixed else later
-        if len(later):
-            best = np.maximum.reduceat((v[low:high] @ v.T).max(axis=0), first)[later]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[i : i + 1], len(later))), pa.array(names[later]), pa.array(best)], names=["a", "b", "similarity"])
+    ids = table.column("video_id").combine_chunks().to_numpy(zero_copy_only=False)
+    cut = int(np.count_nonzero(~table.column("second").to_numpy())) if table.column("mixed")[0].as_py() else 0
+    left, right = (slice(0, cut), slice(cut, len(v))) if cut else (slice(0, len(v)),) * 2
+    names, first = np.unique(ids[right], return_index=True)
+    own, start = np.unique(ids[left], return_index=True)
+    if not len(names) or not len(own):
+        return
+    for name, low, high in zip(own, start, np.append(start[1:], left.stop - left.start)):
+        best = np.maximum.reduceat((v[left][low:high] @ v[right].T).max(axis=0), first)
+        # Within a block every two videos meet twice; between blocks either may have the smaller id.
+        others = np.flatnonzero(names != name) if cut else np.flatnonzero(names > name)
+        if len(others):
+            mine, theirs = np.full(len(others), name), names[others]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, theirs)), pa.array(np.maximum(mine, theirs)), pa.array(best[others])], names=["a", "b", "similarity"])
 
 
 def diversity(similarity: DataFrame, duplicate: float = 0.95) -> DataFrame:
@@ -104,9 +111,52 @@ def diversity(similarity: DataFrame, duplicate: float = 0.95) -> DataFrame:
 
 
 def novelty(rows: DataFrame, labelled: DataFrame, id_col: str = "id", vec: str = "embedding") -> DataFrame:
-    """Smallest euclidean distance of each row to a small labelled set, which must fit a broadcast (checked)."""
-    if labelled.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} labelled rows")
-    known = labelled.select(F.col(vec).alias("_k"))
-    joined = rows.select(F.col(id_col).alias("id"), F.col(vec).alias("_v")).join(F.broadcast(known), F.lit(True))
-    return joined.groupBy("id").agg(F.round(F.min(euclidean(F.col("_v"), F.col("_k"))), 6).alias("distance"))
+    """Smallest euclidean distance of each row to a labelled set: id, distance. Without a labelled row there is no result.
+
+    The set meets the rows in blocks of ``BROADCAST_ROWS`` at most, and each task keeps one number for each of its rows and blocks.
+    """
+    base = rows.select(F.col(id_col).alias("id"), F.col(vec).alias("_v"))
+    out = None
+    for part in broadcast_blocks(labelled.select(F.col(vec).alias("_k")), ["_k"]):
+        least = base.join(F.broadcast(part), F.lit(True)).groupBy("id").agg(F.min(euclidean(F.col("_v"), F.col("_k"))).alias("d"))
+        out = least if out is None else out.unionByName(least)
+    return out.groupBy("id").agg(F.round(F.min("d"), 6).alias("distance"))
+
+
+def active_order(novel: DataFrame, uncertain: DataFrame) -> DataFrame:
+    """Rows for annotation, the most wanted first: id, quality_uncertainty, diversity, priority, place.
+
+    ``novel``: id, distance (to the labelled set); ``uncertain``: id, uncertainty from 0 to 1. Priority is 0.7 uncertainty and 0.3 diversity, the distance over the greatest
+    one (0 if all are 0). Rows without an uncertainty count as certain. Places come from bands of the priority, so no task sorts all rows.
+    """
+    top = novel.agg(F.max("distance").alias("_top"))
+    rows = novel.join(uncertain.groupBy("id").agg(F.max("uncertainty").alias("u")), "id", "left").join(F.broadcast(top), F.lit(True))
+    spread = F.when(F.col("_top") > 0, F.col("distance") / F.col("_top")).otherwise(0.0)
+    rows = rows.select("id", F.coalesce("u", F.lit(0.0)).alias("quality_uncertainty"), spread.alias("diversity"))
+    rows = rows.withColumn("priority", F.round(0.7 * F.col("quality_uncertainty") + 0.3 * F.col("diversity"), 6))
+    rows = rows.withColumn("_band", F.floor(F.col("priority") * 256))
+    # At most 257 bands.
+    sizes = rows.groupBy("_band").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_band").orderBy(F.desc("priority"), "id"))
+    return rows.withColumn("_r", inside).join(F.broadcast(sizes), "_band").select("id", "quality_uncertainty", "diversity", "priority", (F.col("_before") + F.col("_r")).alias("place"))
+
+
+def similar_sets(rows: DataFrame, key: str, items: str, least: float) -> DataFrame:
+    """(a, b, jaccard): all pairs of rows, a < b, whose sets reach a Jaccard similarity of ``least``; ``items`` is an array without repeats.
+
+    Items are ordered by how many sets hold them, the rarest first. Two sets of sizes n and m that reach the similarity share an item among the first n - ceil(least n) + 1 of the
+    one and as many of the other, so only these meet, and an item that almost all sets hold stands behind. Candidates whose sizes are too
+    unlike are left out, and the sets decide. Empty sets are similar to nothing.
+    """
+    held = rows.select(F.col(key).alias("_key"), F.size(items).alias("_n"), F.explode(items).alias("_item"))
+    common = held.groupBy("_item").agg(F.count("*").alias("_df"))
+    rare = held.join(common, "_item").withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy("_df", "_item")))
+    # The tolerance keeps a product like 0.1 * 30 from being rounded up.
+    first = rare.where(F.col("_place") <= F.col("_n") - F.ceil(least * F.col("_n") - 1e-9) + 1).select("_key", "_n", "_item")
+    a, b = (first.select(F.col("_key").alias(k), F.col("_n").alias(f"n_{k}"), "_item") for k in "ab")
+    sizes = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9
+    pairs = a.join(b, "_item").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+    x, y = (rows.select(F.col(key).alias(k), F.col(items).alias(f"_{k}")) for k in "ab")
+    both = F.size(F.array_intersect("_a", "_b"))
+    jaccard = both / (F.size("_a") + F.size("_b") - both)
+    return pairs.join(x, "a").join(y, "b").where(jaccard >= least).select("a", "b", F.round(jaccard, 6).alias("jaccard"))

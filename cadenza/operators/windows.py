@@ -67,6 +67,22 @@ def average_rank(value: str, keys: list[str], ties: list[str] | None = None) ->
     return F.rank().over(by_value) + (F.count("*").over(same) - 1) / 2
 
 
+def rank_table(rows: DataFrame, keys: list[str], value: str, out: str, bands: int = 64) -> DataFrame:
+    """Each group's distinct values with their average rank ``out``, as ``average_rank`` gives it, without a window over a whole group.
+
+    Values are counted first; approximate quantiles cut a group into bands, whose sizes are summed up apart. Where the cuts lie does not change a rank. Null values have none.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    cuts = known.groupBy(*keys).agg(F.percentile_approx(value, [i / bands for i in range(1, bands)], 10_000).alias("_cuts"))
+    counts = known.groupBy(*keys, value).agg(F.count("*").alias("_n")).join(cuts, keys).withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sizes = counts.groupBy(*keys, "_band").agg(F.sum("_n").alias("_all"))
+    earlier = F.coalesce(F.sum("_all").over(Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("_before", earlier).drop("_all")
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_band").orderBy(value))
+    rank = F.col("_before") + F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
+    return counts.withColumn("_upto", upto).join(offsets, [*keys, "_band"]).select(*keys, value, rank.alias(out))
+
+
 def reversals(value: str, keys: list[str], order: list[str], tolerance: float) -> Column:
     """1 where a value falls below the one before by more than ``tolerance``."""
     return F.when(F.lag(value).over(ordered(keys, order)) - F.col(value) > tolerance, 1).otherwise(0)

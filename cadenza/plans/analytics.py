@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from cadenza.functions import scores as S
 from cadenza.functions import text as T
-from cadenza.operators import joins, reports, retrieval, telemetry, windows
+from cadenza.operators import joins, reports, retrieval, scans, telemetry, windows
 from cadenza.plans import views
 from cadenza.plans.registry import register
 from cadenza.plans.views import with_views
@@ -173,6 +173,17 @@ def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.novelty(rows, rows.where("id % 20 = 0"))
 
 
+@register("active_order", """WITH d AS (SELECT a.vec_id AS id, round(min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS distance FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id % 20 = 0) b GROUP BY a.vec_id),
+    p AS (SELECT id, (id * 37 % 101) / 100 AS quality_uncertainty, CASE WHEN max(distance) OVER () > 0 THEN distance / max(distance) OVER () ELSE 0 END AS diversity FROM d),
+    r AS (SELECT *, round(0.7 * quality_uncertainty + 0.3 * diversity, 6) AS priority FROM p)
+    SELECT id, round(priority, 6) AS priority, row_number() OVER (ORDER BY priority DESC, id) AS place FROM r""")
+def active_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in the order in which labels are wanted: uncertain ones and those far from the labelled set first."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    uncertain = rows.select("id", ((F.col("id") * 37 % 101) / 100).alias("uncertainty"))
+    return retrieval.active_order(retrieval.novelty(rows, rows.where("id % 20 = 0")), uncertain).select("id", "priority", "place")
+
+
 @register("hash_embedding")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed bag of words of the benchmark items; SQL has no FNV hash, so tests hold it against a plain version."""
@@ -216,8 +227,8 @@ def cut_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT video_id, count(*) AS kept, CAST(sum(t) AS BIGINT) AS total_ms FROM k GROUP BY video_id""", "cuts").replace("WITH cuts", "WITH RECURSIVE cuts", 1).replace(", RECURSIVE k", ", k", 1))
 def thinned_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts kept by greedy thinning with a least gap of two seconds."""
-    rows = views.cuts(spark, sf_dir).groupBy("video_id").agg(windows.thin(F.collect_list(F.col("cut_ms").cast("double")), 2000.0).alias("kept"))
-    return rows.select("video_id", F.size("kept").cast("long").alias("kept"), F.aggregate("kept", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total_ms"))
+    kept = scans.thin_by_gap(views.cuts(spark, sf_dir), ["video_id"], "cut_ms", 2000, 600_000)
+    return kept.groupBy("video_id").agg(F.count("*").alias("kept"), F.sum("cut_ms").alias("total_ms"))
 
 
 @register("script_scores", with_views("""WITH c AS (SELECT doc_id, len(scenes) AS n_scenes, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS n_words,
@@ -253,7 +264,10 @@ def top_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spearman correlation of value and k for each type, ties at their mean rank."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    r = e.select("event_type", windows.average_rank("value", ["event_type"]).alias("rv"), windows.average_rank("k", ["event_type"]).alias("rk"))
+    # Equal pairs fold before they meet the ranks.
+    pairs = e.groupBy("event_type", "value", "k").agg(F.count("*").alias("n"))
+    ranks = [windows.rank_table(e, ["event_type"], c, r) for c, r in (("value", "rv"), ("k", "rk"))]
+    r = pairs.join(ranks[0], ["event_type", "value"]).join(ranks[1], ["event_type", "k"]).withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
     return r.groupBy("event_type").agg(F.round(F.corr("rv", "rk"), 6).alias("spearman"))
 
 
@@ -271,10 +285,6 @@ def stress_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard
     FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.1""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jaccard similarity, at least 0.1, of benchmark items that share a word; common words are counted, not paired in tasks."""
+    """Jaccard similarity, at least 0.1, of benchmark items."""
     w = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.words(F.lower(F.col("text")))).alias("t"))
-    e = w.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    pairs = e.alias("a").join(e.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.item_id") < F.col("b.item_id")))
-    shared = pairs.groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("k"))
-    j = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return shared.where(j >= 0.1).select("a", "b", F.round(j, 6).alias("jaccard"))
+    return retrieval.similar_sets(w, "item_id", "t", 0.1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from cadenza.functions import captions as C
 from cadenza.functions import scores as S
 from cadenza.functions import text as T
 from cadenza.operators import evaluation as E
+from cadenza.operators import retrieval
 from cadenza.plans import views
 from cadenza.plans.registry import register
 from cadenza.plans.views import with_views
@@ -201,7 +204,9 @@ def frame_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = views.frames(spark, sf_dir)
     d = frames.where("frame % 20 = 0").select("video_id", F.col("frame").alias("item"), F.col("embedding").alias("v"))
     others = frames.select("video_id", "frame", F.col("embedding").alias("u"))
-    return E.mean_of_best(d.join(others, "video_id").where("frame <> item"))
+    # Descriptions come in blocks of bounded size; frames stay where they are, and a task keeps one number for each description.
+    best = [E.best_of_items(others.join(F.broadcast(part), "video_id").where("frame <> item")) for part in retrieval.broadcast_blocks(d, ["item"])]
+    return E.mean_of_best(functools.reduce(DataFrame.unionByName, best))
 
 
 @register("keyword_fill", with_views("""WITH s AS (SELECT doc_id AS id, generate_subscripts(scenes, 1) - 1 AS pos, unnest(scenes) AS text FROM scripts)
