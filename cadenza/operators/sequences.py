@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cadenza.operators.subsequence import common_subsequence
+
 _SENTENCE = re.compile(r"[.!?][\"')]*$")
 _STRONG = re.compile(r"[!?:;]$")
 # Words that open a new thought, short words that stay apart, and word endings heard as words.
@@ -299,34 +301,6 @@ def caption_sessions(frames: DataFrame, step_ms: int = 500) -> DataFrame:
     return by_group(frames, ["video_id"], ["at_ms"], schema, sessions)
 
 
-def common_subsequence(script: list[str], heard: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence; the walk back prefers to drop a script word on ties.
-
-    The table is kept as one bytes row of choices per script word: 1 match, 2 up, 3 left.
-    """
-    previous, choices = [0] * (len(heard) + 1), []
-    for word in script:
-        row, choice = [0], bytearray(1)
-        for j, other in enumerate(heard, 1):
-            if word == other:
-                row.append(previous[j - 1] + 1)
-                choice.append(1)
-            else:
-                up = previous[j] >= row[j - 1]
-                row.append(previous[j] if up else row[j - 1])
-                choice.append(2 if up else 3)
-        previous = row
-        choices.append(choice)
-    pairs, i, j = [], len(script), len(heard)
-    while i and j:
-        step = choices[i - 1][j]
-        if step == 1:
-            pairs.append((i - 1, j - 1))
-        i -= step != 3
-        j -= step != 2
-    return pairs[::-1]
-
-
 def align(script: DataFrame, heard: DataFrame) -> DataFrame:
     """Script words paired with heard words by longest common subsequence: video_id, script_idx, heard_idx."""
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.operators import scans
+from cadenza.operators import scans, shown_words
 from cadenza.plans import views
 from cadenza.plans.editing import ocr_frames
 from cadenza.plans.registry import register
 from cadenza.plans.views import with_views
-from cadenza.sources import tail
+from cadenza.sources import artifacts, tail
 from cadenza.sources.shared import new_path
+from cadenza.sources.tables import table
 from cadenza.streaming import caches
 
 #: DuckDB's edit distance counts bytes, so both engines see characters beyond ASCII as question marks here.
@@ -71,3 +72,28 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lookups of each provider an hour's cache would have answered."""
     lookups = views.attempts(spark, sf_dir).select(F.col("provider").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
     return caches.cache_hits(lookups).groupBy("key").agg(F.sum("lookups").alias("lookups"), F.sum("hits").alias("hits"))
+
+
+@register("word_appearances", with_views(rf"""WITH {_SHOWN}, s AS (SELECT video_id, at_ms, list_filter(string_split_regex(CASE (at_ms // 500) % 4 WHEN 0 THEN text || ' + 30° sqrt' WHEN 1 THEN 'multip lying ' || text || ' 12345 x' ELSE text END, '\s+'), lambda w: w <> '') AS b FROM f WHERE confidence >= 0.3),
+    c AS (SELECT video_id, at_ms, list_distinct(list_concat(b,
+        list_filter(list_transform(range(1, len(b)), lambda i: CASE WHEN regexp_matches(b[i], '[a-zA-Z]') AND regexp_matches(b[i + 1], '[a-zA-Z]') THEN b[i] || b[i + 1] ELSE '' END), lambda w: length(w) >= 5),
+        list_filter(list_transform(range(1, len(b) - 1), lambda i: CASE WHEN regexp_matches(b[i], '[a-zA-Z]') AND regexp_matches(b[i + 1], '[a-zA-Z]') AND regexp_matches(b[i + 2], '[a-zA-Z]') THEN b[i] || b[i + 1] || b[i + 2] ELSE '' END), lambda w: length(w) >= 5))) AS ws FROM s),
+    w AS (SELECT video_id, at_ms, unnest(ws) AS w FROM c),
+    t AS (SELECT video_id, at_ms, unnest(list_distinct(list_filter([regexp_replace(lower(w), '[^a-z0-9]', '', 'g'), CASE WHEN w = '+' THEN 'plus' WHEN w = '-' THEN 'minus' WHEN w = '=' THEN 'equals' WHEN w = '*' THEN 'times' WHEN w = '/' THEN 'over' WHEN w = '->' THEN 'to' END,
+        CASE WHEN lower(w) = 'sqrt' THEN 'sqrt' END, CASE WHEN contains(w, '°') THEN 'degrees' END], lambda x: x IS NOT NULL AND x <> ''))) AS word FROM w)
+    SELECT video_id, word, at_ms, count(*) AS n FROM t WHERE (length(word) >= 2 OR word IN ('a', 'i', 'x', 'y', 'z') OR regexp_matches(word, '^[0-9]$')) AND NOT regexp_matches(word, '^[0-9]{{4,}}$') GROUP BY ALL""", "words"))
+def word_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that frames show, some with signs and some in pieces."""
+    k = F.expr("at_ms div 500") % 4
+    text = F.when(k == 0, F.concat("text", F.lit(" + 30° sqrt"))).when(k == 1, F.concat(F.lit("multip lying "), "text", F.lit(" 12345 x"))).otherwise(F.col("text"))
+    return shown_words.word_appearances(_shown(spark, sf_dir).withColumn("text", text))
+
+
+@register("nested_references", """WITH r AS (SELECT conv_id, turn, unnest([{'k': 'ref', 'v': 'conv-' || conv_id}, {'k': 'source_ref', 'v': role}, {'k': 'sourceRef', 'v': 'turn-' || turn}, {'k': 'exact_url_or_redacted_path', 'v': text}]) AS p FROM conversations)
+    SELECT DISTINCT conv_id, turn, p.k AS key, p.v AS value FROM r WHERE p.v IS NOT NULL""")
+def nested_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in a nested JSON text of every turn."""
+    c = table(spark, sf_dir, "conversations")
+    inner = F.array(F.struct(F.concat(F.lit("turn-"), F.col("turn")).alias("sourceRef"), F.struct(F.col("text").alias("exact_url_or_redacted_path"), F.col("turn").alias("ref")).alias("deep")))
+    doc = F.to_json(F.struct(F.concat(F.lit("conv-"), F.col("conv_id")).alias("ref"), F.array(F.struct(F.col("role").alias("source_ref"), F.array(inner).alias("parts"))).alias("list"), F.col("text").alias("other")))
+    return artifacts.collect_references(c.select("conv_id", "turn", doc.alias("doc")), "doc", ["ref", "sourceRef", "source_ref", "exact_url_or_redacted_path"])

@@ -144,8 +144,21 @@ def markdown_table(df: DataFrame) -> DataFrame:
 
 
 def collect_references(documents: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """String values found anywhere in JSON texts under the given key names: all columns but the text, then key and value."""
-    pattern = '"(' + "|".join(keys) + r')"\s*:\s*"((?:[^"\\]|\\.)*)"'
-    hits = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    rows = documents.withColumn("_hit", F.explode(hits))
-    return rows.select(*[c for c in documents.columns if c != text], F.regexp_extract("_hit", pattern, 1).alias("key"), F.regexp_extract("_hit", pattern, 2).alias("value"))
+    """Strings found anywhere in JSON texts, in objects and lists of any depth, under the given key names: all columns but the text, then ``key`` and ``value``, each once a text.
+
+    The texts are parsed once, as variants; every round opens the objects and lists that the one before has left, so there are as many rounds as the deepest text has levels. Texts that do not
+    parse and null texts have none, and values that are no strings do not count.
+    """
+    own = [c for c in documents.columns if c != text]
+    numbered = {f"_{i}": c for i, c in enumerate(own)}
+    spark = documents.sparkSession
+    level = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in numbered.items()], F.try_parse_json(F.col(f"`{text}`")).alias("_v")).where("_v is not null")
+    out = None
+    while True:
+        opened = level.alias("t").lateralJoin(spark.tvf.variant_explode(F.col("t._v").outer())).select(*[F.col(f"t.{n}") for n in numbered], F.col("key"), F.col("value").alias("_v"))
+        opened = opened.withColumn("_kind", F.schema_of_variant("_v"))
+        found = opened.where(F.col("key").isin(keys) & (F.col("_kind") == "STRING")).select(*numbered, "key", F.try_variant_get("_v", "$", "string").alias("value"))
+        out = found if out is None else out.unionByName(found)
+        level = opened.where("_kind like 'OBJECT<%' or _kind like 'ARRAY<%'").select(*numbered, "_v")
+        if not level.take(1):
+            return out.distinct().toDF(*own, "key", "value")
