@@ -53,7 +53,16 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_SHUFFLE_CLEANUP, before)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of written tables (and of frames that name one in ``written_at``) once everything made from them is written itself."""
+    for table in tables:
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def col(name: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import write_shared
+from cadenza.llm.common import forget, write_shared
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round links every larger neighbour, then every smaller one, to the smallest neighbour of a node, until
     all edges point at a root; rounds grow with the logarithm of a component's width. The minimum of a
     hub's neighbours is pre-aggregated on the map side; its edges then meet it in a join that AQE may split. Each
-    round is written to the shared folder, so a lost executor costs one round.
+    round is written to the shared folder, so a lost executor costs one round; the round before it is deleted then. The
+    result reads the last round's table, which its ``written_at`` names.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = write_shared(links, "links")
@@ -34,12 +35,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         links = write_shared(small, "links")
         pointing = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         chained = links.join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        if not pointing and not chained and _same(before, links):
+        settled = not pointing and not chained and _same(before, links)
+        forget(before)
+        if settled:
             break
     else:
         raise RuntimeError("components did not settle")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    named = links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    named.written_at = links.written_at
+    return named
 
 
 def _same(before: DataFrame, after: DataFrame) -> bool:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadenza.llm.common import add_columns, col, pieces, text_of, write_shared
+from cadenza.llm.common import add_columns, col, forget, pieces, text_of, write_shared
 from cadenza.llm.components import connected_components
 from cadenza.llm.verified_links import band_keys, confirmed_links, rep_of, sets_of, shared_buckets
 from cadenza.llm.word_hashes import word_hashes
@@ -111,15 +111,21 @@ def _classes(documents: DataFrame, rows: DataFrame, similarity: float, size: int
     shared = shared_buckets(rows, band_keys(F.col("signature"), BANDS, 2 * BAND_ROWS))
     needed = write_shared(shared.select("rep").distinct(), "needed")
     sets = sets_of(documents, needed, hasher(size=size).shingles, hasher(size=size).minima)
-    links = write_shared(confirmed_links(shared, sets, differing, "uint16", RADIUS, similarity).distinct(), "links")
+    found = confirmed_links(shared, sets, differing, "uint16", RADIUS, similarity)
+    forget(shared, needed, sets)
+    links = write_shared(found.distinct(), "links")
+    forget(found)
     roots = connected_components(links)
     folded = rows.groupBy("rep").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n"))
     ids = folded.join(roots, folded["rep"] == roots["node"], "left").where("_n > 1 or root is not null")
     ids = write_shared(ids.select("rep", "first", F.coalesce("root", "rep").alias("root")), "folded")
+    forget(roots)
     least = ids.groupBy("root").agg(F.min("first").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     named = ids.join(least, "root").select("rep", "class_id").join(degree, "rep", "left")
-    return write_shared(named.select("rep", "class_id", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    classes = write_shared(named.select("rep", "class_id", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    forget(links, ids)
+    return classes
 
 
 def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:

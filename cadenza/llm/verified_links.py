@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import col, text_batches, write_shared
+from cadenza.llm.common import col, forget, text_batches, write_shared
 from cadenza.llm.components import connected_components
 
 #: Bits of the fixed-size filter (8 MB) that keeps unneeded shingle sets out of the shuffle.
@@ -50,7 +50,9 @@ def shared_buckets(rows: DataFrame, keys: Column) -> DataFrame:
     dealt = rows.select(F.explode(keys).alias("bucket"), "rep")
     ends = dealt.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last")).where("leader < _last")
     ends = write_shared(ends.select("bucket", "leader"), "leaders")
-    return write_shared(dealt.join(ends, "bucket").distinct(), "buckets")
+    buckets = write_shared(dealt.join(ends, "bucket").distinct(), "buckets")
+    forget(ends)
+    return buckets
 
 
 def sets_of(documents: DataFrame, needed: DataFrame, shingles: Callable[[str], np.ndarray], code: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -101,16 +103,21 @@ def confirmed_links(shared: DataFrame, sets: DataFrame, distance: Distance, kind
     grouped = shared.join(roots, F.col("rep") == F.col("node"), "left").join(nearest, F.col("rep") == F.col("b"), "left")
     tried = (F.col("rep") == F.col("leader")) | (F.col("a") == F.col("leader"))
     members = write_shared(grouped.select("bucket", "rep", F.coalesce("root", "rep").alias("group"), F.coalesce(tried, F.lit(False)).alias("tried")), "members")
+    forget(nearest, roots)
     facts = members.groupBy("bucket").agg(
         F.min("group").alias("_low"), F.max("group").alias("_high"), F.count("*").alias("_n"), F.bool_and("tried").alias("_tried"),
         F.bit_xor(F.xxhash64("rep")).alias("_set"), F.min("rep").alias("_first"))
     # A pair that was tried is done, and of buckets with the same members one is enough.
     still = facts.where("_low < _high and not (_n = 2 and _tried)").groupBy("_n", "_set", "_first").agg(F.min("bucket").alias("bucket")).select("bucket")
     rest = write_shared(members.join(still, "bucket").select("bucket", "rep", "group"), "open")
+    forget(members)
     wanted = sets.join(rest.select("rep").distinct(), "rep", "left_semi")
     pieces = rest.join(wanted.select("rep", F.size("shingles").alias("_size")), "rep").groupBy("bucket").agg(F.ceil(F.sum("_size") / PIECE_SHINGLES).cast("int").alias("_pieces"))
-    dealt = rest.join(write_shared(pieces, "pieces"), "bucket").join(wanted, "rep")
-    return write_shared(links.union(bucket_links(dealt, distance, kind, radius, similarity)), "links")
+    pieces = write_shared(pieces, "pieces")
+    dealt = rest.join(pieces, "bucket").join(wanted, "rep")
+    found = write_shared(links.union(bucket_links(dealt, distance, kind, radius, similarity)), "links")
+    forget(links, rest, pieces)
+    return found
 
 
 def bucket_links(rest: DataFrame, distance: Distance, kind: str, radius: int, similarity: float) -> DataFrame:
