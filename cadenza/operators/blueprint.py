@@ -62,7 +62,7 @@ def compliance(scripts: DataFrame, blueprints: DataFrame) -> DataFrame:
     ratio = F.when(F.col("target_s") > 0, F.abs(F.col("_s") - F.col("target_s")) / F.col("target_s")).otherwise(0.0)
     duration = F.when(ratio <= 0.1, "pass").when(ratio <= DURATION_OFF, "warn").otherwise("fail")
     present = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
-    last = F.lower(F.coalesce(F.element_at("_scenes", -1)["text"], F.lit("")))
+    last = F.lower(F.coalesce(F.try_element_at("_scenes", F.lit(-1))["text"], F.lit("")))
     sounds = F.exists(F.array(*map(F.lit, CALLS)), lambda w: last.contains(w))
     cta = F.when(~F.coalesce("has_cta", F.lit(False)) | present(F.col("cta")), "pass").when((n > 0) & sounds, "warn").otherwise("fail")
     short = (n > 0) & (_seconds(F.get("_scenes", 0)["text"]) <= F.col("hook_s") * 2)

@@ -8,6 +8,7 @@ meets a boundary that does not depend on it, so few rounds are needed; at worst
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -145,7 +146,7 @@ def similar_shown(a: Column, b: Column) -> Column:
     """Whether two captions are alike: equal but for case and blanks, 0.8 of their words shared, two edits apart, or six at 0.88 similarity."""
     flat = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " ")))
     a, b = flat(a), flat(b)
-    words = lambda c: F.filter(F.split(F.regexp_replace(c, "[^a-z0-9']+", " "), " "), lambda w: w != "")
+    words = lambda c: F.filter(F.transform(F.split(c, " "), lambda w: F.regexp_replace(w, "[^a-z0-9']", "")), lambda w: w != "")
     x, y = words(a), words(b)
     shared = F.size(F.filter(x, lambda w: F.array_contains(y, w))) / F.greatest(F.size(x), F.size(y), F.lit(1))
     d = F.levenshtein(a, b, 6)
@@ -178,3 +179,55 @@ def center_jitter(frames: DataFrame, most_mean: float = 10.0, most_p95: float =
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     known = frames.select("video_id").distinct().join(stats, "video_id", "left").select("video_id", F.coalesce("n_moves", F.lit(0)).alias("n_moves"), F.coalesce("mean_px", F.lit(0.0)).alias("mean_px"), F.coalesce(p95, F.lit(0.0)).alias("p95_px"))
     return known.withColumn("score", (unit(1 - F.col("mean_px") / most_mean) + unit(1 - F.col("p95_px") / most_p95)) / 2)
+
+
+def alike_captions(a: str, b: str) -> bool:
+    """``similar_shown`` of two texts whose blanks are single and whose case is folded."""
+    if a == b:
+        return True
+    if not a or not b:
+        return False
+    x, y = ([w for w in (re.sub("[^a-z0-9']", "", t) for t in text.split(" ")) if w] for text in (a, b))
+    if x and y and sum(w in y for w in x) / max(len(x), len(y)) >= 0.8:
+        return True
+    if abs(len(a) - len(b)) > 6:
+        return False
+    apart = round((1 - edit_similarity(a, b)) * max(len(a), len(b)))
+    return apart <= 2 or (apart <= 6 and 1 - apart / max(len(a), len(b)) >= 0.88)
+
+
+def caption_segments(frames: DataFrame, step_ms: int, block_ms: int = 60_000) -> DataFrame:
+    """Runs of frames with alike text: video_id, start_ms, end_ms, text, confidence, n_frames, and the box x0, y0, x1, y1 around all of them.
+
+    ``frames``: video_id, at_ms, text, confidence, x0, y0, x1, y1. A frame goes on with a run if its text is alike to the run's most confident text so far, which stands for the
+    run. A run ends a step behind its last frame. Blank runs come too, with an empty box; unknown confidences count as 0, null texts as empty, and frames without a time are left out.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    rows = frames.where("at_ms is not null").select("video_id", "at_ms", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *[F.col(c).cast("double").alias(c) for c in box])
+
+    def scan(state: str | None, block: list[dict]) -> tuple[list[tuple], str | None]:
+        made: list[list] = []
+        now = json.loads(state) if state is not None else None
+        for r in block:
+            flat = " ".join(r["text"].split()).lower()
+            if now is None or not alike_captions(flat, now[2]):
+                now = [r["text"], r["confidence"], flat]
+                made.append([False, r["at_ms"], r["at_ms"], 0.0, 0, None, None, None, None, None])
+            elif not made:
+                made.append([True, r["at_ms"], r["at_ms"], 0.0, 0, None, None, None, None, None])
+            if r["confidence"] > now[1]:
+                now = [r["text"], r["confidence"], flat]
+            run = made[-1]
+            run[2], run[3], run[4], run[5] = r["at_ms"], run[3] + r["confidence"], run[4] + 1, now[0]
+            if flat and all(r[c] is not None for c in box):
+                for k, (c, pick) in enumerate(zip(box, (min, min, max, max)), 6):
+                    run[k] = r[c] if run[k] is None else pick(run[k], r[c])
+        return [tuple(m) for m in made], None if now is None else json.dumps(now)
+
+    ddl = "goes_on boolean, first bigint, last bigint, total double, n bigint, text string, x0 double, y0 double, x1 double, y1 double"
+    pieces = block_scan(rows, ["video_id"], ["at_ms"], ["text", "confidence", *box], F.floor(F.col("at_ms") / block_ms), scan, ddl)
+    run = F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(Window.partitionBy("video_id").orderBy("_n", "_piece"))
+    whole = pieces.withColumn("_run", run).groupBy("video_id", "_run").agg(
+        F.min("first").alias("start_ms"), (F.max("last") + step_ms).alias("end_ms"), F.max_by("text", F.struct("_n", "_piece")).alias("text"), (F.sum("total") / F.sum("n")).alias("confidence"), F.sum("n").alias("n_frames"),
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return whole.drop("_run")
