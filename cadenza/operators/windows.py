@@ -88,6 +88,21 @@ def reversals(value: str, keys: list[str], order: list[str], tolerance: float) -
     return F.when(F.lag(value).over(ordered(keys, order)) - F.col(value) > tolerance, 1).otherwise(0)
 
 
+def stress_gate(points: DataFrame, keys: list[str], severity: str, score: str, tolerance: float = 0.005, least_effect: float = 0.05, least_correlation: float = 0.9) -> DataFrame:
+    """Whether the defect (1 - ``score``) of each group rises with ``severity``: keys, n, reversals, effect, spearman, passed.
+
+    A reversal is a fall by more than ``tolerance``. A group passes if the defect spans ``least_effect`` and either never falls or, from four points on, has a rank correlation of
+    ``least_correlation`` with severity. Of one point, or of equal defects, the correlation is 0. Groups are the points of one stress recipe, a handful each.
+    """
+    rows = points.withColumn("_d", 1 - F.col(score))
+    rows = rows.withColumns({"_r": reversals("_d", keys, [severity], tolerance), "_a": average_rank(severity, keys), "_b": average_rank("_d", keys)})
+    n = F.count("*")
+    flat = (n < 2) | (F.stddev_pop("_b") == 0) | (F.stddev_pop("_a") == 0)
+    stats = rows.groupBy(*keys).agg(n.alias("n"), F.sum("_r").alias("reversals"), (F.max("_d") - F.min("_d")).alias("effect"), F.when(flat, 0.0).otherwise(F.corr("_a", "_b")).alias("spearman"))
+    steady = (F.col("reversals") == 0) | ((F.col("n") >= 4) & (F.col("spearman") + 1e-9 >= least_correlation))
+    return stats.withColumn("passed", (F.col("effect") >= least_effect) & steady)
+
+
 def thin(times: Column, least_gap: float) -> Column:
     """Greedy thinning of an array of times: keep the first, then each at least ``least_gap`` after the last kept."""
     kind = "array<double>"

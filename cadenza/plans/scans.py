@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.operators import burned_in, scans, shown_words
+from cadenza.functions import styled_subtitles as S
+from cadenza.operators import burned_in, scans, shown_words, windows
 from cadenza.plans import views
 from cadenza.plans.editing import ocr_frames
 from cadenza.plans.registry import register
@@ -165,3 +166,33 @@ def burned_in_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = shown.groupBy("video_id").agg((F.max("at_ms") + 3000).alias("duration_ms")).withColumns({"width": F.lit(400), "height": F.lit(200)})
     rows = burned_in.burned_in_report(videos, shown, scans.caption_segments(shown, 500, block_ms=10_000))
     return rows.withColumns({c: F.round(c, 6) for c in _SCORES})
+
+
+@register("styled_subtitles", with_views(r"""WITH c AS (SELECT video_id, idx // 6 AS seg, idx, word, start_ms, min(start_ms) OVER g AS s0, max(end_ms) OVER g AS s1, lead(start_ms) OVER (PARTITION BY video_id, idx // 6 ORDER BY idx) AS nxt FROM words WHERE start_ms >= 0 WINDOW g AS (PARTITION BY video_id, idx // 6)),
+    l AS (SELECT video_id, seg, any_value(s0) AS s0, any_value(s1) AS s1, list({'w': regexp_replace(word, '[{}]', '', 'g'), 'n': length(word), 's': start_ms, 'nx': nxt} ORDER BY idx) AS ws FROM c GROUP BY ALL),
+    p AS (SELECT *, list_reduce(list_prepend([{'at': 0, 'used': 0, 'out': 0}], list_transform(ws, lambda w: [{'at': CAST(0 AS INTEGER), 'used': CAST(w.n AS INTEGER), 'out': 0}])), lambda a, x: list_append(a,
+          CASE WHEN a[-1].out = 1 THEN a[-1] WHEN (CASE WHEN a[-1].used = 0 THEN x[1].used ELSE a[-1].used + 1 + x[1].used END) <= 21 THEN {'at': a[-1].at, 'used': CASE WHEN a[-1].used = 0 THEN x[1].used ELSE a[-1].used + 1 + x[1].used END, 'out': 0}
+               WHEN a[-1].at + 1 < 2 THEN {'at': a[-1].at + 1, 'used': x[1].used, 'out': 0} ELSE {'at': a[-1].at, 'used': a[-1].used, 'out': 1} END))[2:] AS places FROM l),
+    k AS (SELECT *, len(list_filter(places, lambda q: q.out = 0)) AS m FROM p),
+    e AS (SELECT video_id, seg, s0, s1, ws, places, m, unnest(range(1, m + 1)) AS i FROM k),
+    t AS (SELECT video_id, seg, i - 1 AS event, greatest(s0, ws[i].s) AS a, greatest(greatest(s0, ws[i].s) + 1, CASE WHEN i < m THEN ws[i + 1].s ELSE s1 END) AS b,
+          array_to_string(list_transform(range(1, m + 1), lambda j: CASE WHEN j = 1 THEN '' WHEN places[j].at <> places[j - 1].at THEN '\N' ELSE '\h' END || CASE WHEN j = i THEN '{\c&H00FFFFFF\3c&H00000000\bord4\1a&H00&}' ELSE '{\c&H008A8A8A\3c&H00000000\bord4\1a&H00&}' END || ws[j].w || '{\r}'), '') AS x FROM e)
+    SELECT video_id, seg, CAST(event AS BIGINT) AS event, printf('Dialogue: 0,%d:%02d:%02d.%02d,%d:%02d:%02d.%02d,Default,', a // 3600000, a // 60000 % 60, a // 1000 % 60, a // 10 % 100, b // 3600000, b // 60000 % 60, b // 1000 % 60, b // 10 % 100) || x AS line FROM t""", "words"))
+def styled_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that light up each word of six-word captions."""
+    words = views.words(spark, sf_dir).where("start_ms >= 0")
+    segs = words.groupBy("video_id", F.expr("idx div 6").alias("seg")).agg(F.min("start_ms").alias("s0"), F.max("end_ms").alias("s1"), F.array_sort(F.collect_list(F.struct("idx", F.struct(F.col("word").alias("text"), "start_ms", "end_ms").alias("w")))).alias("l"))
+    lines = S.active_word_events(F.col("s0"), F.col("s1"), F.lit(""), F.transform("l", lambda x: x["w"]), S.Style(chars=21))
+    return segs.select("video_id", "seg", F.posexplode(lines).alias("event", "line")).withColumn("event", F.col("event").cast("long"))
+
+
+@register("stress_gate", with_views("""WITH p AS (SELECT run_id, provider, k // 20 AS severity, 1 - avg(latency) / 100 AS v FROM attempts GROUP BY ALL),
+    g AS (SELECT *, CASE WHEN lag(v) OVER w - v > 0.005 THEN 1 ELSE 0 END AS rev, rank() OVER (PARTITION BY run_id, provider ORDER BY severity) AS rs,
+          rank() OVER (PARTITION BY run_id, provider ORDER BY v) + (count(*) OVER (PARTITION BY run_id, provider, v) - 1) / 2 AS rv FROM p WINDOW w AS (PARTITION BY run_id, provider ORDER BY severity)),
+    s AS (SELECT run_id, provider, count(*) AS n, CAST(sum(rev) AS BIGINT) AS reversals, max(v) - min(v) AS effect, CASE WHEN stddev_pop(rv) > 0 AND count(*) > 1 THEN corr(rs, rv) ELSE 0 END AS spearman FROM g GROUP BY ALL)
+    SELECT run_id, provider, n, reversals, round(effect, 6) AS effect, round(spearman, 6) AS spearman, effect >= 0.05 AND (reversals = 0 OR (n >= 4 AND spearman + 1e-9 >= 0.9)) AS passed FROM s""", "attempts"))
+def stress_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether defects rise with severity for every run and provider: mean latency as the score that falls."""
+    points = views.attempts(spark, sf_dir).groupBy("run_id", "provider", F.expr("k div 20").alias("severity")).agg((F.avg("latency") / 100).alias("score"))
+    rows = windows.stress_gate(points, ["run_id", "provider"], "severity", "score")
+    return rows.withColumns({"effect": F.round("effect", 6), "spearman": F.round("spearman", 6)})
