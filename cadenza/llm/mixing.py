@@ -1,7 +1,7 @@
 """Soft-membership mixing: document rates whose expected domain token totals match target weights.
 
 A softmax classifier, fitted on the labelled table, gives each document's posterior over the
-domains. Rates r minimise, subject to r >= 0,
+domains. Rates r minimise, subject to 0 <= r <= repeats,
     sum over domains of (expected tokens - target)^2 / (2 * available) + pull/2 * sum of tokens * (r - start)^2.
 At the fixed point of projected gradient steps every rate is max(0, start - posterior . slope), the slope being one number for each
 domain: its residual over its available tokens and the pull. So only these few numbers are iterated: a step sums over all documents
@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from cadenza.llm.common import add_columns, bounded_sample, col, crc_mod4, forget, text_batches, text_of, write_shared
 from cadenza.llm.word_hashes import word_hashes
@@ -34,7 +33,7 @@ PULL = 1e-6
 #: Projected gradient, as a share of the targets, at which the fit ends, and steps after which it has failed.
 TOLERANCE = 1e-7
 MOST_STEPS = 100
-#: A domain is asked for so many times the tokens it has at most; what a target wants beyond that is out of reach by repeating documents.
+#: Greatest rate of a document. A domain is asked for no more than its own documents give at it; what a target wants beyond that is out of reach.
 REPEATS = 8.0
 #: Tokens asked for, as a multiple of those that meet the target of the domain with the most to give.
 GROWTH = 1.25
@@ -189,54 +188,66 @@ def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -
     return DomainModel(log_odds(whole[:-1], whole[-1]), mean, spread, fit_softmax(design, held.column("y").to_numpy(), k))
 
 
+def _judge(texts: list[str], m: DomainModel) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors over the domains, and words (one at least), of each text."""
+    x, words = _features(texts, m.odds)
+    return softmax(np.clip((x - m.mean) / m.spread, -8, 8) @ m.weights[:-1] + m.weights[-1]), words
+
+
 def with_posteriors(documents: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
     """``documents`` with ``tokens double`` (words, at least one) and ``posterior array<double>`` over ``DOMAINS``; null texts count as empty."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def make(_: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
-        m = shared.value
-        x, words = _features(texts, m.odds)
-        x = np.clip((x - m.mean) / m.spread, -8, 8)
-        return [pa.array(words, pa.float64()), pa.array(softmax(x @ m.weights[:-1] + m.weights[-1]).tolist(), pa.list_(pa.float64()))]
+        posterior, words = _judge(texts, shared.value)
+        return [pa.array(words, pa.float64()), pa.array(posterior.tolist(), pa.list_(pa.float64()))]
 
     return add_columns(documents, "tokens double, posterior array<double>", make, text)
 
 
-def rate_of(posterior: Column, slopes: list[float], start: float = 1.0) -> Column:
+def _free_rate(posterior: Column, slopes: list[float]) -> Column:
+    return 1.0 - sum((posterior[k] * float(x) for k, x in enumerate(slopes)), F.lit(0.0))
+
+
+def rate_of(posterior: Column, slopes: list[float], repeats: float = REPEATS) -> Column:
     """A document's rate under one slope for each domain."""
-    fall = sum((posterior[k] * float(x) for k, x in enumerate(slopes)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), start - fall)
+    return F.least(F.lit(repeats), F.greatest(F.lit(0.0), _free_rate(posterior, slopes)))
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float], growth: float = GROWTH, pull: float = PULL, repeats: float = REPEATS) -> tuple[list[float], dict[str, float]]:
     """The slopes of the domains and the target totals for rows with ``posterior`` and ``tokens``.
 
     Target weights are scaled to one. The budget is ``growth`` times what the scarcest-wanted domain would need: the available tokens of the first target domain over its weight. A
-    domain that has too little for its target is asked for ``repeats`` times what it has.
+    domain is asked for no more than it has when its own documents, those of which no other domain is likelier, come ``repeats`` times: what is left of it in other documents does not make
+    these come a hundred times.
     """
     weights = np.array([targets[d] for d in DOMAINS], float)
     weights /= weights.sum()
     k = len(DOMAINS)
     p, tokens = F.col("posterior"), F.col("tokens")
     total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
-    available = np.array(rows.agg(*[total(tokens * p[i]).alias(d) for i, d in enumerate(DOMAINS)]).first())
+    likeliest = F.array_max(p)
+    own = [total(F.when(p[i] >= likeliest, tokens * p[i])).alias(f"own_{d}") for i, d in enumerate(DOMAINS)]
+    got = rows.agg(*[total(tokens * p[i]).alias(d) for i, d in enumerate(DOMAINS)], *own).first()
+    available, own = np.array(got[:k]), np.array(got[k:])
     lead = int(weights.argmax())
     totals = weights * (growth * available[lead] / weights[lead])
-    wanted = np.minimum(totals, repeats * available)
+    wanted = np.minimum(totals, available + (repeats - 1) * own)
     scale = np.maximum(available, 1e-9 * max(available.sum(), 1.0))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
     def sums(slopes: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Objective of the slopes, its gradient (expected less wanted totals and the pull, from rates projected to zero), and how that changes."""
-        rate = rate_of(p, slopes.tolist())
-        open_ = F.when(rate > 0, tokens).otherwise(0.0)
+        """Objective of the slopes, its gradient (expected less wanted totals and the pull, from rates projected to their bounds), and how that changes."""
+        free = _free_rate(p, slopes.tolist())
+        rate = F.least(F.lit(repeats), F.greatest(F.lit(0.0), free))
+        open_ = F.when((free > 0) & (free < repeats), tokens).otherwise(0.0)
         got = rows.agg(
-            total(tokens * rate * rate), *[total(tokens * p[i] * rate).alias(f"h{i}") for i in range(k)], *[total(open_ * p[i] * p[j]).alias(f"m{i}{j}") for i, j in pairs]).first()
+            total(tokens * (free * rate - rate * rate / 2)), *[total(tokens * p[i] * rate).alias(f"h{i}") for i in range(k)], *[total(open_ * p[i] * p[j]).alias(f"m{i}{j}") for i, j in pairs]).first()
         metric = np.diag(pull * scale)
         for (i, j), x in zip(pairs, got[1 + k :]):
             metric[i, j] += x
             metric[j, i] = metric[i, j]
-        return 0.5 * got[0] + wanted @ slopes + 0.5 * pull * (scale * slopes) @ slopes, wanted - np.array(got[1 : 1 + k]) + pull * scale * slopes, metric
+        return got[0] + wanted @ slopes + 0.5 * pull * (scale * slopes) @ slopes, wanted - np.array(got[1 : 1 + k]) + pull * scale * slopes, metric
 
     slopes = np.zeros(k)
     value, gradient, metric = sums(slopes)
@@ -257,40 +268,55 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], growth: float = GROWTH
     return slopes.tolist(), dict(zip(DOMAINS, totals.tolist()))
 
 
+class _Rounding:
+    """Rounds the rates of one task's rows, in their order, so that its domain totals stay near the expected ones, each as a share of its target."""
+
+    def __init__(self, totals: dict[str, float]):
+        self.share = 1.0 / np.maximum(np.array([totals[d] for d in DOMAINS]), 1e-9 * max(sum(totals.values()), 1.0))
+        self.owed = [0.0] * len(DOMAINS)
+
+    def copies(self, rate: np.ndarray, tokens: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+        down = np.floor(rate)
+        # A document's whole weight on each domain, as a share of the target.
+        whole = (posterior * tokens[:, None] * self.share).tolist()
+        owed, up = self.owed, np.zeros(len(rate), bool)
+        for i, (w, f) in enumerate(zip(whole, (rate - down).tolist())):
+            if f > 0:
+                # Up is nearer if the middle between both is still owed in the document's direction.
+                more = sum([(o + x * (f - 0.5)) * x for o, x in zip(owed, w)]) > 0
+                owed = [o + x * (f - more) for o, x in zip(owed, w)]
+                up[i] = more
+        self.owed = owed
+        return (down + up).astype(np.int32)
+
+
 def with_copies(rows: DataFrame, totals: dict[str, float]) -> DataFrame:
     """Rows with ``tokens``, ``posterior`` and ``rate`` and their ``copies``: the rate rounded down or up.
 
-    A task goes through its rows in their order and takes the number that keeps its domain totals nearer to the expected ones, each as a share of its target, what was
+    A task takes for each of its rows the number that keeps its domain totals nearer to the expected ones, what was
     rounded so far included. So every task is off by a document or so, however many rows it has; repeated rows may differ by one. A rate of 0 gives no copy.
     """
-    share = 1.0 / np.maximum(np.array([totals[d] for d in DOMAINS]), 1e-9 * max(sum(totals.values()), 1.0))
-    own = rows.columns
-    k = len(DOMAINS)
+    rounding = _Rounding(totals)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owed = [0.0] * k
-        for batch in batches:
-            n = batch.num_rows
-            rate, tokens = (batch.column(own.index(c)).to_numpy() for c in ("rate", "tokens"))
-            posterior = batch.column(own.index("posterior")).flatten().to_numpy().reshape(n, k)
-            down = np.floor(rate)
-            part = rate - down
-            # A document's whole weight on each domain, as a share of the target.
-            whole = (posterior * tokens[:, None] * share).tolist()
-            up = []
-            for w, f in zip(whole, part.tolist()):
-                if f > 0:
-                    # Up is nearer if the middle between both is still owed in the document's direction.
-                    more = sum([(o + x * (f - 0.5)) * x for o, x in zip(owed, w)]) > 0
-                    owed = [o + x * (f - more) for o, x in zip(owed, w)]
-                    up.append(more)
-                else:
-                    up.append(False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((down + np.array(up, bool)).astype(np.int32))], names=[*numbered, "copies"])
-
-    numbered = [f"_{i}" for i in range(len(own))]
-    kept = rows.select(*[col(c).alias(n) for c, n in zip(own, numbered)])
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL("copies int").fields])).toDF(*own, "copies")
+    def make(batch: pa.RecordBatch, _: list[str]) -> list[pa.Array]:
+        rate, tokens, posterior = (batch.column(batch.schema.get_field_index(c)) for c in ("rate", "tokens", "posterior"))
+        flat = posterior.flatten().to_numpy().reshape(batch.num_rows, len(DOMAINS))
+        return [pa.array(rounding.copies(rate.to_numpy(), tokens.to_numpy(), flat), pa.int32())]
+
+    # Every task gets a rounding of its own, as it is sent one.
+    return add_columns(rows, "copies int", make, None)
+
+
+def _judged_copies(documents: DataFrame, model: DomainModel, slopes: list[float], totals: dict[str, float], text: str) -> DataFrame:
+    """``documents`` with their ``copies`` in one pass over the texts."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    rounding, fall = _Rounding(totals), np.array(slopes)
+
+    def make(_: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
+        posterior, words = _judge(texts, shared.value)
+        return [pa.array(rounding.copies(np.clip(1.0 - posterior @ fall, 0.0, REPEATS), words, posterior), pa.int32())]
+
+    return add_columns(documents, "copies int", make, text)
 
 
 def reached(rated: DataFrame, totals: dict[str, float]) -> dict[str, tuple[float, float, float]]:
@@ -335,9 +361,8 @@ def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TAR
     slopes, totals = fit_rates(rows, targets)
     # Numbered names keep the columns apart from those added here.
     numbered = documents.select(*[col(c).alias(f"_{i}") for i, c in enumerate(own)])
-    rated = lambda df: df.withColumn("rate", rate_of(F.col("posterior"), slopes))
-    reached(with_copies(rated(rows), totals), totals)
+    reached(with_copies(rows.withColumn("rate", rate_of(F.col("posterior"), slopes)), totals), totals)
     forget(rows)
-    marked = with_copies(rated(with_posteriors(numbered, model, f"_{own.index('text')}")), totals)
+    marked = _judged_copies(numbered, model, slopes, totals, f"_{own.index('text')}")
     repeated = marked.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return repeated.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(own)])

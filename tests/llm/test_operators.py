@@ -409,13 +409,13 @@ def test_rates_are_the_least_squares(spark):
         have, want = tokens @ p, np.array(list(totals.values()))
         r = np.ones(40)
         for _ in range(60_000):
-            r = np.maximum(0, r - 0.5 * (p @ (((r * tokens) @ p - want) / have) + pull * (r - 1)))
+            r = np.clip(r - 0.5 * (p @ (((r * tokens) @ p - want) / have) + pull * (r - 1)), 0, mixing.REPEATS)
         got = np.array([x["r"] for x in rows.select(mixing.rate_of(F.col("posterior"), slopes).alias("r")).collect()])
         assert np.allclose(got, r, atol=1e-5)
 
 
 def test_targets_out_of_reach(spark):
-    """A domain with next to nothing is asked for eight times what it has, and the miss is told; the others are met."""
+    """A domain without documents of its own is asked for no more than there is, and the miss is told; the others are met and no document comes often."""
     rng = np.random.default_rng(9)
     p, tokens = rng.dirichlet([40, 0.05, 4], 500), rng.integers(1, 90, 500).astype(float)
     p[:, 1] *= 1e-3
@@ -424,9 +424,9 @@ def test_targets_out_of_reach(spark):
     rated = mixing.with_copies(rows.withColumn("rate", mixing.rate_of(F.col("posterior"), slopes)), totals).cache()
     with pytest.warns(UserWarning, match="not met, in tokens: junk: target"):
         out = mixing.reached(rated, totals)
-    assert abs(out["good"][1] / totals["good"] - 1) < 0.01
-    assert tokens @ p[:, 1] < out["junk"][1] < 8.01 * tokens @ p[:, 1]
-    assert rated.agg(F.max("rate")).first()[0] < 1000
+    assert abs(out["good"][1] / totals["good"] - 1) < 0.05
+    assert out["junk"][1] < 2 * tokens @ p[:, 1]
+    assert rated.agg(F.max("rate")).first()[0] <= mixing.REPEATS
 
 
 def test_mixture_of_documents(documents, labels):
