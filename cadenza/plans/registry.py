@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from cadenza.plans import analytics, baseline, caption_sync, details, editing, evaluation, extra, frames, ledger, models, rewriting, scans, selection, structure, timing  # noqa: F401
+    from cadenza.plans import analytics, baseline, caption_sync, details, editing, evaluation, extra, frames, ledger, models, rewriting, scans, screening, selection, structure, timing  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
