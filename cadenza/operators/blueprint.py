@@ -54,7 +54,8 @@ def compliance(scripts: DataFrame, blueprints: DataFrame) -> DataFrame:
     """
     rows = scripts.join(blueprints, "blueprint_id")
     scenes, n = F.coalesce("scenes", F.array().cast("array<struct<text:string,duration_s:double>>")), F.col("_n")
-    own = F.when(F.col("duration_s") > 0, F.col("duration_s")).otherwise(F.aggregate("_scenes", F.lit(0.0), lambda a, s: a + T.word_count(s["text"])) / WORDS_PER_SECOND)
+    # Seconds are added up scene by scene: the quotient of all words may lie on the other side of a limit by its last bit.
+    own = F.when(F.col("duration_s") > 0, F.col("duration_s")).otherwise(F.aggregate("_scenes", F.lit(0.0), lambda a, s: a + _seconds(s["text"])))
     each = F.aggregate("_scenes", F.lit(0.0), lambda a, s: a + F.when(s["duration_s"] > 0, s["duration_s"]).otherwise(_seconds(s["text"])))
     rows = rows.withColumn("_scenes", scenes).withColumn("_n", F.size("_scenes")).withColumns({"_s": own, "_mean": F.when(n > 0, each / n).otherwise(0.0)})
     off = F.abs(n - F.col("n_slots"))

@@ -36,3 +36,10 @@ def test_compliance(spark):
     assert status(3) == ["warn", "fail", "fail", "fail", "warn"]
     assert status(4) == ["pass"] * 5 and set(got) == {1, 2, 3, 4}
     assert (got[3]["n_pass"], got[3]["n_warn"], got[3]["n_fail"]) == (0, 2, 3)
+
+
+def test_seconds_of_scenes_are_added_one_by_one(spark):
+    """The scenes' seconds come to 52.800000000000004, above the limit of a tenth over 48; the quotient of all words is 52.8."""
+    scenes = [(" ".join(["word"] * n), None) for n in (14, 20, 25, 25, 1, 23, 15, 9)]
+    row = B.compliance(spark.createDataFrame([(1, 1, None, None, None, scenes)], SCRIPT), spark.createDataFrame([(1, 8, 48.0, 0.0, False, None)], PRINT)).first()
+    assert (row["scene_count"], row["duration"]) == ("pass", "warn")
