@@ -18,6 +18,8 @@ BUCKET_MS = 10_000
 LIMITS = {
     "min_coverage": 0.35, "min_quality": 0.55, "min_confidence": 0.45, "min_match_ratio": 0.65, "min_duration_ratio": 0.55, "max_median_drift_ms": 350, "max_p95_drift_ms": 900,
 }
+#: Decimals that a mean keeps: what comes after them depends on the order of the sum, and would decide halves, limits and ranks of equals.
+EXACT = 12
 WARNINGS = ["low-caption-quality", "low-ocr-confidence"]
 
 
@@ -103,7 +105,7 @@ def sync_report(expected: DataFrame, observed: DataFrame, matches: DataFrame, qu
     drift = F.abs("start_drift_ms")
     m = matches.groupBy("video_id").agg(
         F.count("*").alias("n_matched"), F.sum(length("expected_start_ms", "expected_end_ms")).alias("_matched_ms"), F.percentile(drift, F.array(F.lit(0.5), F.lit(0.95))).alias("_p"),
-        F.max(drift).alias("max_drift_ms"), F.avg(drift).alias("mean_drift_ms"), F.avg("similarity").alias("mean_similarity"))
+        F.max(drift).alias("max_drift_ms"), F.avg(drift).alias("mean_drift_ms"), F.round(F.avg("similarity"), EXACT).alias("mean_similarity"))
     rows = e.join(o, "video_id", "left").join(m, "video_id", "left").join(quality.select("video_id", "coverage", "quality", "confidence"), "video_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     rows = rows.select(

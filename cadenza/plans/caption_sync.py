@@ -49,8 +49,8 @@ def _captions(words: DataFrame, size: int, key: str, late: int = 0) -> DataFrame
 
 def _quality(observed: DataFrame, heard: DataFrame) -> DataFrame:
     length = F.col("end_ms") - F.col("start_ms")
-    q = observed.groupBy("video_id").agg(F.least(F.lit(1.0), F.sum(length) / F.max("end_ms")).alias("coverage"), F.avg(F.least(F.lit(1.0), 3000 / F.greatest(F.lit(1), length))).alias("quality"))
-    return q.join(heard.groupBy("video_id").agg(F.avg("confidence").alias("confidence")), "video_id")
+    q = observed.groupBy("video_id").agg(F.least(F.lit(1.0), F.sum(length) / F.max("end_ms")).alias("coverage"), F.round(F.avg(F.least(F.lit(1.0), 3000 / F.greatest(F.lit(1), length))), caption_sync.EXACT).alias("quality"))
+    return q.join(heard.groupBy("video_id").agg(F.round(F.avg("confidence"), caption_sync.EXACT).alias("confidence")), "video_id")
 
 
 def _report(spark: SparkSession, sf_dir: str, size: int, late: int) -> DataFrame:

@@ -119,3 +119,18 @@ def test_overlays(spark):
     assert got == {(1, 0): (0, True), (1, 1): (0, True), (1, 2): (0, False), (1, 3): (0, False), (1, 4): (None, False), (2, 0): (None, True), (1, 5): (0, False)}
     blocks = speech.withColumnRenamed("speech_id", "block_id")
     assert sorted(r["overlay_id"] for r in C.repeated_overlays(over, blocks).collect()) == [0]
+
+
+def test_mean_similarity_does_not_show_the_order_of_its_sum(spark):
+    """Ten times 0.92 and 118 times 0.7 are 0.7171875 on average, whose sixth decimal rounds up; partial sums in some orders fall below."""
+    expected = spark.createDataFrame([(v, i, "x", 0, 1) for v in range(8) for i in range(128)], CAPTION)
+    shown = spark.createDataFrame([], SHOWN)
+    rng = random.Random(4)
+    rows = []
+    for v in range(8):
+        values = [0.92] * 10 + [0.7] * 118
+        rng.shuffle(values)
+        rows += [(v, 0, 1, 0, s) for s in values]
+    matches = spark.createDataFrame(rows, "video_id bigint, expected_start_ms bigint, expected_end_ms bigint, start_drift_ms bigint, similarity double").repartition(7)
+    got = {r["mean_similarity"] for r in C.sync_report(expected, shown, matches, spark.createDataFrame([], QUALITY)).collect()}
+    assert got == {0.7171875}
