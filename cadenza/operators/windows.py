@@ -83,6 +83,17 @@ def rank_table(rows: DataFrame, keys: list[str], value: str, out: str, bands: in
     return counts.withColumn("_upto", upto).join(offsets, [*keys, "_band"]).select(*keys, value, rank.alias(out))
 
 
+def ordered_mean(rows: DataFrame, keys: list[str], value: str, order: str, out: str) -> DataFrame:
+    """Mean ``out`` of each group, its values added one by one in the order of the unique column ``order``; nulls do not count.
+
+    The last bits of a sum of doubles depend on its order, and means that are compared or ranked show them: partial sums of tasks would let the
+    partitioning decide. The running mean is a window, which spills, so a large group needs no list.
+    """
+    sorted_rows = Window.partitionBy(*keys).orderBy(order)
+    running = F.avg(value).over(sorted_rows.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select(*keys, running.alias("_mean"), F.row_number().over(sorted_rows).alias("_i")).groupBy(*keys).agg(F.max_by("_mean", "_i").alias(out))
+
+
 def reversals(value: str, keys: list[str], order: list[str], tolerance: float) -> Column:
     """1 where a value falls below the one before by more than ``tolerance``."""
     return F.when(F.lag(value).over(ordered(keys, order)) - F.col(value) > tolerance, 1).otherwise(0)

@@ -193,6 +193,7 @@ def styled_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT run_id, provider, n, reversals, round(effect, 6) AS effect, round(spearman, 6) AS spearman, effect >= 0.05 AND (reversals = 0 OR (n >= 4 AND spearman + 1e-9 >= 0.9)) AS passed FROM s""", "attempts"))
 def stress_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether defects rise with severity for every run and provider: mean latency as the score that falls."""
-    points = views.attempts(spark, sf_dir).groupBy("run_id", "provider", F.expr("k div 20").alias("severity")).agg((F.avg("latency") / 100).alias("score"))
+    attempts = views.attempts(spark, sf_dir).withColumn("severity", F.expr("k div 20"))
+    points = windows.ordered_mean(attempts, ["run_id", "provider", "severity"], "latency", "event_id", "v").withColumn("score", F.col("v") / 100).drop("v")
     rows = windows.stress_gate(points, ["run_id", "provider"], "severity", "score")
     return rows.withColumns({"effect": F.round("effect", 6), "spearman": F.round("spearman", 6)})

@@ -75,3 +75,18 @@ def test_snap_at_boundaries(spark):
     spans = spark.createDataFrame([(1, 3, 1500, 1900), (1, 1, 500, 900), (2, 0, 5, 6)], "video_id bigint, first bigint, start_ms bigint, end_ms bigint")
     got = {(r["video_id"], r["first"]): (r["snapped_start"], r["snapped_end"]) for r in highlights.snap(spans, words).collect()}
     assert got == {(1, 3): (1000, 1900), (1, 1): (0, 900), (2, 0): (5, 6)}
+
+
+def test_mean_in_order(spark):
+    """Rows of a group lie in several partitions out of order; the sum still goes by id."""
+    rng = random.Random(9)
+    rows = [(i % 40, i, rng.choice([None, round(rng.random() * 500, 2)])) for i in range(1200)] + [(99, 5000, None)]
+    want = {}
+    for k, _, v in rows:
+        total, n = want.get(k, (0.0, 0))
+        want[k] = (total, n) if v is None else (total + v, n + 1)
+    rng.shuffle(rows)
+    got = {r["k"]: r["m"] for r in windows.ordered_mean(spark.createDataFrame(rows, "k int, id bigint, v double").repartition(5), ["k"], "v", "id", "m").collect()}
+    assert got == {k: total / n if n else None for k, (total, n) in want.items()}
+
+
