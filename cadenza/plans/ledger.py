@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.operators import ledger
+from cadenza.operators import ledger, windows
 from cadenza.plans.registry import register
 from cadenza.sources.tables import table
 
@@ -87,6 +87,7 @@ def evicted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as runs: balance as rating, mean order price as caption mark, greatest event value as score."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), (F.col("c_acctbal").cast("double") / 60).alias("rating"))
-    captions = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg((F.avg(F.col("o_totalprice").cast("double")) / 250000).alias("overall"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), "o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
+    captions = windows.ordered_mean(orders, ["run_id"], "price", "o_orderkey", "mean").select("run_id", (F.col("mean") / 250000).alias("overall"))
     scores = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id")).agg((F.max("value") / 40).alias("score"))
     return ledger.metric_snapshot(customers.select("run_id"), customers, captions, scores)
