@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadenza.functions import text as T
-from cadenza.functions.scores import dot, euclidean
 
-#: Rows above which the query side is no longer broadcast.
+#: Query rows of one block: of a broadcast, or of a pair of blocks that meets in a task.
 BROADCAST_ROWS = 10_000
+#: Rows of one block that meets the query blocks, and the least number of such blocks.
+INDEX_ROWS, INDEX_BLOCKS = 8192, 32
+#: Numbers of one piece of a table of scores, which stays in a core's cache.
+_PIECE = 1 << 17
 #: Frames of one block of the pairwise comparison.
 BLOCK_FRAMES = 2048
 
@@ -27,22 +30,106 @@ def broadcast_blocks(rows: DataFrame, keys: list[str]) -> list[DataFrame]:
     return [rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b) for b in range(blocks)]
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int, score=dot, id_col: str = "id", vec: str = "embedding") -> DataFrame:
-    """The ``k`` best index rows of every query by ``score`` (ties by id): query_id, id, score, rank.
+def _meet(index: DataFrame, queries: DataFrame, work: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
+    """Rows that ``work`` gives for each pair of a block of ``index`` and one of ``queries``, both (id, v): a task holds one pair at a time.
 
-    A stated query set meets all index rows. Queries are dealt in blocks of ``BROADCAST_ROWS`` at most, so that what
-    is broadcast at a time is bounded; each block's candidates are cut to ``k`` within each task before the shuffle.
+    Every index row is sent once for each block of ``BROADCAST_ROWS`` queries and every query once for each block of index rows, so that no side is passed whole to a task. The rows
+    of a block come in the order of their ids.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("_q"))
-    out = None
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    for part in broadcast_blocks(q, ["query_id"]):
-        pairs = index.select(F.col(id_col).alias("id"), F.col(vec).alias("_v")).join(F.broadcast(part), F.lit(True))
-        found = pairs.select("query_id", "id", F.round(score(F.col("_q"), F.col("_v")), 6).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = found if out is None else out.unionByName(found)
+    n_index, n_queries = index.count(), queries.count()
+    rows, columns = max(INDEX_BLOCKS, -(-n_index // INDEX_ROWS)), max(1, -(-n_queries // BROADCAST_ROWS))
+    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.select("id", "v", block(rows).alias("own"), every(columns).alias("other")).select((F.col("own") * columns + F.col("other")).alias("pair"), F.lit(False).alias("second"), "id", "v")
+    right = queries.select("id", "v", block(columns).alias("own"), every(rows).alias("other")).select((F.col("other") * columns + F.col("own")).alias("pair"), F.lit(True).alias("second"), "id", "v")
+
+    def both(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cut = int(np.count_nonzero(~table.column("second").to_numpy()))
+        if 0 < cut < len(table):
+            yield from work(table.slice(0, cut), table.slice(cut))
+
+    placed = left.unionByName(right).repartition(min(2 * rows * columns, 4096), "pair").sortWithinPartitions("pair", "second", "id")
+    return placed.mapInArrow(lambda batches: _by_pair(batches, both), kind)
+
+
+def _by_pair(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What ``work`` gives for the rows of each pair of blocks; the first column names the pair, and its rows follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        pair = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)] if len(pair) else []
+        for low, high in itertools.pairwise(edges):
+            if held and held[-1].column(0)[0] != batch.column(0)[low]:
+                yield from work(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield from work(pa.Table.from_batches(held))
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    """Vectors of equal length as rows of doubles; a missing vector or number is NaN."""
+    lists = table.column("v").combine_chunks()
+    known = lists.is_valid().to_numpy(zero_copy_only=False)
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    width = int(size.max(initial=0)) if known.any() else 1
+    if (size[known] != width).any():
+        raise ValueError("vectors of different lengths")
+    out = np.full((len(lists), width), np.nan)
+    out[known] = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(known.sum()), width)
     return out
 
 
+def _pieces(q: np.ndarray, v: np.ndarray, differ: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Inner products, or squared distances if ``differ``, of the rows of ``q`` with all of ``v``, some rows at a time: first row, scores.
+
+    Terms are added number by number, as a loop over the vectors does, so that sums agree with it to the last bit.
+    """
+    known = ~np.isnan(q).all(axis=1), ~np.isnan(v).all(axis=1)
+    if q.shape[1] != v.shape[1] and q.shape[1] and v.shape[1] and known[0].any() and known[1].any():
+        raise ValueError("vectors of different lengths")
+    columns, step = np.ascontiguousarray(v.T), max(1, _PIECE // max(1, len(v)))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        total, term = np.zeros((len(part), len(v))), np.empty((len(part), len(v)))
+        for x, y in zip(part.T, columns):
+            if differ:
+                np.subtract(x[:, None], y, out=term)
+                np.multiply(term, term, out=term)
+            else:
+                np.multiply(x[:, None], y, out=term)
+            total += term
+        yield at, total
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec: str = "embedding") -> DataFrame:
+    """The ``k`` best index rows of every query by inner product, rounded to six decimals (ties by id): query_id, id, score, rank.
+
+    A stated query set meets all index rows, block by block; a pair of blocks gives ``k`` rows a query at most. Missing vectors score null and come last.
+    """
+    base = index.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
+
+    def best(rows: pa.Table, wanted: pa.Table) -> Iterator[pa.RecordBatch]:
+        v, ids, names = _matrix(rows), rows.column("id").combine_chunks(), wanted.column("id").combine_chunks()
+        for at, raw in _pieces(_matrix(wanted), v, differ=False):
+            score = np.where(np.isnan(raw), -np.inf, np.copysign(np.floor(np.abs(raw) * 1e6 + 0.5), raw) / 1e6 + 0.0)
+            least = min(k, len(v))
+            bound = -np.partition(-score, least - 1, axis=1)[:, least - 1 : least]
+            above, equal = score > bound, score == bound
+            # Of equals the first, as rows lie in the order of their ids.
+            q, i = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= least - above.sum(axis=1, keepdims=True))))
+            found = score[q, i]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q + at)), ids.take(pa.array(i)), pa.array(found, mask=np.isneginf(found))], names=["query_id", "id", "score"])
+
+    name, own = asked.schema["id"].dataType.simpleString(), base.schema["id"].dataType.simpleString()
+    if name != own:
+        raise ValueError("ids of queries and index differ in type")
+    found = _meet(base, asked, best, f"query_id {name}, id {own}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def hash_embedding(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
     """Sparse hashed bag of words: key, bucket, value; each document's values have length one."""
     tokens = docs.select(key, F.explode(T.words(F.lower(F.col(text)))).alias("token"))
@@ -64,21 +151,8 @@ def video_similarity(frames: DataFrame) -> DataFrame:
     dealt = frames.select("video_id", vector.alias("v"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     placed = dealt.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("pair"), (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("mixed"), "video_id", "v")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            pair = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)] if len(pair) else []
-            for low, high in itertools.pairwise(edges):
-                if held and held[-1].column(0)[0] != batch.column(0)[low]:
-                    yield from _greatest(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(low, high - low))
-        if held:
-            yield from _greatest(pa.Table.from_batches(held))
-
     kind = f"a {frames.schema['video_id'].dataType.simpleString()}, b {frames.schema['video_id'].dataType.simpleString()}, similarity double"
-    met = placed.repartition("pair").sortWithinPartitions("pair", "second", "video_id").mapInArrow(run, kind)
+    met = placed.repartition("pair").sortWithinPartitions("pair", "second", "video_id").mapInArrow(lambda batches: _by_pair(batches, _greatest), kind)
     return met.groupBy("a", "b").agg(F.round(F.max("similarity"), 6).alias("similarity"))
 
 
@@ -113,14 +187,20 @@ def diversity(similarity: DataFrame, duplicate: float = 0.95) -> DataFrame:
 def novelty(rows: DataFrame, labelled: DataFrame, id_col: str = "id", vec: str = "embedding") -> DataFrame:
     """Smallest euclidean distance of each row to a labelled set: id, distance. Without a labelled row there is no result.
 
-    The set meets the rows in blocks of ``BROADCAST_ROWS`` at most, and each task keeps one number for each of its rows and blocks.
+    The set meets the rows block by block; a pair of blocks gives one number for each of its rows. A row without a vector has no distance, a labelled one without counts for none.
     """
-    base = rows.select(F.col(id_col).alias("id"), F.col(vec).alias("_v"))
-    out = None
-    for part in broadcast_blocks(labelled.select(F.col(vec).alias("_k")), ["_k"]):
-        least = base.join(F.broadcast(part), F.lit(True)).groupBy("id").agg(F.min(euclidean(F.col("_v"), F.col("_k"))).alias("d"))
-        out = least if out is None else out.unionByName(least)
-    return out.groupBy("id").agg(F.round(F.min("d"), 6).alias("distance"))
+    base = rows.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
+    known = labelled.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
+
+    def least(rows: pa.Table, near: pa.Table) -> Iterator[pa.RecordBatch]:
+        v = _matrix(rows)
+        best = np.full(len(v), np.inf)
+        for _, squares in _pieces(_matrix(near), v, differ=True):
+            np.fmin(best, np.fmin.reduce(squares, axis=0), out=best)
+        yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks(), pa.array(np.sqrt(best), mask=np.isinf(best))], names=["id", "d"])
+
+    met = _meet(base, known, least, f"id {base.schema['id'].dataType.simpleString()}, d double")
+    return met.groupBy("id").agg(F.round(F.min("d"), 6).alias("distance"))
 
 
 def active_order(novel: DataFrame, uncertain: DataFrame) -> DataFrame:

@@ -90,3 +90,24 @@ def test_mean_in_order(spark):
     assert got == {k: total / n if n else None for k, (total, n) in want.items()}
 
 
+
+
+@pytest.mark.parametrize("rows, queries", [(7, 4), (8192, 10_000)])
+def test_top_k_and_novelty_read_rows_once(spark, rows, queries, monkeypatch):
+    """Equal scores go by id, missing vectors come last, and annotation order computes the distances once."""
+    monkeypatch.setattr(retrieval, "INDEX_ROWS", rows)
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", queries)
+    rng = np.random.default_rng(5)
+    held = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(80)] + [(i, None) for i in range(80, 84)]
+    ids = spark.createDataFrame(held, "id bigint, embedding array<float>")
+    got = retrieval.top_k(ids, ids.where("id % 10 = 0"), 82).collect()
+    for q, v in held[::10]:
+        score = lambda u: None if u is None or v is None else float(np.dot(u, v))
+        want = sorted(((i, score(u)) for i, u in held), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:82]
+        assert sorted((r["rank"], r["id"], r["score"]) for r in got if r["query_id"] == q) == [(n + 1, i, s) for n, (i, s) in enumerate(want)]
+    near = {r["id"]: r["distance"] for r in retrieval.novelty(ids, ids.where("id % 40 = 0")).collect()}
+    assert len(near) == 84 and near[0] == near[40] == 0 and near[82] is None
+    assert retrieval.novelty(ids, ids.where("false")).count() == 0 and retrieval.top_k(ids, ids.where("false"), 3).count() == 0
+    plan = lambda df: df._jdf.queryExecution().toString()
+    novel = retrieval.novelty(ids, ids.where("id % 40 = 0"))
+    assert "NestedLoop" not in plan(novel) + plan(retrieval.top_k(ids, ids, 3)) and "MapInArrow" in plan(novel)
