@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadenza.functions import text as T
+from cadenza.sources.shared import written
 
 #: Query rows of one block: of a broadcast, or of a pair of blocks that meets in a task.
 BROADCAST_ROWS = 10_000
@@ -207,8 +208,10 @@ def active_order(novel: DataFrame, uncertain: DataFrame) -> DataFrame:
     """Rows for annotation, the most wanted first: id, quality_uncertainty, diversity, priority, place.
 
     ``novel``: id, distance (to the labelled set); ``uncertain``: id, uncertainty from 0 to 1. Priority is 0.7 uncertainty and 0.3 diversity, the distance over the greatest
-    one (0 if all are 0). Rows without an uncertainty count as certain. Places come from bands of the priority, so no task sorts all rows.
+    one (0 if all are 0). Rows without an uncertainty count as certain. Places come from bands of the priority, so no task sorts all rows. The distances are written
+    once, as their maximum, the sizes of the bands and the rows each read them.
     """
+    novel = written(novel.select("id", "distance"), "novel")
     top = novel.agg(F.max("distance").alias("_top"))
     rows = novel.join(uncertain.groupBy("id").agg(F.max("uncertainty").alias("u")), "id", "left").join(F.broadcast(top), F.lit(True))
     spread = F.when(F.col("_top") > 0, F.col("distance") / F.col("_top")).otherwise(0.0)

@@ -111,3 +111,4 @@ def test_top_k_and_novelty_read_rows_once(spark, rows, queries, monkeypatch):
     plan = lambda df: df._jdf.queryExecution().toString()
     novel = retrieval.novelty(ids, ids.where("id % 40 = 0"))
     assert "NestedLoop" not in plan(novel) + plan(retrieval.top_k(ids, ids, 3)) and "MapInArrow" in plan(novel)
+    assert "MapInArrow" not in plan(retrieval.active_order(novel, ids.select("id", F.lit(0.5).alias("uncertainty"))))
