@@ -126,18 +126,23 @@ def active_word_events(start_ms: Column, end_ms: Column, text: Column, words: Co
 
     # The line of every word that is shown.
     lines = F.aggregate(words, state(F.array().cast("array<int>"), F.lit(0), F.lit(False)), place, lambda acc: acc["lines"])
-    shown = F.slice(words, F.lit(1), F.size(lines))
     tag = lambda colour: f"{{\\c{colour}\\3c{style.outline_colour}\\bord{style.edge}\\1a&H00&}}"
+    # Once for a caption, not again for every word of every event: a lambda's argument is a value.
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def frame(word: Column, i: Column) -> Column:
-        def part(other: Column, k: Column) -> Column:
-            between = F.when(k == 0, "").when(F.get(lines, k) != F.get(lines, k - 1), "\\N").otherwise("\\h")
-            colour = F.when(k == i, tag(style.primary)).otherwise(tag(style.secondary))
-            return F.concat(between, colour, F.replace(escaped(other["text"]), F.lit(" "), F.lit("\\h")), F.lit("{\\r}"))
+    def parts(lines: Column) -> Column:
+        between = lambda k: F.when(k == 0, "").when(F.get(lines, k) != F.get(lines, k - 1), "\\N").otherwise("\\h")
+        text = lambda w: F.replace(escaped(w["text"]), F.lit(" "), F.lit("\\h"))
+        return F.transform(F.slice(words, F.lit(1), F.size(lines)), lambda w, k: F.struct(w["start_ms"].alias("at"), between(k).alias("before"), text(w).alias("text")))
 
-        start = F.greatest(start_ms, word["start_ms"])
-        end = F.greatest(start + 1, F.coalesce(F.get(shown, i + 1)["start_ms"], end_ms))
-        return dialogue(start, end, F.array_join(F.transform(shown, part), ""), style)
+    def frames(shown: Column) -> Column:
+        def frame(word: Column, i: Column) -> Column:
+            part = lambda other, k: F.concat(other["before"], F.when(k == i, tag(style.primary)).otherwise(tag(style.secondary)), other["text"], F.lit("{\\r}"))
+            start = F.greatest(start_ms, word["at"])
+            end = F.greatest(start + 1, F.coalesce(F.get(shown, i + 1)["at"], end_ms))
+            return dialogue(start, end, F.array_join(F.transform(shown, part), ""), style)
 
-    lit = F.transform(shown, frame)
+        return F.transform(shown, frame)
+
+    lit = bound(lines, lambda placed: bound(parts(placed), frames))
     return F.when(F.coalesce(F.size(words), F.lit(0)) > 0, lit).otherwise(F.array(dialogue(start_ms, end_ms, escaped(F.coalesce(text, F.lit(""))), style)))

@@ -83,3 +83,11 @@ def test_events_by_loop(spark):
 def test_header():
     head = S.Style(size=500, left=0, shadow=-3).header()
     assert head[0] == "[Script Info]" and head[-1].startswith("Format: Layer") and ",72,&H00FFFFFF," in head[7] and head[7].endswith(",1,4,0,2,96,96,380,1")
+
+
+def test_lines_are_placed_once_a_caption(spark):
+    """Lines and texts of a caption's words are values, not expressions that every word of every event works out again."""
+    words = spark.sql("SELECT 1 AS id, array(named_struct('text', 'one', 'start_ms', 0L, 'end_ms', 5L), named_struct('text', 'two', 'start_ms', 5L, 'end_ms', 9L)) AS w")
+    events = words.select(S.active_word_events(F.lit(0), F.lit(9), F.lit(""), F.col("w"), S.Style(chars=21)).alias("e"))
+    assert events._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    assert [e.count("&H00FFFFFF") for e in events.first()["e"]] == [1, 1]
