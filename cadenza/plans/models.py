@@ -10,6 +10,7 @@ from cadenza.plans import analytics
 from cadenza.plans.analytics import _VECTOR_SQL
 from cadenza.plans.registry import register
 from cadenza.plans.views import with_views
+from cadenza.sources.shared import written
 from cadenza.sources.tables import table
 
 
@@ -31,7 +32,8 @@ def _script_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge regression of labelled quality on script features, folds by source; predictions of the labelled documents."""
     rows, names = _script_features(spark, sf_dir), ["n_scenes", "n_words", "seconds", "score"]
-    rows = rows.withColumns({n: F.col(n).cast("double") for n in names})
+    # Every fold, strength and pass of the fit reads these again; the texts are read once.
+    rows = written(rows.select("doc_id", "source", "label", *[F.col(n).cast("double").alias(n) for n in names]), "features")
     return learning.score_quality(learning.quality_regressor(rows, names, "label", "source"), rows, names).select("doc_id", "label", "predicted")
 
 

@@ -91,3 +91,10 @@ def test_lines_are_placed_once_a_caption(spark):
     events = words.select(S.active_word_events(F.lit(0), F.lit(9), F.lit(""), F.col("w"), S.Style(chars=21)).alias("e"))
     assert events._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
     assert [e.count("&H00FFFFFF") for e in events.first()["e"]] == [1, 1]
+
+
+def test_features_are_written_before_the_fit(spark):
+    from cadenza.plans import registry
+
+    files = registry.queries()["quality_model"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/features-" in f for f in files)
