@@ -73,16 +73,28 @@ def block_scan(rows: DataFrame, keys: list[str], order: list[str], columns: list
     return ready.mapInArrow(run("pieces"), f"{key_ddl}, _piece int, {pieces}")
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Least insertions, deletions and replacements from ``a`` to ``b``: a column of the distance table is two whole numbers, whose bits say where it rises and falls."""
+    if not a or not b:
+        return max(len(a), len(b))
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = every, 0, len(a)
+    for y in b:
+        same = places.get(y, 0)
+        level = ((same & up) + up ^ up) | same
+        rise, fall = down | every & ~(level | up), up & level
+        distance += (rise & top > 0) - (fall & top > 0)
+        rise, fall = rise << 1 | 1, fall << 1
+        up, down = (fall | ~(same | down | rise)) & every, rise & (same | down) & every
+    return distance
+
+
 def edit_similarity(a: str, b: str) -> float:
-    """1 - edit distance / longer length; rows of the distance table as they are needed."""
-    if a == b:
-        return 1.0
-    row = range(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        last, row = row, [i]
-        for j, y in enumerate(b, 1):
-            row.append(last[j - 1] if x == y else 1 + min(last[j], row[-1], last[j - 1]))
-    return 1 - row[len(b)] / max(len(a), len(b))
+    """1 - edit distance / longer length."""
+    return 1.0 if a == b else 1 - edit_distance(a, b) / max(len(a), len(b))
 
 
 def same_shown_text(a: str, b: str, least: float = 0.9) -> bool:

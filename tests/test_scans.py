@@ -72,3 +72,17 @@ def test_similar_captions(spark):
     pairs = [("a b c d e", "a b c d x"), ("abc", "abd"), ("", ""), ("", "a"), ("hello world", "hello wor1d"), ("completely", "different"), ("The End", "the  end")]
     rows = spark.createDataFrame(pairs, "a string, b string").select(F.col("a"), F.col("b"), scans.similar_shown(F.col("a"), F.col("b")).alias("s")).collect()
     assert [r["s"] for r in rows] == [similar_captions(a, b) for a, b in pairs]
+
+
+def test_edit_distance():
+    """Bits against the table, row by row."""
+    rng = random.Random(8)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcé ") for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 130]))) for _ in range(2))
+        row = [*range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        assert scans.edit_distance(a, b) == row[-1]
+        assert scans.edit_similarity(a, b) == (1.0 if a == b else 1 - row[-1] / max(len(a), len(b)))
