@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 from cadenza.functions import text as T
 from cadenza.sources.tables import table
 
+#: Turns of conversation that one partition of words holds, about; a video stays in one.
+PART_TURNS = 1000
+
 VIEW_SQL = {
     "tokens": """
         SELECT conv_id AS video_id, turn AS scene_id, CAST(p AS BIGINT) - 1 AS pos, w AS word,
@@ -88,9 +91,14 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timed words: each scene lasts by its word count, words share it by weight; some overlap the one before."""
+    """Timed words: each scene lasts by its word count, words share it by weight; some overlap the one before.
+
+    Whatever is worked out for a video follows in the same tasks, with many times the rows, so the number of partitions grows with the turns: sizes
+    of the shuffle, by which Spark would merge partitions, do not show what a task comes to hold.
+    """
     scene = Window.partitionBy("video_id", "scene_id")
-    rows = tokens(spark, sf_dir).repartition("video_id")
+    parts = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "conversations").count() // PART_TURNS))
+    rows = tokens(spark, sf_dir).repartition(parts, "video_id")
     before = F.coalesce(F.sum("weight").over(scene.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumns({
         "before": before, "total": F.sum("weight").over(scene), "n": F.count("*").over(scene),
