@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.captions import SPOKEN
+from cadenza.operators.scans import edit_distance
 from cadenza.operators.sequences import by_group, common_subsequence
 
 LOOKAHEAD_COMPOUND = 3
@@ -28,27 +30,49 @@ def _spoken(word: str) -> str:
     return word
 
 
+@lru_cache(maxsize=1 << 16)
+def _forms(word: str) -> tuple[str, str]:
+    """A word's letters and digits as written and as spoken."""
+    plain = _plain(word)
+    return plain, _spoken(plain)
+
+
 def _edit_similarity(a: str, b: str) -> float:
-    if not a or not b:
-        return float(a == b)
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return 1 - row[-1] / max(len(a), len(b))
+    return 1 - edit_distance(a, b) / max(len(a), len(b)) if a and b else float(a == b)
+
+
+def _most_alike(a: str, b: str) -> float:
+    """What the lengths alone let two words reach."""
+    return min(len(a), len(b)) / max(len(a), len(b)) if a and b else float(a == b)
+
+
+@lru_cache(maxsize=1 << 18)
+def _alike(a: tuple[str, str], b: tuple[str, str]) -> float:
+    return max(_edit_similarity(x, y) for x, y in zip(a, b))
 
 
 def word_similarity(a: str, b: str) -> float:
     """Edit similarity as written or as spoken, whichever is greater."""
-    a, b = _plain(a), _plain(b)
-    return max(_edit_similarity(a, b), _edit_similarity(_spoken(a), _spoken(b)))
+    return _alike(_forms(a), _forms(b))
+
+
+def _best_ahead(word: tuple[str, str], script: list[tuple[str, str]], at: int) -> tuple[float, int]:
+    """Greatest similarity of ``LEAST`` or more among the next script words, and the first place that has it; 0 if there is none."""
+    best, place = 0.0, 0
+    for k in range(at, min(at + LOOKAHEAD_SCRIPT, len(script))):
+        # The slack keeps a bound that rounds otherwise than the similarity from hiding it.
+        bound = max(_most_alike(x, y) for x, y in zip(word, script[k])) + 1e-9
+        if bound > best and bound >= LEAST and (found := _alike(word, script[k])) > best:
+            best, place = found, k
+            if best == 1.0:
+                break
+    return best, place
 
 
 def _reconciled(heard: list[dict], script: list[str]) -> list[tuple[str, int, int]]:
     """Heard words in the script's spelling, in order: several heard words may be one script word, near script words may be skipped."""
     out: list[tuple[str, int, int]] = []
+    said, written = [_forms(w["word"]) for w in heard], [_forms(w) for w in script]
     at = i = 0
     while i < len(heard):
         here = heard[i]
@@ -56,19 +80,17 @@ def _reconciled(heard: list[dict], script: list[str]) -> list[tuple[str, int, in
         if at < len(script):
             for n in range(LOOKAHEAD_COMPOUND, 1, -1):
                 part = heard[i : i + n]
-                if len(part) == n and "".join(_plain(w["word"]) for w in part) == _plain(script[at]):
+                if len(part) == n and "".join(w for w, _ in said[i : i + n]) == written[at][0]:
                     joined = part
                     break
         if joined:
             out.append((script[at], joined[0]["start_ms"], joined[-1]["end_ms"]))
             at, i = at + 1, i + len(joined)
             continue
-        window = range(at, min(at + LOOKAHEAD_SCRIPT, len(script)))
-        scored = [(word_similarity(here["word"], script[k]), -k) for k in window]
-        best, place = max(scored, default=(0.0, 0))
+        best, place = _best_ahead(said[i], written, at)
         if best >= LEAST:
-            at = -place + 1
-            out.append((script[-place], here["start_ms"], here["end_ms"]))
+            at = place + 1
+            out.append((script[place], here["start_ms"], here["end_ms"]))
         else:
             out.append((here["word"], here["start_ms"], here["end_ms"]))
         i += 1
