@@ -8,10 +8,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cadenza.operators.scans import edit_distance
 from cadenza.operators.subsequence import common_subsequence
 
 _SENTENCE = re.compile(r"[.!?][\"')]*$")
@@ -249,32 +251,25 @@ def suppress(candidates: DataFrame, gap_ms: int = 3000, most: int = 5) -> DataFr
     return by_group(candidates, ["video_id"], ["start_ms"], schema, choose)
 
 
-def _distance_within(a: str, b: str, limit: int) -> int:
-    """Edit distance, or ``limit`` + 1 as soon as it must be larger."""
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        if min(new) > limit:
-            return limit + 1
-        row = new
-    return row[-1]
+@lru_cache(maxsize=1 << 14)
+def _caption_words(text: str) -> tuple[str, ...]:
+    return tuple(re.findall(r"[a-z0-9']+", text.lower()))
 
 
 def similar_captions(a: str, b: str) -> bool:
     """Equal, sharing 0.8 of their words, two edits apart, or six at 0.88 similarity."""
-    a, b = (" ".join(re.findall(r"[a-z0-9']+", t.lower())) for t in (a, b))
-    if a == b:
+    x, y = _caption_words(a), _caption_words(b)
+    if x == y:
         return True
-    if not a or not b:
+    if not x or not y:
         return False
-    x, y = a.split(), b.split()
-    if sum(w in set(y) for w in x) / max(len(x), len(y)) >= 0.8:
+    others = set(y)
+    if sum(w in others for w in x) / max(len(x), len(y)) >= 0.8:
         return True
-    d = _distance_within(a, b, 6)
+    a, b = " ".join(x), " ".join(y)
+    if abs(len(a) - len(b)) > 6:
+        return False
+    d = edit_distance(a, b)
     return d <= 2 or (d <= 6 and 1 - d / max(len(a), len(b)) >= 0.88)
 
 

@@ -24,3 +24,12 @@ def test_best_script_word_ahead(monkeypatch):
     monkeypatch.setattr(reconcile, "_alike", lambda a, b: tried.append(b) or float(a == b))
     assert reconcile._best_ahead(reconcile._forms("same"), [reconcile._forms(w) for w in ("same", "some", "sane")], 0) == (1.0, 0)
     assert len(tried) == 1
+
+
+def test_captions_of_unlike_length_are_not_compared(monkeypatch):
+    compared = []
+    monkeypatch.setattr(sequences, "edit_distance", lambda a, b: compared.append(a) or 3)
+    assert not sequences.similar_captions("one two three four", "one two and very many others")
+    assert not compared
+    assert sequences.similar_captions("one twooo three four five six", "one two three fourr fivee six")
+    assert len(compared) == 1
