@@ -42,7 +42,10 @@ def shown_token(text: Column) -> Column:
 
 def _counts(text: Column) -> tuple[Column, Column, Column]:
     """Characters that are no blanks, and the shares of letters and digits and of signs that texts seldom have."""
-    compact = F.regexp_replace(text, "\\s+", "")
+    return _of_compact(F.regexp_replace(text, "\\s+", ""))
+
+
+def _of_compact(compact: Column) -> tuple[Column, Column, Column]:
     n = F.length(compact)
     return n, F.length(F.regexp_replace(compact, "[^a-zA-Z0-9]", "")) / F.greatest(n, F.lit(1)), F.length(F.regexp_replace(compact, r"[a-zA-Z0-9.,!?'\"\\:-]", "")) / F.greatest(n, F.lit(1))
 
@@ -52,12 +55,14 @@ def kept_words(words: DataFrame) -> DataFrame:
 
     A word without a known confidence is doubted only if it is two to four capitals. All columns pass through; null texts go.
     """
-    rows = words.withColumn("_t", shown_token(F.col("text")))
-    n, plain, odd = _counts(F.col("_t"))
+    # As rows of their own, the cleaned word and its characters are made once; a filter would take their expressions in, once for every use.
+    rows = words.withColumn("_t", F.explode(F.array(shown_token(F.col("text"))))).withColumn("_c", F.explode(F.array(F.regexp_replace("_t", "\\s+", ""))))
+    n, plain, odd = _of_compact(F.col("_c"))
     unsure = F.coalesce(F.col("confidence"), F.lit(0.0))
     counter = F.col("_t").rlike(r"^\d{1,4}\+?$") | F.col("_t").rlike(r"(?i)^[a-z]?\)\d{1,4}\+?$")
-    keep = (n >= 2) & (plain >= 0.4) & (odd <= 0.35) & F.col("_t").rlike("[a-zA-Z0-9]") & ~counter & ~(F.col("_t").rlike("^[A-Z]{2,4}$") & (unsure < 0.8)) & ~F.coalesce(F.col("confidence") < 0.25, F.lit(False))
-    return rows.where(keep).withColumn("text", F.col("_t")).drop("_t")
+    sure = ~F.coalesce(F.col("confidence") < 0.25, F.lit(False))
+    keep = sure & (n >= 2) & (plain >= 0.4) & (odd <= 0.35) & F.col("_t").rlike("[a-zA-Z0-9]") & ~counter & ~(F.col("_t").rlike("^[A-Z]{2,4}$") & (unsure < 0.8))
+    return rows.where(keep).withColumn("text", F.col("_t")).drop("_t", "_c")
 
 
 def is_worth_showing(kind: Column, text: Column, words: Column, area: Column, quality: Column) -> Column:

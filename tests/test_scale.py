@@ -33,3 +33,10 @@ def test_captions_of_unlike_length_are_not_compared(monkeypatch):
     assert not compared
     assert sequences.similar_captions("one twooo three four five six", "one two three fourr fivee six")
     assert len(compared) == 1
+
+
+def test_kept_words_are_cleaned_once(spark):
+    rows = spark.createDataFrame([("(word)", 0.9), ("12", 0.9), (None, None), ("ABC", 0.5), ("so-so.", None)], "text string, confidence double")
+    kept = screening.kept_words(rows)
+    assert _plan(kept).count("regexp_replace") <= 6
+    assert sorted(r["text"] for r in kept.collect()) == ["so-so.", "word"]
