@@ -14,6 +14,8 @@ from cadenza.operators import joins
 PAD_MS = 500
 #: Width of the time buckets of the joins.
 BUCKET_MS = 10_000
+#: Width where one side is whole blocks, which are sent once for each bucket they touch.
+BLOCK_BUCKET_MS = 60_000
 # Limits of a sync report, with the defect that each one reports and whether it only warns.
 LIMITS = {
     "min_coverage": 0.35, "min_quality": 0.55, "min_confidence": 0.45, "min_match_ratio": 0.65, "min_duration_ratio": 0.55, "max_median_drift_ms": 350, "max_p95_drift_ms": 900,
@@ -175,13 +177,11 @@ def supported_overlays(overlays: DataFrame, speech: DataFrame) -> DataFrame:
 def repeated_overlays(overlays: DataFrame, blocks: DataFrame) -> DataFrame:
     """``overlays`` that repeat an inserted block (video_id, text, start_ms, end_ms): some block at the same time holds half their words or more.
 
-    An inverted index in time buckets: words meet words of the same video and bucket, so a pair without a common word is never made.
+    Overlays and blocks meet in time buckets, each block with its different words, so that no word is dealt on its own; only pairs of one time are compared.
     """
-    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BUCKET_MS), F.floor(F.greatest(F.col(a), F.col(b)) / BUCKET_MS)))
     o = overlays.select("video_id", "overlay_id", F.col("start_ms").alias("_o0"), F.col("end_ms").alias("_o1"), overlay_tokens(F.col("text")).alias("_words")).where("size(_words) > 0")
-    o = o.withColumns({"_n": F.size("_words"), "_w": F.explode("_words")}).groupBy("video_id", "overlay_id", "_o0", "_o1", "_n", "_w").agg(F.count("*").alias("_times"))
-    b = blocks.select("video_id", "block_id", F.col("start_ms").alias("_b0"), F.col("end_ms").alias("_b1"), F.explode(F.array_distinct(overlay_tokens(F.col("text")))).alias("_w"))
-    o, b = o.withColumn("_k", bucket("_o0", "_o1")), b.withColumn("_k", bucket("_b0", "_b1"))
-    met = o.join(b, ["video_id", "_k", "_w"]).where((F.col("_o0") < F.col("_b1")) & (F.col("_b0") < F.col("_o1")) & (F.floor(F.greatest("_o0", "_b0") / BUCKET_MS) == F.col("_k")))
-    held = met.groupBy("video_id", "overlay_id", "_n", "block_id").agg(F.sum("_times").alias("_hits")).where("_hits / _n >= 0.5")
-    return overlays.join(held.select("video_id", "overlay_id").distinct(), ["video_id", "overlay_id"], "left_semi")
+    b = blocks.select("video_id", F.col("start_ms").alias("_b0"), F.col("end_ms").alias("_b1"), F.array_distinct(overlay_tokens(F.col("text"))).alias("_said")).where("size(_said) > 0")
+    met = joins.overlapping(o, b, ["video_id"], ("_o0", "_o1"), ("_b0", "_b1"), BLOCK_BUCKET_MS)
+    hits = F.size(F.filter("_words", lambda w: F.array_contains("_said", w)))
+    held = met.where(hits / F.size("_words") >= 0.5).select("video_id", "overlay_id").distinct()
+    return overlays.join(held, ["video_id", "overlay_id"], "left_semi")

@@ -40,3 +40,16 @@ def test_kept_words_are_cleaned_once(spark):
     kept = screening.kept_words(rows)
     assert _plan(kept).count("regexp_replace") <= 6
     assert sorted(r["text"] for r in kept.collect()) == ["so-so.", "word"]
+
+
+def test_repeated_overlays_deal_no_words(spark):
+    rng = random.Random(4)
+    some = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "it", "'tis"]) + str(rng.randint(0, 2)) for _ in range(n))
+    overlays = [(v, i, some(rng.randint(0, 4)), at := rng.randint(0, 400_000), at + rng.randint(0, 3000)) for v in (1, 2) for i in range(150)]
+    blocks = [(v, i, some(6), at := rng.randint(0, 400_000), at + rng.choice([500, 20_000, 200_000])) for v in (1, 2) for i in range(12)]
+    kind = "video_id bigint, {} bigint, text string, start_ms bigint, end_ms bigint"
+    got = caption_sync.repeated_overlays(spark.createDataFrame(overlays, kind.format("overlay_id")), spark.createDataFrame(blocks, kind.format("block_id")))
+    cut = lambda t: [w for w in (re.sub("^'+|'+$", "", w) for w in re.split("[^a-z0-9']+", t.lower())) if len(w) >= 3]
+    want = {(v, i) for v, i, t, a, b in overlays if cut(t) and any(v == x and a < d and c < b and 2 * sum(w in cut(s) for w in cut(t)) >= len(cut(t)) for x, _, s, c, d in blocks)}
+    assert {(r["video_id"], r["overlay_id"]) for r in got.collect()} == want and want
+    assert _plan(got).count("Generate ") == 2
