@@ -42,6 +42,15 @@ def test_kept_words_are_cleaned_once(spark):
     assert sorted(r["text"] for r in kept.collect()) == ["so-so.", "word"]
 
 
+def test_captions_are_cut_into_words_once(spark):
+    kind = "video_id bigint, {} bigint, text string, start_ms bigint, end_ms bigint"
+    e = spark.createDataFrame([(1, 0, "the the dog runs home", 0, 1000)], kind.format("expected_id"))
+    o = spark.createDataFrame([(1, 0, "the dog the home", 100, 900)], kind.format("observed_id"))
+    got = caption_sync.match_captions(e, o)
+    assert len(re.findall(r"\bsplit\(", _plan(got))) <= 2
+    assert round(got.first()["similarity"], 6) == round(2 * 0.8 / 1.8, 6)
+
+
 def test_repeated_overlays_deal_no_words(spark):
     rng = random.Random(4)
     some = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "it", "'tis"]) + str(rng.randint(0, 2)) for _ in range(n))
