@@ -15,14 +15,16 @@ from pyspark.sql.window import Window
 from cadenza.functions import text as T
 from cadenza.sources.shared import written
 
-#: Query rows of one block: of a broadcast, or of a pair of blocks that meets in a task.
+#: Query rows of one block, which meets the blocks of the index in a task each.
 BROADCAST_ROWS = 10_000
 #: Rows of one block that meets the query blocks, and the least number of such blocks.
 INDEX_ROWS, INDEX_BLOCKS = 8192, 32
 #: Numbers of one piece of a table of scores, which stays in a core's cache.
 _PIECE = 1 << 17
-#: Frames of one block of the pairwise comparison.
-BLOCK_FRAMES = 2048
+#: Frames of one block of the pairwise comparison: few while that gives no more than ``SMALL_BLOCKS`` blocks, many beyond, as every frame is sent once for each block.
+BLOCK_FRAMES, SMALL_BLOCKS, MOST_FRAMES = 2048, 8, 16_384
+#: Numbers of one piece of a product of two blocks.
+_PRODUCT = 1 << 22
 
 
 def broadcast_blocks(rows: DataFrame, keys: list[str]) -> list[DataFrame]:
@@ -142,25 +144,28 @@ def hash_embedding(docs: DataFrame, text: str, key: str, size: int) -> DataFrame
 def video_similarity(frames: DataFrame) -> DataFrame:
     """(a, b, similarity): greatest cosine between frames of two videos, a < b. All pairs of videos are the result itself.
 
-    Frames are dealt in blocks of about ``BLOCK_FRAMES``, whatever their video; each pair of blocks meets in one task, which multiplies unit
+    Frames are dealt in blocks of ``BLOCK_FRAMES`` to ``MOST_FRAMES``, whatever their video; each pair of blocks meets in one task, which multiplies unit
     vectors and keeps one number for each pair of videos, and the greatest of these is taken over the pairs of blocks. A task holds two blocks, however long a video is.
     """
-    blocks = max(1, math.ceil(frames.count() / BLOCK_FRAMES))
-    vector = F.col("embedding").cast("array<double>")
+    n = frames.count()
+    blocks = max(1, math.ceil(n / MOST_FRAMES), min(SMALL_BLOCKS, math.ceil(n / BLOCK_FRAMES)))
+    # As stored: doubles are made in the task.
+    vector = F.col("embedding")
     # By content, so that the frames of one video spread over all blocks.
     own = F.pmod(F.xxhash64("video_id", vector), F.lit(blocks)).cast("int")
     dealt = frames.select("video_id", vector.alias("v"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     placed = dealt.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("pair"), (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("mixed"), "video_id", "v")
 
     kind = f"a {frames.schema['video_id'].dataType.simpleString()}, b {frames.schema['video_id'].dataType.simpleString()}, similarity double"
-    met = placed.repartition("pair").sortWithinPartitions("pair", "second", "video_id").mapInArrow(lambda batches: _by_pair(batches, _greatest), kind)
+    dealt = placed.repartition(min(blocks * (blocks + 1), 4096), "pair").sortWithinPartitions("pair", "second", "video_id")
+    met = dealt.mapInArrow(lambda batches: _by_pair(batches, _greatest), kind)
     return met.groupBy("a", "b").agg(F.round(F.max("similarity"), 6).alias("similarity"))
 
 
 def _greatest(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Greatest cosine of each two videos between the two blocks of a pair, or within the one block; rows are sorted by block and video."""
     lists = table.column("v").combine_chunks()
-    v = lists.flatten().to_numpy().reshape(len(lists), -1)
+    v = lists.flatten().to_numpy().astype(np.float64).reshape(len(lists), -1)
     size = np.linalg.norm(v, axis=1, keepdims=True)
     v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
     ids = table.column("video_id").combine_chunks().to_numpy(zero_copy_only=False)
@@ -170,8 +175,13 @@ def _greatest(table: pa.Table) -> Iterator[pa.RecordBatch]:
     own, start = np.unique(ids[left], return_index=True)
     if not len(names) or not len(own):
         return
+    others_of_block = v[right]
+    step = max(1, _PRODUCT // len(others_of_block))
     for name, low, high in zip(own, start, np.append(start[1:], left.stop - left.start)):
-        best = np.maximum.reduceat((v[left][low:high] @ v[right].T).max(axis=0), first)
+        most = np.full(len(others_of_block), -np.inf)
+        for at in range(low, high, step):
+            np.maximum(most, (v[left][at : min(at + step, high)] @ others_of_block.T).max(axis=0), out=most)
+        best = np.maximum.reduceat(most, first)
         # Within a block every two videos meet twice; between blocks either may have the smaller id.
         others = np.flatnonzero(names != name) if cut else np.flatnonzero(names > name)
         if len(others):

@@ -3,7 +3,9 @@
 import random
 import re
 
-from cadenza.operators import caption_sync, reconcile, screening, sequences
+import numpy as np
+
+from cadenza.operators import caption_sync, reconcile, retrieval, screening, sequences
 
 
 def _plan(df):
@@ -62,3 +64,16 @@ def test_repeated_overlays_deal_no_words(spark):
     want = {(v, i) for v, i, t, a, b in overlays if cut(t) and any(v == x and a < d and c < b and 2 * sum(w in cut(s) for w in cut(t)) >= len(cut(t)) for x, _, s, c, d in blocks)}
     assert {(r["video_id"], r["overlay_id"]) for r in got.collect()} == want and want
     assert _plan(got).count("Generate ") == 2
+
+
+def test_blocks_of_frames_stay_few(spark, monkeypatch):
+    """Every frame is sent once for each block, so blocks grow with the frames only where a block is full."""
+    monkeypatch.setattr(retrieval, "BLOCK_FRAMES", 2)
+    rng = np.random.default_rng(1)
+    frames = spark.createDataFrame([(i % 3, i, [float(x) for x in rng.normal(size=3)]) for i in range(60)], "video_id bigint, frame bigint, embedding array<float>")
+    got = retrieval.video_similarity(frames)
+    assert "42), 8) as int) AS own" in _plan(got)
+    rows = [(r["video_id"], np.array(r["embedding"])) for r in frames.collect()]
+    for r in got.collect():
+        want = max(u @ v / np.linalg.norm(u) / np.linalg.norm(v) for a, u in rows for b, v in rows if (a, b) == (r["a"], r["b"]))
+        assert abs(want - r["similarity"]) < 1e-6
