@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadenza.functions.scores import clamp, cosine, js_round, limit_score, minimum_score
+from cadenza.functions.scores import clamp, js_round, limit_score, minimum_score
 
 # Cue patterns of hooks, calls to action and numbered items, each counted once a text.
 HOOK_PATTERNS = (
@@ -226,11 +226,6 @@ def dominant_motion(motions: DataFrame) -> DataFrame:
     return top.select("video_id", "kinds", name.alias("motion"))
 
 
-def best_of_items(pairs: DataFrame) -> DataFrame:
-    """Best cosine of each item over its pairs (video_id, item, v, u)."""
-    return pairs.groupBy("video_id", "item").agg(F.round(F.max(cosine(F.col("v"), F.col("u"))), 6).alias("best"))
-
-
 def mean_of_best(best: DataFrame) -> DataFrame:
     """Mean, least and tenth percentile of the items' bests for each video; of an item in several parts the greatest counts."""
     best = best.groupBy("video_id", "item").agg(F.max("best").alias("best"))

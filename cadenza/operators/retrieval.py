@@ -27,12 +27,6 @@ BLOCK_FRAMES, SMALL_BLOCKS, MOST_FRAMES = 2048, 8, 16_384
 _PRODUCT = 1 << 22
 
 
-def broadcast_blocks(rows: DataFrame, keys: list[str]) -> list[DataFrame]:
-    """``rows`` in parts of about ``BROADCAST_ROWS`` at most, by a hash of ``keys``; one empty part if there are none."""
-    blocks = max(1, -(-rows.count() // BROADCAST_ROWS))
-    return [rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b) for b in range(blocks)]
-
-
 def _meet(index: DataFrame, queries: DataFrame, work: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
     """Rows that ``work`` gives for each pair of a block of ``index`` and one of ``queries``, both (id, v): a task holds one pair at a time.
 
@@ -189,6 +183,43 @@ def _greatest(table: pa.Table) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, theirs)), pa.array(np.maximum(mine, theirs)), pa.array(best[others])], names=["a", "b", "similarity"])
 
 
+def best_of_others(frames: DataFrame, items: DataFrame) -> DataFrame:
+    """(video_id, item, best): greatest cosine of each item (video_id, frame, embedding) to the other frames of its video, rounded to six decimals; zero vectors are 0 to all, missing ones count for none.
+
+    Items meet the frames block by block. In both the rows of a video lie together, and only these are multiplied; a pair of blocks gives one number for each of its items.
+    """
+    named = lambda rows: rows.where("video_id IS NOT NULL AND frame IS NOT NULL").select(F.struct("video_id", "frame").alias("id"), F.col("embedding").alias("v"))
+
+    def greatest(rows: pa.Table, wanted: pa.Table) -> Iterator[pa.RecordBatch]:
+        (videos, frame), (asked, item) = ([x.to_numpy(zero_copy_only=False) for x in t.column("id").combine_chunks().flatten()] for t in (rows, wanted))
+        v, q = _matrix(rows), _matrix(wanted)
+        for name in np.unique(asked):
+            here, mine = np.flatnonzero(videos == name), np.flatnonzero(asked == name)
+            if not len(here):
+                continue
+            lengths, columns = np.sqrt(_own_products(v[here])), v[here]
+            for at, products in _pieces(q[mine], columns, differ=False):
+                part = mine[at : at + len(products)]
+                size = np.sqrt(_own_products(q[part]))[:, None] * lengths
+                score = np.divide(products, size, out=np.zeros_like(products), where=size != 0)
+                other = item[part][:, None] != frame[here]
+                found, known = other.any(axis=1), other & ~np.isnan(score)
+                most = pa.array(np.where(known, score, -np.inf).max(axis=1)[found], mask=~known.any(axis=1)[found])
+                yield pa.RecordBatch.from_arrays([pa.array(asked[part][found]), pa.array(item[part][found]), most], names=["video_id", "item", "best"])
+
+    kinds = [frames.schema[c].dataType.simpleString() for c in ("video_id", "frame")]
+    met = _meet(named(frames), named(items), greatest, f"video_id {kinds[0]}, item {kinds[1]}, best double")
+    return met.groupBy("video_id", "item").agg(F.round(F.max("best"), 6).alias("best"))
+
+
+def _own_products(v: np.ndarray) -> np.ndarray:
+    """Inner product of each row with itself, added number by number."""
+    total = np.zeros(len(v))
+    for x in v.T:
+        total += x * x
+    return total
+
+
 def diversity(similarity: DataFrame, duplicate: float = 0.95) -> DataFrame:
     """Diversity of a set of videos: 1 - mean pair similarity, limited to [0, 1], and the number of duplicate pairs."""
     mean = F.avg("similarity")

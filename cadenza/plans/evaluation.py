@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,11 +201,7 @@ def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with ids divisible by 20 as descriptions, against the other frames of their video."""
     frames = views.frames(spark, sf_dir)
-    d = frames.where("frame % 20 = 0").select("video_id", F.col("frame").alias("item"), F.col("embedding").alias("v"))
-    others = frames.select("video_id", "frame", F.col("embedding").alias("u"))
-    # Descriptions come in blocks of bounded size; frames stay where they are, and a task keeps one number for each description.
-    best = [E.best_of_items(others.join(F.broadcast(part), "video_id").where("frame <> item")) for part in retrieval.broadcast_blocks(d, ["item"])]
-    return E.mean_of_best(functools.reduce(DataFrame.unionByName, best))
+    return E.mean_of_best(retrieval.best_of_others(frames, frames.where("frame % 20 = 0")))
 
 
 @register("keyword_fill", with_views("""WITH s AS (SELECT doc_id AS id, generate_subscripts(scenes, 1) - 1 AS pos, unnest(scenes) AS text FROM scripts)

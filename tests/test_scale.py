@@ -77,3 +77,20 @@ def test_blocks_of_frames_stay_few(spark, monkeypatch):
     for r in got.collect():
         want = max(u @ v / np.linalg.norm(u) / np.linalg.norm(v) for a, u in rows for b, v in rows if (a, b) == (r["a"], r["b"]))
         assert abs(want - r["similarity"]) < 1e-6
+
+
+def test_best_of_other_frames(spark, monkeypatch):
+    """Items of several blocks; a repeated frame, a zero vector, a missing one, and a video of one frame."""
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 7)
+    rng = np.random.default_rng(2)
+    rows = [(i % 4, i, [float(x) for x in rng.normal(size=4)]) for i in range(80)] + [(0, 4, [0.5, 1.0, 0.0, 0.0]), (1, 101, [0.0] * 4), (9, 200, [1.0] * 4), (2, 102, None)]
+    frames = spark.createDataFrame(rows, "video_id int, frame bigint, embedding array<float>")
+    got = {(r["video_id"], r["item"]): r["best"] for r in retrieval.best_of_others(frames, frames.where("frame % 2 = 0")).collect()}
+    cosine = lambda u, v: np.dot(u, v) / s if (s := np.linalg.norm(u) * np.linalg.norm(v)) else 0.0
+    want = {}
+    for v, i, q in rows:
+        others = [(j, u) for x, j, u in rows if x == v and j != i]
+        if i % 2 == 0 and others:
+            want.setdefault((v, i), []).extend(cosine(q, u) for _, u in others if q and u)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - max(w)) < 2e-6 if w else got[k] is None for k, w in want.items())
