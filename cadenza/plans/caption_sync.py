@@ -9,6 +9,7 @@ from cadenza.operators import caption_sync
 from cadenza.plans import views
 from cadenza.plans.registry import register
 from cadenza.plans.views import with_views
+from cadenza.sources.shared import written
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9''\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 _CAPTIONS = """e AS (SELECT video_id, idx // 5 AS e_id, string_agg(word, ' ' ORDER BY idx) AS e_text, min(start_ms) AS e0, max(end_ms) AS e1 FROM words GROUP BY ALL),
@@ -47,16 +48,22 @@ def _captions(words: DataFrame, size: int, key: str, late: int = 0) -> DataFrame
     return words.groupBy("video_id", F.expr(f"idx div {size}").alias(key)).agg(spoken.alias("text"), (F.min("start_ms") + late).alias("start_ms"), (F.max("end_ms") + late).alias("end_ms"))
 
 
-def _quality(observed: DataFrame, heard: DataFrame) -> DataFrame:
+def _quality(observed: DataFrame, sure: DataFrame) -> DataFrame:
     length = F.col("end_ms") - F.col("start_ms")
     q = observed.groupBy("video_id").agg(F.least(F.lit(1.0), F.sum(length) / F.max("end_ms")).alias("coverage"), F.round(F.avg(F.least(F.lit(1.0), 3000 / F.greatest(F.lit(1), length))), caption_sync.EXACT).alias("quality"))
-    return q.join(heard.groupBy("video_id").agg(F.round(F.avg("confidence"), caption_sync.EXACT).alias("confidence")), "video_id")
+    return q.join(sure, "video_id")
 
 
-def _report(spark: SparkSession, sf_dir: str, size: int, late: int) -> DataFrame:
+def _reports(spark: SparkSession, sf_dir: str, *kinds: tuple[int, int]) -> list[DataFrame]:
+    """A report for each size and delay of the observed captions. What several parts of the reports read is written once: all captions and the confidence of each video."""
     heard = views.asr_words(spark, sf_dir)
-    expected, observed = _captions(views.words(spark, sf_dir), 5, "expected_id"), _captions(heard, size, "observed_id", late)
-    return caption_sync.sync_report(expected, observed, caption_sync.match_captions(expected, observed), _quality(observed, heard))
+    expected = written(_captions(views.words(spark, sf_dir), 5, "expected_id"), "expected")
+    sure = written(heard.groupBy("video_id").agg(F.round(F.avg("confidence"), caption_sync.EXACT).alias("confidence")), "confidence")
+    reports = []
+    for size, late in kinds:
+        observed = written(_captions(heard, size, "observed_id", late), "observed")
+        reports.append(caption_sync.sync_report(expected, observed, caption_sync.match_captions(expected, observed), _quality(observed, sure)))
+    return reports
 
 
 def _shown(report: DataFrame, *more: str) -> DataFrame:
@@ -76,7 +83,7 @@ def caption_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("caption_sync_report", with_views(f"WITH {_CAPTIONS.format(size=6, late=0)}, {_MATCHES}, {_REPORT} SELECT {_SHOWN} FROM k", "asr_words"))
 def caption_sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sync report of every video."""
-    return _shown(_report(spark, sf_dir, 6, 0))
+    return _shown(*_reports(spark, sf_dir, (6, 0)))
 
 
 _BOTH = "WITH one AS ({0}), two AS ({1})".format(*(with_views(f"WITH {_CAPTIONS.format(size=s, late=n)}, {_MATCHES}, {_REPORT} SELECT * FROM k", "asr_words") for s, n in ((9, 400), (6, 0))))
@@ -87,7 +94,7 @@ _RANK = "(CASE WHEN {0}.passed THEN 1 ELSE 0 END, {0}.n_matched, {0}.match_ratio
     SELECT {_SHOWN}, region FROM (SELECT one.*, 1 AS region FROM one JOIN j USING (video_id) WHERE NOT other UNION ALL SELECT two.*, 2 AS region FROM two JOIN j USING (video_id) WHERE other)""")
 def caption_sync_second_look(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports from late nine-word captions, and from those of another region where the first fails."""
-    return _shown(caption_sync.better_reports(_report(spark, sf_dir, 9, 400), _report(spark, sf_dir, 6, 0)), "region")
+    return _shown(caption_sync.better_reports(*_reports(spark, sf_dir, (9, 400), (6, 0))), "region")
 
 
 _TOKENS = "list_filter(list_transform(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9'']+'), lambda w: regexp_replace(w, '^''+|''+$', '', 'g')), lambda w: length(w) >= 3)"

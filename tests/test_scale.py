@@ -6,6 +6,8 @@ import re
 import numpy as np
 
 from cadenza.operators import caption_sync, reconcile, retrieval, screening, sequences
+from cadenza.plans import caption_sync as plans
+from cadenza.sources.shared import written
 
 
 def _plan(df):
@@ -94,3 +96,11 @@ def test_best_of_other_frames(spark, monkeypatch):
             want.setdefault((v, i), []).extend(cosine(q, u) for _, u in others if q and u)
     assert got.keys() == want.keys()
     assert all(abs(got[k] - max(w)) < 2e-6 if w else got[k] is None for k, w in want.items())
+
+
+def test_words_of_reports_are_made_once(spark, sf_dir, monkeypatch):
+    made = []
+    monkeypatch.setattr(plans, "written", lambda df, name: made.append(name) or written(df, name))
+    report = plans.caption_sync_second_look(spark, sf_dir)
+    assert made == ["expected", "confidence", "observed", "observed"]
+    assert "conversations" not in report._jdf.queryExecution().optimizedPlan().toString() and not any("conversations" in f for f in report.inputFiles())
