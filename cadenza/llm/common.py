@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 
 PIECE_BYTES = 4 << 20
+#: Bits of the fixed-size map (8 MB) that tells rows apart before they are shuffled.
+FILTER_BITS = 1 << 26
 #: Session setting that deletes an execution's shuffle files when it ends.
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -85,10 +87,28 @@ def row_rank(mark: Column) -> Column:
     return F.struct(col("doc_id").isNull().alias("no_id"), col("doc_id").alias("id"), mark.alias("mark"))
 
 
+def may_meet(df: DataFrame, key: Column, names: DataFrame) -> DataFrame:
+    """``df`` with ``_may boolean``: false only where the bigint ``key`` is none of ``names`` (one bigint column).
+
+    The names are a bit map of fixed size, sent to all tasks in pieces of 4 KB; so most rows that meet nothing in a join stay out of its
+    shuffle, at any size of the two tables. What passes by chance is left to the join.
+    """
+    slot = F.pmod(F.col(names.columns[0]), F.lit(FILTER_BITS)) + 1
+    # Names are shuffled, not the maps that each task would make of its own.
+    placed = names.select(F.bitmap_bucket_number(slot).alias("_map"), F.bitmap_bit_position(slot).alias("_place")).repartition("_map")
+    maps = placed.groupBy("_map").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    own = F.pmod(key, F.lit(FILTER_BITS)) + 1
+    found = df.withColumn("_own", own).join(F.broadcast(maps), F.bitmap_bucket_number("_own") == F.col("_map"), "left")
+    at = F.bitmap_bit_position("_own").cast("int")
+    # One byte of the map as a number; Spark has no test of a single bit of a binary.
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return found.withColumn("_may", F.coalesce(F.getbit(byte, at.bitwiseAND(7)) == 1, F.lit(False))).drop("_own", "_map", "_bits")
+
+
 def keep_ranked(documents: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
     """``documents`` that the ranks in ``first`` (one for each group) name, each row once; of repeated ids one row, of null ids all.
 
-    ``rows`` are the documents' ``doc_id`` and ``mark``. What goes is found among these, so the texts only meet the rows that go.
+    ``rows`` are the documents' ``doc_id`` and ``mark``. What goes is found among these, and only texts that may go are shuffled to meet it.
     """
     repeated = F.when(F.col("first")["no_id"], F.col("first")["mark"])
     chosen = first.groupBy(F.col("first")["id"].alias("_first"), repeated.alias("_repeated")).agg(F.min(F.col("first")["mark"]).alias("_chosen"))
@@ -97,12 +117,14 @@ def keep_ranked(documents: DataFrame, rows: DataFrame, first: DataFrame) -> Data
     rest = write_shared(counted.join(chosen, same, "left").where("_chosen is null or _n > 1").select(
         F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), F.col("_chosen").isNull().alias("_goes")), "rest")
     marked = documents.withColumn("_mark", row_mark())
+    marked = may_meet(marked, F.xxhash64(col("doc_id"), F.col("_mark")), rest.select(F.xxhash64("_id", "_of").alias("_name")))
+    met = marked.where("_may")
     named = col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
-    kept = marked.join(rest, named, "left_anti")
+    kept = marked.where("not _may").union(met.join(rest, named, "left_anti"))
     again = rest.where("not _goes")
     if again.take(1):
-        kept = kept.union(marked.join(again, named, "left_semi").dropDuplicates(["doc_id", "_mark"]))
-    return kept.drop("_mark")
+        kept = kept.union(met.join(again, named, "left_semi").dropDuplicates(["doc_id", "_mark"]))
+    return kept.drop("_mark", "_may")
 
 
 def crc_mod4(doc_id: Column) -> Column:

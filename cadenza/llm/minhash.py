@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from cadenza.llm.common import add_columns, col, forget, pieces, text_of, write_shared
 from cadenza.llm.components import connected_components
-from cadenza.llm.verified_links import band_keys, confirmed_links, rep_of, sets_of, shared_buckets
+from cadenza.llm.verified_links import band_keys, confirmed_links, needed_of, rep_of, sets_of, shared_buckets, text_name
 from cadenza.llm.word_hashes import word_hashes
 
 PERMUTATIONS = 128
@@ -27,7 +27,7 @@ BANDS, BAND_ROWS = 21, 6
 SIMILARITY = 0.8
 #: Differing minima beyond which a pair is not tried: at similarity 0.8 about 26 of 128 differ, with a deviation of 4.5.
 RADIUS = 48
-_BLOCK = 2048
+_BLOCK = 512
 
 
 def permutations(n: int = PERMUTATIONS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +107,9 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _classes(documents: DataFrame, rows: DataFrame, similarity: float, size: int) -> DataFrame:
-    """``(rep, class_id, links)`` of every rep that several rows or linked texts share; ``rows`` have doc_id, rep and binary ``signature``."""
+    """``(rep, class_id, links)`` of every rep that several rows or linked texts share; ``rows`` have doc_id, rep, the text's name and binary ``signature``."""
     shared = shared_buckets(rows, band_keys(F.col("signature"), BANDS, 2 * BAND_ROWS))
-    needed = write_shared(shared.select("rep").distinct(), "needed")
+    needed = needed_of(rows, shared)
     sets = sets_of(documents, needed, hasher(size=size).shingles, hasher(size=size).minima)
     found = confirmed_links(shared, sets, differing, "uint16", RADIUS, similarity)
     forget(shared, needed, sets)
@@ -148,7 +148,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, size:
         found = [maker.shingles(t) for t in texts]
         return [pa.array([rep_of(s) for s in found], pa.int64()), pa.array([maker.minima(s).tobytes() for s in found], pa.binary())]
 
-    slim = add_columns(documents.select(col("doc_id"), col("text")), "rep bigint, signature binary", make)
+    slim = add_columns(documents.select(col("doc_id"), col("text"), text_name().alias("name")), "rep bigint, signature binary", make)
     rows = write_shared(slim.drop("text"), "members")
     return _with_classes(rows, _classes(documents, rows, similarity, size)).select("doc_id", "class_id", "links")
 
@@ -169,32 +169,32 @@ def _ordered(documents: DataFrame) -> DataFrame:
     keys = [F.col("doc_id").desc_nulls_last(), F.col("_tie"), F.col("_place")]
     # Range partitions grow with the input: as many as its splits, or the session's setting where that is more.
     tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), packed.rdd.getNumPartitions())
-    return packed.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).select("doc_id", "packed", F.spark_partition_id().alias("part"))
+    return packed.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).select("doc_id", F.col("_tie").alias("name"), "packed", F.spark_partition_id().alias("part"))
 
 
-PAIR = "doc_id bigint, n_chars bigint, edited_sha256 string, rep bigint, signature binary, edited binary, near_edited double, near_next double"
+PAIR = "doc_id bigint, name bigint, n_chars bigint, edited_sha256 string, rep bigint, signature binary, edited binary, near_edited double, near_next double"
 ENDS = "part int, first binary, last binary"
 _ARROW = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "int": pa.int32()}
 
 
-Known = tuple[str, int, np.ndarray]
+Known = tuple[int, str, int, np.ndarray]
 
 
-def _known(text: str) -> Known:
-    """A text with its rep and signature."""
+def _known(name: int, text: str) -> Known:
+    """A text with its name, rep and signature."""
     shingles = hasher().shingles(text)
-    return text, rep_of(shingles), hasher().minima(shingles)
+    return name, text, rep_of(shingles), hasher().minima(shingles)
 
 
 def _pair(doc_id: int | None, own: Known, after: Known) -> tuple:
     """A document's digest given the text that follows it."""
-    text, rep, own_signature = own
+    name, text, rep, own_signature = own
     half = len(text) // 2
-    edited = text[: len(text) - half] + after[0][:half]
+    edited = text[: len(text) - half] + after[1][:half]
     signature = hasher().signature(edited)
     return (
-        doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), rep, own_signature.astype(">u2").tobytes(), signature.astype(">u2").tobytes(),
-        likeness(own_signature, signature), likeness(own_signature, after[2]),
+        doc_id, name, len(text), hashlib.sha256(edited.encode()).hexdigest(), rep, own_signature.astype(">u2").tobytes(), signature.astype(">u2").tobytes(),
+        likeness(own_signature, signature), likeness(own_signature, after[3]),
     )
 
 
@@ -206,19 +206,19 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of all rows of a sorted partition but the last, and one row with the partition's first and last text."""
     unpack = zstandard.ZstdDecompressor().decompress
-    before, first, blank = None, None, (None,) * 8
+    before, first, blank = None, None, (None,) * 7
     for batch in pieces(batches):
         rows = []
-        for doc_id, packed, part in zip(*(c.to_pylist() for c in batch.columns)):
-            known = _known(unpack(packed).decode())
+        for doc_id, name, packed, part in zip(*(c.to_pylist() for c in batch.columns)):
+            known = _known(name, unpack(packed).decode())
             if before is not None:
                 rows.append((*_pair(*before, known), None, None, None))
             first = first or (part, packed)
-            before, last = (doc_id, known), (doc_id, packed)
+            before, last = (doc_id, known), (doc_id, name, packed)
         if rows:
             yield _batch(rows, f"{PAIR}, {ENDS}")
     if first is not None:
-        yield _batch([(last[0], *blank[1:], *first, last[1])], f"{PAIR}, {ENDS}")
+        yield _batch([(*last[:2], *blank, *first, last[2])], f"{PAIR}, {ENDS}")
 
 
 def fingerprint_digest(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -236,19 +236,19 @@ def fingerprint_digest(documents: DataFrame, similarity: float = SIMILARITY) ->
     # Partition numbers only: one small row for each task.
     order = ends.select("part", F.coalesce(F.lead("part").over(everywhere), F.first("part").over(everywhere)).alias("after"))
     heads = ends.select(F.col("part").alias("after"), F.col("first").alias("head"))
-    edges = ends.select("part", "doc_id", "last").join(order, "part").join(heads, "after").select("doc_id", "last", "head")
+    edges = ends.select("part", "doc_id", "name", "last").join(order, "part").join(heads, "after").select("doc_id", "name", "last", "head")
 
     def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in pieces(batches):
             rows = []
-            for doc_id, last, head in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append(_pair(doc_id, _known(unpack(last).decode()), _known(unpack(head).decode())))
+            for doc_id, name, last, head in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append(_pair(doc_id, _known(name, unpack(last).decode()), _known(0, unpack(head).decode())))
             yield _batch(rows, PAIR)
 
     inner = found.where("part is null").drop("part", "first", "last")
     pairs = inner.union(write_shared(edges.mapInArrow(join_ends, PAIR), "edges"))
-    classes = _classes(documents, pairs.select("doc_id", "rep", "signature"), similarity, SHINGLE)
+    classes = _classes(documents, pairs.select("doc_id", "rep", "name", "signature"), similarity, SHINGLE)
     return _with_classes(pairs, classes).select(
         "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("signature")).alias("fingerprint"), F.lower(F.hex("edited")).alias("edited_fingerprint"),
         "near_edited", "near_next", "class_id", "links",

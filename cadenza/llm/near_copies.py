@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import add_columns, col, forget, keep_ranked, row_mark, row_rank, write_shared
 from cadenza.llm.components import connected_components
 from cadenza.llm.minhash import BANDS, BAND_ROWS, SIMILARITY, hasher
-from cadenza.llm.verified_links import band_keys, confirmed_links, rep_of, sets_of, shared_buckets
+from cadenza.llm.verified_links import band_keys, confirmed_links, needed_of, rep_of, sets_of, shared_buckets, text_name
 
 WORDS = 4
 BITS = 64 * WORDS
@@ -69,9 +69,9 @@ def with_reps(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def rep_roots(documents: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """``(node, root)`` of every ``rep`` that has a near copy; ``rows`` are the documents' rep and signature."""
+    """``(node, root)`` of every ``rep`` that has a near copy; ``rows`` are the documents' rep, text name and signature."""
     shared = shared_buckets(rows, band_keys(F.col("signature"), BANDS, 2 * BAND_ROWS))
-    needed = write_shared(shared.select("rep").distinct(), "needed")
+    needed = needed_of(rows, shared)
     sets = sets_of(documents, needed, hasher(size=size).shingles, wide_fingerprint)
     links = confirmed_links(shared, sets, hamming, "uint64", radius, similarity)
     forget(shared, needed, sets)
@@ -86,7 +86,7 @@ def keep_first(documents: DataFrame, similarity: float = SIMILARITY, radius: int
     Groups are the components of verified links. Null and empty texts form one group. Null ids come last: each group whose ids are
     all null keeps one row. All columns pass through; an empty table gives no rows. Texts of one shingle set are folded first.
     """
-    slim = with_reps(documents.select(col("doc_id"), col("text"), row_mark().alias("mark")), size).drop("text")
+    slim = with_reps(documents.select(col("doc_id"), col("text"), row_mark().alias("mark"), text_name().alias("name")), size).drop("text")
     rows = write_shared(slim, "reps")
     folded = rows.groupBy("rep").agg(F.min(row_rank(F.col("mark"))).alias("first"))
     roots = rep_roots(documents, rows, similarity, radius, size)

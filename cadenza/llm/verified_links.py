@@ -18,11 +18,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import col, forget, text_batches, write_shared
+from cadenza.llm.common import forget, may_meet, text_batches, text_of, write_shared
 from cadenza.llm.components import connected_components
 
-#: Bits of the fixed-size filter (8 MB) that keeps unneeded shingle sets out of the shuffle.
-FILTER_BITS = 1 << 26
 #: Shingles of a bucket in one piece (8 MB); larger buckets are dealt in pairs of pieces.
 PIECE_SHINGLES = 1 << 20
 _BLOCK = 256
@@ -45,50 +43,53 @@ def band_keys(signature: Column, bands: int, width: int) -> Column:
 def shared_buckets(rows: DataFrame, keys: Column) -> DataFrame:
     """``(bucket, rep, leader)``, each once, of all buckets that more than one ``rep`` shares; leader is the smallest.
 
-    Rows are folded to the ends of each bucket before the shuffle, so that the many buckets of a single rep cost one record.
+    Rows are folded to the ends of each bucket before the shuffle, so that the many buckets of a single rep cost one record; of all others
+    a bit map of the shared buckets lets through what has to meet them.
     """
     dealt = rows.select(F.explode(keys).alias("bucket"), "rep")
     ends = dealt.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last")).where("leader < _last")
     ends = write_shared(ends.select("bucket", "leader"), "leaders")
-    buckets = write_shared(dealt.join(ends, "bucket").distinct(), "buckets")
+    met = may_meet(dealt, F.col("bucket"), ends.select("bucket")).where("_may").select("bucket", "rep").distinct()
+    buckets = write_shared(met.join(ends, "bucket").select("bucket", "rep", "leader"), "buckets")
     forget(ends)
     return buckets
 
 
+def needed_of(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(rep, name)`` of every ``rep`` in a shared bucket, with the ``name`` of one of its texts in ``rows``."""
+    wanted = may_meet(rows.select("rep", "name"), F.col("rep"), shared.select("rep")).where("_may").groupBy("rep").agg(F.min("name").alias("name"))
+    return write_shared(wanted.join(shared.select("rep").distinct(), "rep", "left_semi"), "needed")
+
+
+def text_name() -> Column:
+    """64-bit name of a row's text; null counts as empty."""
+    return F.xxhash64(text_of())
+
+
 def sets_of(documents: DataFrame, needed: DataFrame, shingles: Callable[[str], np.ndarray], code: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``(rep, shingles, code)`` of every ``rep`` in ``needed``, each once, from the texts of ``documents``; ``code`` is made from the shingles.
+    """``(rep, size, shingles, code)`` of every ``rep`` in ``needed``, each once, from the texts of ``documents``; ``code`` is made from the shingles.
 
-    A bit map of fixed size over the needed names drops almost all other sets in the task that makes them.
+    Only texts of the names in ``needed`` are cut into shingles again.
     """
-    slot = F.pmod("rep", F.lit(FILTER_BITS)) + 1
-    parts = needed.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    wanted = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in parts.collect():
-        at = (row["part"] - 1) * 4096
-        wanted[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
-    shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_batches(batches):
-            reps, found, codes = [], [], []
-            for text in texts:
-                made = shingles(text)
-                rep = rep_of(made)
-                at = rep % FILTER_BITS
-                if shared.value[at >> 3] >> (at & 7) & 1:
-                    reps.append(rep)
-                    found.append(made.view(np.int64))
-                    codes.append(code(made).tobytes())
-            if reps:
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(codes, pa.binary())], names=["rep", "shingles", "code"])
-
-    made = documents.select(col("text")).mapInArrow(run, "rep bigint, shingles array<bigint>, code binary")
-    return write_shared(made.dropDuplicates(["rep"]).join(needed, "rep", "left_semi"), "sets")
+            found = [shingles(text) for text in dict.fromkeys(texts)]
+            if found:
+                columns = [
+                    pa.array([rep_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()),
+                    pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array([code(s).tobytes() for s in found], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "size", "shingles", "code"])
+
+    chosen = may_meet(documents.select(text_of().alias("text")), text_name(), needed.select("name")).where("_may").select("text")
+    made = chosen.mapInArrow(run, "rep bigint, size int, shingles array<bigint>, code binary")
+    return write_shared(made.dropDuplicates(["rep"]).join(needed.select("rep"), "rep", "left_semi"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The written pairs ``(a, b)`` whose sets have at least this Jaccard similarity; only sets that a pair names are shuffled."""
-    side = lambda name: sets.join(pairs.select(F.col(name).alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias(name), F.col("shingles").alias(f"_{name}"))
+    side = lambda name: may_meet(sets, F.col("rep"), pairs.select(name)).where("_may").select(F.col("rep").alias(name), F.col("shingles").alias(f"_{name}"))
     both = F.size(F.array_intersect("_a", "_b"))
     near = both / F.greatest(F.size("_a") + F.size("_b") - both, F.lit(1)) >= similarity
     return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
@@ -98,7 +99,12 @@ def confirmed_links(shared: DataFrame, sets: DataFrame, distance: Distance, kind
     """Confirmed links ``(a, b)`` that connect the members of all buckets; the sets' binary ``code`` is of numpy type ``kind``."""
     nearest = shared.where("rep <> leader").groupBy("rep").agg(F.min("leader").alias("a")).select("a", F.col("rep").alias("b"))
     nearest = write_shared(nearest, "nearest")
-    links = write_shared(confirmed(nearest, sets, similarity), "links")
+    sizes = lambda name: sets.select(F.col("rep").alias(name), F.col("size").alias(f"_size_{name}"))
+    # The similarity is at most the smaller size by the larger.
+    like = F.least("_size_a", "_size_b") >= similarity * F.greatest("_size_a", "_size_b") - 1e-9
+    pairs = write_shared(nearest.join(sizes("a"), "a").join(sizes("b"), "b").where(like).select("a", "b"), "pairs")
+    links = write_shared(confirmed(pairs, sets, similarity), "links")
+    forget(pairs)
     roots = connected_components(links)
     grouped = shared.join(roots, F.col("rep") == F.col("node"), "left").join(nearest, F.col("rep") == F.col("b"), "left")
     tried = (F.col("rep") == F.col("leader")) | (F.col("a") == F.col("leader"))
@@ -111,12 +117,11 @@ def confirmed_links(shared: DataFrame, sets: DataFrame, distance: Distance, kind
     still = facts.where("_low < _high and not (_n = 2 and _tried)").groupBy("_n", "_set", "_first").agg(F.min("bucket").alias("bucket")).select("bucket")
     rest = write_shared(members.join(still, "bucket").select("bucket", "rep", "group"), "open")
     forget(members)
-    wanted = sets.join(rest.select("rep").distinct(), "rep", "left_semi")
-    pieces = rest.join(wanted.select("rep", F.size("shingles").alias("_size")), "rep").groupBy("bucket").agg(F.ceil(F.sum("_size") / PIECE_SHINGLES).cast("int").alias("_pieces"))
-    pieces = write_shared(pieces, "pieces")
+    pieces = rest.join(sets.select("rep", "size"), "rep").groupBy("bucket").agg(F.ceil(F.sum("size") / PIECE_SHINGLES).cast("int").alias("_pieces"))
+    wanted = may_meet(sets, F.col("rep"), rest.select("rep")).where("_may").select("rep", "code", "shingles")
     dealt = rest.join(pieces, "bucket").join(wanted, "rep")
     found = write_shared(links.union(bucket_links(dealt, distance, kind, radius, similarity)), "links")
-    forget(links, rest, pieces)
+    forget(links, rest)
     return found
 
 

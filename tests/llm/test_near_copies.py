@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cadenza.llm import minhash, near_copies, simhash, verified_links
+from cadenza.llm import common, minhash, near_copies, simhash, verified_links
 from cadenza.llm.minhash import hasher
 
 
@@ -110,6 +111,32 @@ def test_rounds_do_not_grow_with_a_bucket(spark, monkeypatch):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_only_texts_in_shared_buckets_are_cut_again(spark):
+    texts = [f"text {i} of its own words {i * i}" for i in range(200)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    reps = [verified_links.rep_of(hasher().shingles(t)) for t in texts]
+    needed = docs.select(verified_links.text_name().alias("name"), "text").where(F.col("text").isin(texts[7], texts[9]))
+    needed = needed.select(F.when(F.col("text") == texts[7], reps[7]).otherwise(reps[9]).alias("rep"), "name")
+    cut = spark.sparkContext.accumulator(0)
+
+    def shingles(text):
+        cut.add(1)
+        return hasher().shingles(text)
+
+    sets = verified_links.sets_of(docs, needed, shingles, near_copies.wide_fingerprint)
+    assert {r["rep"] for r in sets.collect()} == {reps[7], reps[9]} and cut.value == 2
+
+
+def test_filter_keeps_rows_that_meet_nothing_out_of_the_shuffle(spark):
+    names = spark.range(-500, 500).select((F.col("id") * 7_919_000_003).alias("name"))
+    rows = spark.range(-4000, 4000).select(F.when(F.col("id") != 3, F.col("id") * 7_919_000_003).alias("key"), F.col("id").alias("a.b"))
+    got = common.may_meet(rows, F.col("key"), names)
+    assert got.columns == ["key", "a.b", "_may"]
+    may = {r["a.b"] for r in got.where("_may").collect()}
+    assert may >= set(range(-500, 500)) - {3} and 3 not in may and len(may) < 1050
+    assert common.may_meet(rows, F.col("key"), names.limit(0)).where("_may").count() == 0
+
+
 def test_every_group_of_the_corpus_keeps_one(documents):
     """Over the test corpus: every brute-force group keeps a document, and nothing goes that is not in a group with a kept one."""
     rows = [(r["doc_id"], r["text"] or "") for r in documents.select("doc_id", "text").collect()]
