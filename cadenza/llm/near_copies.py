@@ -1,10 +1,13 @@
 """SimHash near-dedup at a similarity of 0.8 or more over five-word shingles: vantage-point shards, links verified exactly.
 
+Operator 8's fingerprints meet in its vantage-point shards (``simhash.vantage_shards``): all codes within 4 of 64 bits are linked, exactly,
+and what is so linked is compared. The rest of this page is on the pairs beyond that radius.
+
 Two texts whose shingle sets have a Jaccard similarity of 0.8 differ in about 15 % of their SimHash bits, some 10 of 64:
 far outside what shards for 4 bits of 64 find. Here a fingerprint has 256 bits, and distances rank the candidates: at
 similarity 0.8 two texts are about 39 bits apart, unrelated ones 128, and ``RADIUS`` lies many deviations from both.
 
-Partial distances alone would need shards whose number grows with the data, so the root shards are those of texts that agree in a
+Partial distances alone would need shards whose number grows with the data, so the root shards of these are those of texts that agree in a
 band of shingle minima: a fixed number of shards a text, at any size, that two texts at similarity 0.8 share with a chance of 0.998
 and at 0.9 of 0.9999999. Inside a shard, all members are measured against a vantage point; shells around it bound what else has to be
 compared (triangle inequality); and each link counts only if the exact Jaccard similarity of the two texts reaches 0.8.
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import add_columns, col, forget, keep_ranked, row_mark, row_rank, write_shared
 from cadenza.llm.components import connected_components
 from cadenza.llm.minhash import BANDS, BAND_ROWS, SIMILARITY, hasher
+from cadenza.llm.simhash import fingerprint, shard_links, vantage_shards
 from cadenza.llm.verified_links import band_keys, confirmed_links, needed_of, rep_of, sets_of, shared_buckets, text_name
 
 WORDS = 4
@@ -56,21 +60,35 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def with_reps(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``documents`` with ``rep bigint`` (its shingle set) and ``signature binary`` (minima for the root shards); null texts count as empty."""
+    """``documents`` with ``rep bigint`` (its shingle set), ``signature binary`` (minima for the root shards) and ``fingerprint bigint`` (operator 8's); null texts count as empty."""
 
     def make(_: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
         maker = hasher(size=size)
         found = [maker.shingles(t) for t in texts]
         return [
             pa.array([rep_of(s) for s in found], pa.int64()), pa.array([maker.minima(s).tobytes() for s in found], pa.binary()),
+            pa.array(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64), pa.int64()),
         ]
 
-    return add_columns(documents, "rep bigint, signature binary", make)
+    return add_columns(documents, "rep bigint, signature binary, fingerprint bigint", make)
+
+
+def linked_buckets(rows: DataFrame) -> DataFrame:
+    """``(bucket, rep)``: one bucket for all texts whose SimHash fingerprints are linked, from vantage-point shards."""
+    codes = write_shared(rows.select(F.col("fingerprint").alias("code")).distinct(), "codes")
+    roots = connected_components(shard_links(vantage_shards(codes)))
+    forget(codes)
+    named = rows.select("fingerprint", "rep").distinct().join(roots, F.col("fingerprint") == F.col("node"), "left")
+    buckets = write_shared(named.select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "fingerprint")).alias("bucket"), "rep"), "linked")
+    forget(roots)
+    return buckets
 
 
 def rep_roots(documents: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """``(node, root)`` of every ``rep`` that has a near copy; ``rows`` are the documents' rep, text name and signature."""
-    shared = shared_buckets(rows, band_keys(F.col("signature"), BANDS, 2 * BAND_ROWS))
+    """``(node, root)`` of every ``rep`` that has a near copy; ``rows`` are the documents' rep, text name, signature and fingerprint."""
+    linked = linked_buckets(rows)
+    shared = shared_buckets(rows, band_keys(F.col("signature"), BANDS, 2 * BAND_ROWS), linked)
+    forget(linked)
     needed = needed_of(rows, shared)
     sets = sets_of(documents, needed, hasher(size=size).shingles, wide_fingerprint)
     links = confirmed_links(shared, sets, hamming, "uint64", radius, similarity)
@@ -83,7 +101,7 @@ def rep_roots(documents: DataFrame, rows: DataFrame, similarity: float = SIMILAR
 def keep_first(documents: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """``documents`` with one row of each group of near copies: that of the smallest doc_id and then text hash (of repeated ids one row).
 
-    Groups are the components of verified links. Null and empty texts form one group. Null ids come last: each group whose ids are
+    Groups are the components of verified links, between texts that SimHash fingerprints link or that share a band. Null and empty texts form one group. Null ids come last: each group whose ids are
     all null keeps one row. All columns pass through; an empty table gives no rows. Texts of one shingle set are folded first.
     """
     slim = with_reps(documents.select(col("doc_id"), col("text"), row_mark().alias("mark"), text_name().alias("name")), size).drop("text")

@@ -40,13 +40,16 @@ def band_keys(signature: Column, bands: int, width: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.substring(signature, 1 + i * width, width)) for i in range(bands)])
 
 
-def shared_buckets(rows: DataFrame, keys: Column) -> DataFrame:
+def shared_buckets(rows: DataFrame, keys: Column, more: DataFrame | None = None) -> DataFrame:
     """``(bucket, rep, leader)``, each once, of all buckets that more than one ``rep`` shares; leader is the smallest.
 
+    Buckets are those of the rows' ``keys`` and of ``more``, a table of ``(bucket, rep)``.
+
     Rows are folded to the ends of each bucket before the shuffle, so that the many buckets of a single rep cost one record; of all others
     a bit map of the shared buckets lets through what has to meet them.
     """
     dealt = rows.select(F.explode(keys).alias("bucket"), "rep")
+    dealt = dealt if more is None else dealt.union(more.select("bucket", "rep"))
     ends = dealt.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last")).where("leader < _last")
     ends = write_shared(ends.select("bucket", "leader"), "leaders")
     met = may_meet(dealt, F.col("bucket"), ends.select("bucket")).where("_may").select("bucket", "rep").distinct()
@@ -57,7 +60,7 @@ def shared_buckets(rows: DataFrame, keys: Column) -> DataFrame:
 
 def needed_of(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """``(rep, name)`` of every ``rep`` in a shared bucket, with the ``name`` of one of its texts in ``rows``."""
-    wanted = may_meet(rows.select("rep", "name"), F.col("rep"), shared.select("rep")).where("_may").groupBy("rep").agg(F.min("name").alias("name"))
+    wanted = may_meet(rows.select("rep", "name"), F.col("rep"), shared.select("rep").distinct()).where("_may").groupBy("rep").agg(F.min("name").alias("name"))
     return write_shared(wanted.join(shared.select("rep").distinct(), "rep", "left_semi"), "needed")
 
 
@@ -89,7 +92,7 @@ def sets_of(documents: DataFrame, needed: DataFrame, shingles: Callable[[str], n
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The written pairs ``(a, b)`` whose sets have at least this Jaccard similarity; only sets that a pair names are shuffled."""
-    side = lambda name: may_meet(sets, F.col("rep"), pairs.select(name)).where("_may").select(F.col("rep").alias(name), F.col("shingles").alias(f"_{name}"))
+    side = lambda name: may_meet(sets, F.col("rep"), pairs.select(name).distinct()).where("_may").select(F.col("rep").alias(name), F.col("shingles").alias(f"_{name}"))
     both = F.size(F.array_intersect("_a", "_b"))
     near = both / F.greatest(F.size("_a") + F.size("_b") - both, F.lit(1)) >= similarity
     return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
@@ -118,7 +121,7 @@ def confirmed_links(shared: DataFrame, sets: DataFrame, distance: Distance, kind
     rest = write_shared(members.join(still, "bucket").select("bucket", "rep", "group"), "open")
     forget(members)
     pieces = rest.join(sets.select("rep", "size"), "rep").groupBy("bucket").agg(F.ceil(F.sum("size") / PIECE_SHINGLES).cast("int").alias("_pieces"))
-    wanted = may_meet(sets, F.col("rep"), rest.select("rep")).where("_may").select("rep", "code", "shingles")
+    wanted = may_meet(sets, F.col("rep"), rest.select("rep").distinct()).where("_may").select("rep", "code", "shingles")
     dealt = rest.join(pieces, "bucket").join(wanted, "rep")
     found = write_shared(links.union(bucket_links(dealt, distance, kind, radius, similarity)), "links")
     forget(links, rest)

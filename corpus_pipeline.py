@@ -32,7 +32,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles at a similarity of 0.8, by wide SimHash codes."""
+    """One document of each group of near copies: SimHash links from vantage-point shards and wide codes, five-word shingles at a similarity of 0.8."""
     return near_copies.keep_first(docs)
 
 

@@ -111,6 +111,25 @@ def test_rounds_do_not_grow_with_a_bucket(spark, monkeypatch):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_simhash_links_need_no_band(spark, monkeypatch):
+    """Where no two texts share a band, those within 4 of 64 bits still meet, in vantage-point shards."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda signature, bands, width: F.array("rep"))
+    rng = random.Random(6)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            words[rng.randrange(400)] = "changed"
+            texts.append(" ".join(words))
+    codes = [simhash.fingerprint(t) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if (codes[i] ^ codes[j]).bit_count() <= simhash.RADIUS}
+    want = _components(near & _jaccard_links(texts), range(len(texts)))
+    assert len(set(want.values())) < 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_first(docs).collect()) == sorted(set(want.values()))
+
+
 def test_only_texts_in_shared_buckets_are_cut_again(spark):
     texts = [f"text {i} of its own words {i * i}" for i in range(200)]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
