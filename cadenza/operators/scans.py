@@ -1,9 +1,9 @@
 """Scans in order that carry a small state, over blocks of a group, so that one group may span any number of tasks.
 
-A group's rows are cut into blocks of bounded length (say a minute of frames). Every block is scanned as if the group began with
-it, which gives the state at its end; then the blocks whose entry differs from the state before them are scanned again from there, until all
-agree. The state is all that passes from block to block, and a scan forgets its start as soon as it
-meets a boundary that does not depend on it, so few rounds are needed; at worst a group takes as many rounds as it has blocks.
+A group's rows are cut into blocks of bounded length (say a minute of frames). A task scans the blocks it holds once, in order, and hands the state from each to the
+next of its group; a block whose forerunner lies in another task is scanned as if the group began with it. Then the blocks whose entry differs from the state before
+them are scanned again from there, until all agree. The state is all that passes from block to block, and a scan forgets its start as soon as it
+meets a boundary that does not depend on it, so few rounds are needed; at worst a group takes as many rounds as the blocks behind a border of tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,44 +21,58 @@ from pyspark.sql.window import Window
 
 from cadenza.sources.shared import forget, written
 
-#: A scan takes the state (None at a group's beginning) and a block's rows in order; it gives tuples of pieces and the state behind them.
-Scan = Callable[[str | None, list[dict]], tuple[list[tuple], str | None]]
+#: A scan takes the state (None at a group's beginning) and a block's rows in order, each a tuple of the columns it was asked for; it gives tuples of pieces and the state behind them.
+Scan = Callable[[str | None, list[tuple]], tuple[list[tuple], str | None]]
+#: Blocks that a task turns into Python values at once.
+BLOCKS_AT_ONCE = 256
 
 
 def block_scan(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], block: Column, scan: Scan, pieces: str) -> DataFrame:
     """The pieces (columns of the DDL ``pieces``) that ``scan`` gives for every group of ``rows``, with the keys, the block's number ``_n`` and ``_piece``, its place in the block.
 
     ``block`` must not fall as the ``order`` rises, and bound the rows of a block. Rows with null keys form groups of their own; ties in order are taken in the
-    order of ``columns``. The state is a string.
+    order of ``columns``. A scan's rows hold ``order`` and then ``columns``. The state is a string.
     """
     row = F.struct(*order, *[c for c in columns if c not in order])
     cut = rows.groupBy(*keys, block.alias("_block")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    cut = written(cut.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_block")).cast("long")), "blocks")
+    cut = written(cut.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_block")).cast("long")).drop("_block"), "blocks")
     names = [*keys, "_n"]
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*names).schema)
-
-    def run(what: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    one = batch.slice(i, 1)
-                    made, state = scan(one.column("_entry")[0].as_py(), one.column("_rows")[0].as_py())
-                    own = [one.column(n) for n in names]
-                    if what == "state":
-                        yield pa.RecordBatch.from_arrays([*own, pa.array([state], pa.string())], [*names, "_exit"])
-                    elif made:
-                        at = pa.array([0] * len(made))
-                        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in own), pa.array(range(len(made)), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*made), kinds))], [*names, "_piece", *columns_out])
-
-        return over
-
     fields = [p.strip().split(" ") for p in pieces.split(",")]
-    columns_out = [f[0] for f in fields]
-    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[f[1]] for f in fields]
-    no_entry = F.lit(None).cast("string")
+    types = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    columns_out, kinds = [f[0] for f in fields], [types[f[1]] for f in fields]
+    scanned = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*names).schema)
+    scanned += f", _entry string, _exit string, _pieces array<struct<{', '.join(f'{n}: {t}' for n, t in fields)}>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scans each block from its ``_entry``, or, without that column, from the state behind the block before it."""
+        last, state = None, None
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCKS_AT_ONCE):
+                part = batch.slice(start, BLOCKS_AT_ONCE)
+                lists = part.column("_rows")
+                sizes, values = lists.value_lengths().to_pylist(), zip(*(c.to_pylist() for c in lists.flatten().flatten()))
+                own = [part.column(n) for n in names]
+                given = part.column("_entry").to_pylist() if "_entry" in part.schema.names else None
+                entries, exits, ends, made = [], [], [0], []
+                for i, (n, *group) in enumerate(zip(own[-1].to_pylist(), *(c.to_pylist() for c in own[:-1]))):
+                    entry = given[i] if given else state if last == (n - 1, group) else None
+                    found, state = scan(entry, list(islice(values, sizes[i])))
+                    last = (n, group)
+                    made += found
+                    entries.append(entry)
+                    exits.append(state)
+                    ends.append(len(made))
+                arrays = [pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * len(kinds), kinds)]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(entries, pa.string()), pa.array(exits, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, columns_out))],
+                    [*names, "_entry", "_exit", "_pieces"])
+
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names]
-    states = written(cut.withColumn("_entry", no_entry).mapInArrow(run("state"), f"{key_ddl}, _exit string").withColumn("_entry", no_entry), "states")
+    first = written(cut.mapInArrow(run, scanned), "scanned")
+    ready = first
+    states = first.select(*names, "_entry", "_exit")
     before = Window.partitionBy(*keys).orderBy("_n")
+    rounds = 0
     while True:
         entered = states.withColumn("_want", F.lag("_exit").over(before))
         stale = entered.where(~F.col("_want").eqNullSafe(F.col("_entry")))
@@ -64,13 +80,19 @@ def block_scan(rows: DataFrame, keys: list[str], order: list[str], columns: list
             break
         again = cut.alias("c").join(stale.alias("s"), same("c", "s")).select("c.*", F.col("s._want").alias("_entry"))
         # The state at the end is found again only for these; the others keep theirs.
-        redone = again.mapInArrow(run("state"), f"{key_ddl}, _exit string")
+        redone = again.mapInArrow(run, scanned)
         merged = entered.alias("s").join(redone.alias("r"), same("s", "r"), "left").select(
-            *[F.col(f"s.{n}").alias(n) for n in names], F.when(F.col("r._n").isNotNull(), F.col("r._exit")).otherwise(F.col("s._exit")).alias("_exit"), F.col("s._want").alias("_entry"))
+            *[F.col(f"s.{n}").alias(n) for n in names], F.col("s._want").alias("_entry"), F.when(F.col("r._n").isNotNull(), F.col("r._exit")).otherwise(F.col("s._exit")).alias("_exit"))
         old, states = states, written(merged, "states")
-        forget(old)
-    ready = cut.alias("c").join(states.alias("s"), same("c", "s")).select("c.*", "s._entry")
-    return ready.mapInArrow(run("pieces"), f"{key_ddl}, _piece int, {pieces}")
+        if rounds:
+            forget(old)
+        rounds += 1
+    if rounds:
+        other = first.alias("f").join(states.alias("s"), same("f", "s")).where(~F.col("f._entry").eqNullSafe(F.col("s._entry")))
+        other = written(other.select(*[F.col(f"s.{n}").alias(n) for n in names], F.col("s._entry").alias("_entry")), "moved")
+        again = cut.alias("c").join(other.alias("s"), same("c", "s")).select("c.*", "s._entry").mapInArrow(run, scanned)
+        ready = first.alias("f").join(other.alias("s"), same("f", "s"), "left_anti").unionByName(again)
+    return ready.select(*names, F.posexplode("_pieces").alias("_piece", "_p")).select(*names, "_piece", *[F.col(f"_p.{c}").alias(c) for c in columns_out])
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -115,19 +137,19 @@ def text_sessions(frames: DataFrame, step_ms: int, block_ms: int = 60_000) -> Da
     """
     rows = frames.where("at_ms is not null").select("video_id", "at_ms", F.coalesce("text", F.lit("")).alias("text"), "confidence")
 
-    def scan(state: str | None, block: list[dict]) -> tuple[list[tuple], str | None]:
+    def scan(state: str | None, block: list[tuple]) -> tuple[list[tuple], str | None]:
         made: list[list] = []
-        for r in block:
-            if state is None or not same_shown_text(state, r["text"]):
-                state = r["text"]
-                made.append([False, r["at_ms"], r["at_ms"], state, 0.0, 0, 0])
+        for at, text, confidence in block:
+            if state is None or not same_shown_text(state, text):
+                state = text
+                made.append([False, at, at, state, 0.0, 0, 0])
             elif not made:
-                made.append([True, r["at_ms"], r["at_ms"], state, 0.0, 0, 0])
+                made.append([True, at, at, state, 0.0, 0, 0])
             now = made[-1]
-            now[2] = r["at_ms"]
+            now[2] = at
             now[6] += 1
-            if r["confidence"] is not None:
-                now[4] += r["confidence"]
+            if confidence is not None:
+                now[4] += confidence
                 now[5] += 1
         return [tuple(m) for m in made], state
 
@@ -142,11 +164,11 @@ def text_sessions(frames: DataFrame, step_ms: int, block_ms: int = 60_000) -> Da
 def thin_by_gap(times: DataFrame, keys: list[str], time: str, gap: int, block: int) -> DataFrame:
     """Times of each group that lie ``gap`` or more behind the last one kept; the first is kept. Null times go; equal times come once at most."""
 
-    def scan(state: str | None, rows: list[dict]) -> tuple[list[tuple], str | None]:
+    def scan(state: str | None, rows: list[tuple]) -> tuple[list[tuple], str | None]:
         made, last = [], None if state is None else int(state)
-        for r in rows:
-            if last is None or r[time] - last >= gap:
-                last = r[time]
+        for (at,) in rows:
+            if last is None or at - last >= gap:
+                last = at
                 made.append((last,))
         return made, None if last is None else str(last)
 
@@ -193,19 +215,28 @@ def center_jitter(frames: DataFrame, most_mean: float = 10.0, most_p95: float =
     return known.withColumn("score", (unit(1 - F.col("mean_px") / most_mean) + unit(1 - F.col("p95_px") / most_p95)) / 2)
 
 
+@lru_cache(maxsize=256)
+def _caption_forms(flat: str) -> tuple[list[str], frozenset[str]]:
+    """The cleaned words of a caption, and the characters in it."""
+    return [w for w in re.sub("[^a-z0-9' ]", "", flat).split(" ") if w], frozenset(flat)
+
+
 def alike_captions(a: str, b: str) -> bool:
     """``similar_shown`` of two texts whose blanks are single and whose case is folded."""
     if a == b:
         return True
     if not a or not b:
         return False
-    x, y = ([w for w in (re.sub("[^a-z0-9']", "", t) for t in text.split(" ")) if w] for text in (a, b))
+    (x, p), (y, q) = _caption_forms(a), _caption_forms(b)
     if x and y and sum(w in y for w in x) / max(len(x), len(y)) >= 0.8:
         return True
-    if abs(len(a) - len(b)) > 6:
+    longest = max(len(a), len(b))
+    # Three edits or more count only where they leave 0.88; a character that the other text lacks takes an edit at least.
+    most = 6 if 1 - 3 / longest >= 0.88 else 2
+    if abs(len(a) - len(b)) > most or len(p - q) > most or len(q - p) > most:
         return False
-    apart = round((1 - edit_similarity(a, b)) * max(len(a), len(b)))
-    return apart <= 2 or (apart <= 6 and 1 - apart / max(len(a), len(b)) >= 0.88)
+    apart = edit_distance(a, b)
+    return apart <= 2 or (apart <= 6 and 1 - apart / longest >= 0.88)
 
 
 def caption_segments(frames: DataFrame, step_ms: int, block_ms: int = 60_000) -> DataFrame:
@@ -217,23 +248,22 @@ def caption_segments(frames: DataFrame, step_ms: int, block_ms: int = 60_000) ->
     box = ["x0", "y0", "x1", "y1"]
     rows = frames.where("at_ms is not null").select("video_id", "at_ms", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *[F.col(c).cast("double").alias(c) for c in box])
 
-    def scan(state: str | None, block: list[dict]) -> tuple[list[tuple], str | None]:
+    def scan(state: str | None, block: list[tuple]) -> tuple[list[tuple], str | None]:
         made: list[list] = []
         now = json.loads(state) if state is not None else None
-        for r in block:
-            flat = " ".join(r["text"].split()).lower()
+        for at, text, confidence, x0, y0, x1, y1 in block:
+            flat = " ".join(text.split()).lower()
             if now is None or not alike_captions(flat, now[2]):
-                now = [r["text"], r["confidence"], flat]
-                made.append([False, r["at_ms"], r["at_ms"], 0.0, 0, None, None, None, None, None])
+                now = [text, confidence, flat]
+                made.append([False, at, at, 0.0, 0, None, None, None, None, None])
             elif not made:
-                made.append([True, r["at_ms"], r["at_ms"], 0.0, 0, None, None, None, None, None])
-            if r["confidence"] > now[1]:
-                now = [r["text"], r["confidence"], flat]
+                made.append([True, at, at, 0.0, 0, None, None, None, None, None])
+            if confidence > now[1]:
+                now = [text, confidence, flat]
             run = made[-1]
-            run[2], run[3], run[4], run[5] = r["at_ms"], run[3] + r["confidence"], run[4] + 1, now[0]
-            if flat and all(r[c] is not None for c in box):
-                for k, (c, pick) in enumerate(zip(box, (min, min, max, max)), 6):
-                    run[k] = r[c] if run[k] is None else pick(run[k], r[c])
+            run[2], run[3], run[4], run[5] = at, run[3] + confidence, run[4] + 1, now[0]
+            if flat and None not in (x0, y0, x1, y1):
+                run[6:] = (x0, y0, x1, y1) if run[6] is None else (min(run[6], x0), min(run[7], y0), max(run[8], x1), max(run[9], y1))
         return [tuple(m) for m in made], None if now is None else json.dumps(now)
 
     ddl = "goes_on boolean, first bigint, last bigint, total double, n bigint, text string, x0 double, y0 double, x1 double, y1 double"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import scans
+from cadenza.sources.shared import written
 
 FRAMES = "video_id bigint, at_ms bigint, text string, confidence double"
 
@@ -39,6 +40,57 @@ def test_text_sessions(spark, block_ms):
         assert mine == _sessions([r for r in rows if r[0] == v], 100)
 
 
+def _drifting(n, seed=5):
+    rng = random.Random(seed)
+    rows, text = [], "abcdefghijklmnopqrst"
+    for i in range(n):
+        at = rng.randrange(len(text))
+        text = text[:at] + rng.choice("abcxyz") + text[at + 1 :]
+        rows.append((1, i * 100, rng.choice([text] * 12 + ["Other"]), rng.choice([None, 0.5])))
+    return rows
+
+
+def test_blocks_are_scanned_once(spark):
+    """The state passes from block to block within a task, so no block is scanned for its state first and for its pieces again."""
+    scanned = spark.sparkContext.accumulator(0)
+
+    def scan(state, rows):
+        scanned.add(1)
+        total = len(rows) + int(state or 0)
+        return [(total,)], str(total)
+
+    rows = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(60)], "g int, i bigint")
+    got = scans.block_scan(rows, ["g"], ["i"], [], F.floor(F.col("i") / 10), scan, "total bigint")
+    for _ in range(2):
+        assert sorted((r["g"], r["_n"], r["total"]) for r in got.collect()) == [(g, n + 1, 10 * n + 10) for g in (1, 2) for n in range(6)]
+    assert scanned.value == 12
+
+
+@pytest.mark.parametrize("parts", [3, 40])
+def test_blocks_of_a_group_in_several_tasks(spark, monkeypatch, parts):
+    monkeypatch.setattr(scans, "written", lambda df, name: written(df.repartition(parts) if name == "blocks" else df, name))
+    rows = _drifting(200)
+    got = scans.text_sessions(spark.createDataFrame(rows, FRAMES), 100, 700).collect()
+    mine = sorted((r["start_ms"], r["end_ms"], r["text"], None if r["confidence"] is None else round(r["confidence"], 9), r["n_frames"]) for r in got)
+    assert mine == _sessions(rows, 100)
+
+
+def test_alike_captions_by_plain_distance():
+    """What is ruled out by lengths and characters alone is what the distance rules out."""
+    rng = random.Random(11)
+    for _ in range(3000):
+        a = "".join(rng.choice("abcdefgh '") for _ in range(rng.choice([3, 12, 26, 40])))
+        b = list(a)
+        for _ in range(rng.choice([1, 2, 3, 5, 6, 7])):
+            b[rng.randrange(len(b))] = rng.choice(["", "x", "y", "zz", "q"])
+        a, b = (" ".join(t.split()) for t in (a, "".join(b)))
+        x, y = ([w for w in ("".join(c for c in t if c in "abcdefghqxyz'") for t in s.split(" ")) if w] for s in (a, b))
+        longest = max(len(a), len(b), 1)
+        d = scans.edit_distance(a, b)
+        shared = bool(x and y) and sum(w in y for w in x) / max(len(x), len(y)) >= 0.8
+        assert scans.alike_captions(a, b) == (a == b or bool(a and b) and (shared or d <= 2 or d <= 6 and 1 - d / longest >= 0.88))
+
+
 def test_no_frames(spark):
     assert scans.text_sessions(spark.createDataFrame([], FRAMES), 100).collect() == []
     rows = scans.text_sessions(spark.createDataFrame([(None, 5, "a", None), (None, None, "b", 1.0)], FRAMES), 100).collect()
