@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadenza.functions.scores import clamp
-from cadenza.operators.scans import center_jitter
+from cadenza.operators.scans import caption_words, center_jitter
 
 # Weights of the sub-scores, and the limits they are held against.
 WEIGHTS = {
@@ -29,9 +29,9 @@ def _flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " "))
 
 
-def _words(text: Column) -> Column:
-    cut = F.transform(F.split(F.lower(_flat(text)), " "), lambda w: F.regexp_replace(w, "[^a-z0-9']", ""))
-    return F.filter(cut, lambda w: w != "")
+def _blank(text: Column) -> Column:
+    """Whether the flat text is empty, told by the first character that shows."""
+    return ~F.coalesce(text.rlike("\\S"), F.lit(False))
 
 
 def _segment_scores(segments: DataFrame) -> DataFrame:
@@ -40,10 +40,11 @@ def _segment_scores(segments: DataFrame) -> DataFrame:
     text = F.col("text")
     bare = F.trim(text)
     lines = F.filter(F.transform(F.split(text, "\\r?\\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = segments.where(_flat(text) != "").withColumns({
-        "flat": _flat(text), "s": (F.col("end_ms") - F.col("start_ms")) / 1000, "words": _words(text), "i": F.row_number().over(w), "n_lines": F.size(lines),
-        "chars": F.array_max(F.transform(lines, lambda x: F.length(x))), "first": F.nullif(F.regexp_extract(text, "[A-Za-z]", 0), F.lit("")),
-        "letters": F.length(F.regexp_replace(text, "[^A-Za-z]", "")), "capitals": F.length(F.regexp_replace(text, "[^A-Z]", "")), "stops": bare.rlike("[.!?…]$"),
+    # Texts are shuffled as they are and cut behind the shuffle; the flat text is a column first, so that what is made of it does not make it again.
+    rows = segments.where(~_blank(text)).repartition("video_id").withColumn("flat", _flat(text)).withColumns({
+        "s": (F.col("end_ms") - F.col("start_ms")) / 1000, "words": caption_words(F.lower("flat")), "i": F.row_number().over(w), "n_lines": F.when(text.contains("\n"), F.size(lines)).otherwise(1),
+        "chars": F.when(text.contains("\n"), F.array_max(F.transform(lines, lambda x: F.length(x)))).otherwise(F.length(bare)), "first": F.nullif(F.regexp_extract(text, "[A-Za-z]", 0), F.lit("")),
+        "letters": F.length(F.regexp_replace(text, "[^A-Za-z]+", "")), "capitals": F.length(F.regexp_replace(text, "[^A-Z]+", "")), "stops": bare.rlike("[.!?…]$"),
     })
     rows = rows.withColumns({
         "wps": F.when((F.col("s") > 0), F.size(F.split("flat", " ")) / F.col("s")), "next_first": F.lead("first").over(w), "has_next": F.lead("i").over(w).isNotNull(),
@@ -95,13 +96,12 @@ def burned_in_report(videos: DataFrame, frames: DataFrame, segments: DataFrame)
     """
     sized = segments.join(videos.select("video_id", "width", F.col("height").alias("height_px")), "video_id")
     scores = _segment_scores(sized)
-    shown = frames.where(_flat(F.col("text")) != "").join(videos.select("video_id", "width", "height"), "video_id")
+    shown = frames.where(~_blank(F.col("text"))).join(videos.select("video_id", "width", "height"), "video_id")
     margin = lambda low, high, size: F.least(F.col(low), F.col(size) - F.col(high)) / (F.col(size) * SAFE_MARGIN)
     seen = shown.groupBy("video_id").agg(
         clamp(F.avg("confidence") - F.stddev_pop("confidence")).alias("confidence"), clamp(F.coalesce(F.min(F.least(margin("x0", "x1", "width"), margin("y0", "y1", "height"))), F.lit(1.0))).alias("safe_area"))
     w = Window.partitionBy("video_id").orderBy("start_ms")
-    blank = _flat(F.col("text")) == ""
-    runs = segments.select("video_id", "start_ms", "end_ms", blank.alias("b")).withColumns({"b1": F.lead("b", 1).over(w), "b2": F.lead("b", 2).over(w), "s2": F.lead("start_ms", 2).over(w)})
+    runs = segments.select("video_id", "start_ms", "end_ms", _blank(F.col("text")).alias("b")).withColumns({"b1": F.lead("b", 1).over(w), "b2": F.lead("b", 2).over(w), "s2": F.lead("start_ms", 2).over(w)})
     flicker = runs.groupBy("video_id").agg(F.count_if(~F.col("b") & F.col("b1") & ~F.col("b2") & (F.greatest(F.lit(0), F.col("s2") - F.col("end_ms")) <= FLASH_MS)).alias("flicker_events"))
     jitter = center_jitter(frames).select("video_id", F.col("score").alias("jitter"))
     rows = videos

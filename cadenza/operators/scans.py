@@ -176,12 +176,24 @@ def thin_by_gap(times: DataFrame, keys: list[str], time: str, gap: int, block: i
     return block_scan(distinct, keys, [time], [], F.floor(F.col(time) / block), scan, f"{time} bigint").select(*keys, time)
 
 
-def similar_shown(a: Column, b: Column) -> Column:
-    """Whether two captions are alike: equal but for case and blanks, 0.8 of their words shared, two edits apart, or six at 0.88 similarity."""
-    flat = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " ")))
-    a, b = flat(a), flat(b)
-    words = lambda c: F.filter(F.transform(F.split(c, " "), lambda w: F.regexp_replace(w, "[^a-z0-9']", "")), lambda w: w != "")
-    x, y = words(a), words(b)
+def flat_caption(text: Column) -> Column:
+    """Single blanks, none at the edges, in lower case; null gives an empty text."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " ")))
+
+
+def caption_words(flat: Column) -> Column:
+    """Words of a flat caption that keep letters, digits or apostrophes."""
+    return F.filter(F.split(F.regexp_replace(flat, "[^a-z0-9' ]+", ""), " "), lambda w: w != "")
+
+
+def similar_shown(a: Column, b: Column, x: Column | None = None, y: Column | None = None) -> Column:
+    """Whether two captions are alike: equal but for case and blanks, 0.8 of their words shared, two edits apart, or six at 0.88 similarity.
+
+    ``x`` and ``y``, where given, are the words of ``a`` and ``b``, which then must be flat; as columns of their own they are cut once, not again for every word they are held against.
+    """
+    if x is None or y is None:
+        a, b = flat_caption(a), flat_caption(b)
+        x, y = caption_words(a), caption_words(b)
     shared = F.size(F.filter(x, lambda w: F.array_contains(y, w))) / F.greatest(F.size(x), F.size(y), F.lit(1))
     d = F.levenshtein(a, b, 6)
     near = (d >= 0) & ((d <= 2) | (1 - d / F.greatest(F.length(a), F.length(b), F.lit(1)) >= 0.88))
@@ -197,10 +209,12 @@ def center_jitter(frames: DataFrame, most_mean: float = 10.0, most_p95: float =
     boxes = ["x0", "y0", "x1", "y1"]
     rows = frames.where(F.trim(F.coalesce("text", F.lit(""))) != "").dropna(subset=boxes)
     w = Window.partitionBy("video_id").orderBy("at_ms", "text", *boxes)
-    here = F.struct("text", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    # Texts are shuffled as they are and cut into words behind the shuffle, each once.
+    rows = rows.select("video_id", "at_ms", "text", *boxes).repartition("video_id").withColumn("flat", flat_caption(F.col("text"))).withColumn("words", caption_words(F.col("flat")))
+    here = F.struct("flat", "words", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     rows = rows.select("video_id", here.alias("a"), F.lag(here).over(w).alias("b"))
     moved = F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2))
-    moves = rows.select("video_id", F.when(F.col("b").isNotNull() & similar_shown(F.col("a.text"), F.col("b.text")), moved).alias("px"))
+    moves = rows.select("video_id", F.when(F.col("b").isNotNull() & similar_shown(F.col("a.flat"), F.col("b.flat"), F.col("a.words"), F.col("b.words")), moved).alias("px"))
     # Equal moves fold into counts, whose running sums are ranks.
     counts = moves.where("px is not null").groupBy("video_id", "px").agg(F.count("*").alias("n"))
     ranked = counts.withColumns({"upto": F.sum("n").over(Window.partitionBy("video_id").orderBy("px")), "all": F.sum("n").over(Window.partitionBy("video_id"))})

@@ -12,7 +12,7 @@ from cadenza.plans.editing import ocr_frames
 from cadenza.plans.registry import register
 from cadenza.plans.views import with_views
 from cadenza.sources import artifacts, tail
-from cadenza.sources.shared import new_path
+from cadenza.sources.shared import new_path, written
 from cadenza.sources.tables import table
 from cadenza.streaming import caches
 
@@ -161,10 +161,10 @@ def caption_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     ov AS (SELECT *, (0.12 * rhythm + 0.08 * display + 0.12 * coverage + 0.1 * safe_area + 0.06 * density + 0.04 * punctuation + 0.03 * capitalization + 0.06 * alignment + 0.06 * placement + 0.08 * jitter + 0.05 * style + 0.05 * redundancy + 0.06 * segmentation + 0.09 * confidence) / 1.0 AS score FROM al)
     SELECT video_id, n_segments, {', '.join(f'round({c}, 6) AS {c}' for c in _SCORES)}, case_style, flicker_events, score >= 0.75 AND coverage >= 0.6 AND flicker_events <= 1 AS passed FROM ov""", "words"))
 def burned_in_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sub-scores of every video's captions."""
-    shown = _captioned(spark, sf_dir)
+    """All sub-scores of every video's captions; frames and segments, which several parts of the report read, are written once."""
+    shown = written(_captioned(spark, sf_dir), "captioned")
     videos = shown.groupBy("video_id").agg((F.max("at_ms") + 3000).alias("duration_ms")).withColumns({"width": F.lit(400), "height": F.lit(200)})
-    rows = burned_in.burned_in_report(videos, shown, scans.caption_segments(shown, 500, block_ms=10_000))
+    rows = burned_in.burned_in_report(videos, shown, written(scans.caption_segments(shown, 500, block_ms=10_000), "segments"))
     return rows.withColumns({c: F.round(c, 6) for c in _SCORES})
 
 

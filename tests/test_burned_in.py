@@ -1,10 +1,13 @@
 """Caption segments whatever the blocks, and the report on hand-made captions."""
 
 import random
+import re
 
 import pytest
 
 from cadenza.operators import burned_in, scans
+from cadenza.plans import scans as plans
+from cadenza.sources.shared import written
 
 FRAME = "video_id bigint, at_ms bigint, text string, confidence double, x0 double, y0 double, x1 double, y1 double"
 VIDEO = "video_id bigint, duration_ms bigint, width int, height int"
@@ -74,3 +77,26 @@ def test_videos_without_captions(spark):
     for r in rows.values():
         assert r["n_segments"] == 0 and r["coverage"] == r["confidence"] == 0 and r["rhythm"] == r["jitter"] == r["safe_area"] == 1 and not r["passed"]
     assert set(rows) == {1, 2}
+
+
+def test_lines_of_captions(spark):
+    """Captions of several lines, blanks that are no spaces, and none of either."""
+    frames = _frames(["one\ntwo\nthree\nfour"] * 2 + ["one  \r\n" + "y" * 46] * 2 + ["\t"] * 2 + ["short\tone"] * 2)
+    row = _report(spark, frames, [(1, 4600, 400, 200)])[1]
+    assert row["n_segments"] == 3 and abs(row["density"] - 1 / 3) < 1e-9
+
+
+def test_captions_of_reports_are_made_once(spark, sf_dir, monkeypatch):
+    made = []
+    monkeypatch.setattr(plans, "written", lambda df, name: made.append(name) or written(df, name))
+    report = plans.burned_in_report(spark, sf_dir)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert made == ["captioned", "segments"]
+    assert "conversations" not in plan and not any("conversations" in f or "scanned" in f for f in report.inputFiles())
+
+
+def test_words_of_captions_are_cut_once(spark):
+    """Neither the words that others are held against, word by word, nor the flat text are made again where they are used."""
+    frames = spark.createDataFrame(_frames(["a b c d e"] * 3), FRAME)
+    plan = scans.center_jitter(frames)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bsplit\(", plan)) == 1 and plan.count("regexp_replace") == 2
