@@ -89,9 +89,26 @@ def ordered_mean(rows: DataFrame, keys: list[str], value: str, order: str, out:
     The last bits of a sum of doubles depend on its order, and means that are compared or ranked show them: partial sums of tasks would let the
     partitioning decide. The running mean is a window, which spills, so a large group needs no list.
     """
+    return _running_mean(rows, keys, value, order).groupBy(*keys).agg(F.max_by("_mean", "_i").alias(out))
+
+
+def _running_mean(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     sorted_rows = Window.partitionBy(*keys).orderBy(order)
     running = F.avg(value).over(sorted_rows.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.select(*keys, running.alias("_mean"), F.row_number().over(sorted_rows).alias("_i")).groupBy(*keys).agg(F.max_by("_mean", "_i").alias(out))
+    return rows.select(*keys, F.col(value).alias("_value"), running.alias("_mean"), F.row_number().over(sorted_rows).alias("_i"))
+
+
+def exact_mean(rows: DataFrame, keys: list[str], value: str, order: str, out: str) -> DataFrame:
+    """Mean ``out`` of each group, added up in decimals and rounded once, so it does not depend on any order, and rows that all come as often again leave it as it is.
+
+    Means that lie a tolerance apart are told by their last bits, which sums of doubles leave to chance. Groups with a value that ten decimals do not hold, or of a hundred million
+    or more, have their ``ordered_mean``. Nulls do not count.
+    """
+    decimal = F.col("_value").try_cast("decimal(18,10)")
+    held = F.bool_and(F.coalesce(decimal.cast("double") == F.col("_value"), F.col("_value").isNull()))
+    exact = (F.try_sum(decimal) / F.nullif(F.count("_value"), F.lit(0)).cast("decimal(12,0)")).cast("double")
+    running = _running_mean(rows, keys, value, order)
+    return running.groupBy(*keys).agg(F.coalesce(F.when(held, exact), F.max_by("_mean", "_i")).alias(out))
 
 
 def reversals(value: str, keys: list[str], order: list[str], tolerance: float) -> Column:

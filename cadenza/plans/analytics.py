@@ -276,7 +276,7 @@ def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT run_id, provider, count(*) AS n, CAST(sum(rev) AS BIGINT) AS reversals, round(max(v) - min(v), 6) AS effect FROM g GROUP BY ALL""", "attempts"))
 def stress_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reversals of the mean value along rising severity for every run and provider."""
-    p = windows.ordered_mean(views.attempts(spark, sf_dir).withColumn("severity", F.expr("k div 20")), ["run_id", "provider", "severity"], "latency", "event_id", "v")
+    p = windows.exact_mean(views.attempts(spark, sf_dir).withColumn("severity", F.expr("k div 20")), ["run_id", "provider", "severity"], "latency", "event_id", "v")
     p = p.withColumn("rev", windows.reversals("v", ["run_id", "provider"], ["severity"], 0.005))
     return p.groupBy("run_id", "provider").agg(F.count("*").alias("n"), F.sum("rev").alias("reversals"), F.round(F.max("v") - F.min("v"), 6).alias("effect"))
 

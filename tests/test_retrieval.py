@@ -112,3 +112,19 @@ def test_top_k_and_novelty_read_rows_once(spark, rows, queries, monkeypatch):
     novel = retrieval.novelty(ids, ids.where("id % 40 = 0"))
     assert "NestedLoop" not in plan(novel) + plan(retrieval.top_k(ids, ids, 3)) and "MapInArrow" in plan(novel)
     assert "MapInArrow" not in plan(retrieval.active_order(novel, ids.select("id", F.lit(0.5).alias("uncertainty"))))
+
+
+def test_exact_mean(spark):
+    """Means 0.005 apart stay so however often all rows come and in whatever order; values that decimals do not hold have the ordered mean."""
+    small = {2: [52.51, 5.82], 4: [33.43, 24.89]}
+    ids = iter(range(10**6))
+    rows = [(times, k, next(ids), v) for times in (1, 60) for k, vs in small.items() for _ in range(times) for v in vs]
+    kind = "times int, k int, id bigint, v double"
+    for order in (rows, rows[::-1]):
+        means = windows.exact_mean(spark.createDataFrame(order, kind).repartition(5), ["times", "k"], "v", "id", "m")
+        assert {(r["times"], r["k"]): r["m"] for r in means.collect()} == {(t, k): m for t in (1, 60) for k, m in ((2, 29.165), (4, 29.16))}
+        fell = means.withColumn("fell", windows.reversals("m", ["times"], ["k"], 0.005)).groupBy("times").agg(F.sum("fell").alias("n"))
+        assert {r["times"]: r["n"] for r in fell.collect()} == {1: 0, 60: 0}
+    odd = [(1, 1, 0, None), (1, 2, 1, None), (1, 2, 2, 0.1), (1, 2, 3, 0.3), (1, 3, 4, 1e300), (1, 3, 5, 1.0), (1, 4, 6, float("nan")), (1, 4, 7, 1.0), (1, 5, 8, float("inf")), (1, 6, 9, 1e-13), (1, 6, 10, 3e-13), (1, None, 11, 2.0)]
+    got = {r["k"]: r["m"] for r in windows.exact_mean(spark.createDataFrame(odd, kind), ["times", "k"], "v", "id", "m").collect()}
+    assert np.isnan(got.pop(4)) and got == {1: None, 2: 0.2, 3: 5e299, 5: float("inf"), 6: (1e-13 + 3e-13) / 2, None: 2.0}
